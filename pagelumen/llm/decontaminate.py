@@ -289,20 +289,25 @@ def _union(spans):
 
 def remove_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """The same rows and columns, each merged span of hit words cut out of ``text``, with what lies between them."""
-    order = df.columns
     found = find_passages(df, benchmark, text, item)
-    touched = F.size("hit_spans") > 0
-
-    @F.udf("string")
-    def cut(value: str, spans: list) -> str:
-        data = value.encode()
-        lowered = data.translate(WORD_BYTES)
-        at = [(m.start(), m.end()) for m in re.finditer(rb"[^ ]+", lowered)]
-        kept, last = [], 0
-        for s in spans:
-            kept.append(data[last : at[s["first"]][0]])
-            last = at[s["end"] - 1][1]
-        return b"".join([*kept, data[last:]]).decode()
-
-    cleaned = F.when(touched, cut(F.col(text), F.col("hit_spans"))).otherwise(F.col(text))
-    return found.withColumn(text, cleaned).select(*(f"`{c}`" for c in order))
+    rest = [c for c in df.columns if c != text]
+    packed = found.select(F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("_pad")).alias("_row"), F.col(text).cast("string").alias(text), "hit_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [cut(v.as_py(), s.as_py()) if len(s) else v.as_py() for v, s in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.string())], ["_row", text])
+
+    schema = T.StructType([packed.schema["_row"], T.StructField(text, T.StringType())])
+    return packed.mapInArrow(run, schema).select(*(F.col(f"`{c}`") if c == text else F.col(f"_row.`{c}`") for c in df.columns))
+
+
+def cut(text: str, spans: list[dict]) -> str:
+    """The text without spans of word numbers."""
+    data = text.encode()
+    at = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(WORD_BYTES))]
+    kept, last = [], 0
+    for span in spans:
+        kept.append(data[last : at[span["first"]][0]])
+        last = at[span["end"] - 1][1]
+    return b"".join([*kept, data[last:]]).decode()

@@ -44,8 +44,10 @@ class Shard:
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(projected, self.order.T, 0).T.copy()
         # A first radius at which few vectors collide: the scale of gaps between neighbours on a line.
+        # Where most vectors are alike, the whole extent sets the scale.
         spread = float(np.median(np.abs(projected - np.median(projected, axis=0))))
-        self.first = max(spread / 16, 1e-300)
+        extent = float(np.ptp(projected, axis=0).max(initial=0.0))
+        self.first = max(spread / 16, extent / 4096, float(np.abs(projected).max(initial=0.0)) / (1 << 20), 1e-300)
 
     def nearest(self, query: np.ndarray, k: int, skip: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and distances of the k nearest found, nearest first, ties to the smaller id; never those of ``skip``."""
