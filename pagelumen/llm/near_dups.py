@@ -9,10 +9,12 @@
 3. *Candidates.* Equal texts are one node. In each bucket every node is paired with the bucket's least
    node, not with all others, and each pair is verified by the exact weighted Jaccard similarity of the
    whole texts.
-4. *The rest.* Members of a bucket that ended up in another component than its least node become leaders
-   in turn, some each round, and are verified against all members of other components, until every one has
-   been. Pairs within one component need no check. So the classes are those that verifying every pair of
-   every bucket would give, in a number of pairs that is linear in a bucket whose members are alike.
+4. *The rest.* Members of a bucket that ended up in another component than its least node are first
+   verified against ``DRAWN`` seeded draws from the bucket, which joins nearly all that belong together.
+   Those still apart become leaders in turn, some each round, and are verified against all members of other
+   components, until every one has been. Pairs within one component need no check. So the classes are those
+   that verifying every pair of every bucket would give, in a number of pairs that is linear in a bucket
+   whose members are alike.
 
 Cases: null text is in no class but its own; texts without words match only their exact copies; short
 texts have one shingle; repeated rows are exact copies; an empty table gives an empty result; long texts
@@ -37,8 +39,8 @@ BANDS, ROWS = 14, 4
 #: Hashed buckets of document frequencies (a fixed size, whatever the corpus), and how many travel in a row.
 BUCKETS, SLICE = 1 << 18, 1 << 14
 DAMPED = 0.25
-#: New leaders of a bucket in each further round.
-LEADERS = 8
+#: Members drawn from a bucket for those apart; pairs of a bucket in each further round, or so many leaders.
+DRAWN, ROUND_PAIRS, LEADERS = 16, 4096, 8
 
 _POOL = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -236,7 +238,7 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     nodes = sketches.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.min("k").alias("k"), F.first("bands").alias("bands"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
     in_band = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where(F.col("n") > 1).drop("n")
+    shared = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where(F.col("n") > 1)
     members = stored(in_band.join(shared, "bucket"))
     # Whatever is compared later is in a shared bucket, so these are all the texts that are needed.
     wanted = members.select("node").distinct().join(nodes.select("node", "tid"), "node")
@@ -244,27 +246,36 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     texts = stored(by_tid.join(wanted, "tid").groupBy("node").agg(F.first("text").alias("text")))
     tried = checkpointed(members.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     links = checkpointed(_verified(tried, texts, weights))
-    led = None
+    drawn, led = False, None
     while True:
         parts = connected_components(links)
-        placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        component = F.coalesce("component", "node")
+        placed = members.join(parts, "node", "left").select("bucket", "node", "leader", "n", component.alias("component"))
         heads = parts.select(F.col("node").alias("leader"), F.col("component").alias("main"))
-        placed = placed.join(heads, "leader", "left").withColumn("main", F.coalesce("main", "leader"))
-        placed = checkpointed(placed.select("bucket", "node", "component", "main"))
-        apart = placed.where(F.col("component") != F.col("main")).select("bucket", "node", "component")
-        if led is not None:
-            apart = apart.join(led, ["bucket", "node"], "left_anti")
-        order = Window.partitionBy("bucket").orderBy("node")
-        heads = checkpointed(apart.withColumn("i", F.row_number().over(order)).where(F.col("i") <= LEADERS).drop("i"))
-        if heads.isEmpty():
-            break
-        others = placed.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs"))
-        pairs = heads.join(others, "bucket").where(F.col("component") != F.col("theirs"))
+        placed = checkpointed(placed.join(heads, "leader", "left").withColumn("main", F.coalesce("main", "leader")))
+        apart = placed.where(F.col("component") != F.col("main")).select("bucket", "node", "n", "component")
+        if not drawn:
+            if apart.isEmpty():
+                break
+            draws = placed.groupBy("bucket").agg(*(F.min_by("node", F.xxhash64(F.lit(i), "node")).alias(f"d{i}") for i in range(DRAWN)))
+            draws = draws.select("bucket", F.array(*(f"d{i}" for i in range(DRAWN))).alias("drawn"))
+            pairs = apart.join(draws, "bucket").select("node", F.explode(F.array_distinct("drawn")).alias("other")).where(F.col("node") != F.col("other"))
+            drawn = True
+        else:
+            if led is not None:
+                apart = apart.join(led, ["bucket", "node"], "left_anti")
+            order = Window.partitionBy("bucket").orderBy("node")
+            most = F.greatest(F.lit(LEADERS), F.expr(f"{ROUND_PAIRS} div n"))
+            heads = checkpointed(apart.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).select("bucket", "node", "component"))
+            if heads.isEmpty():
+                break
+            others = placed.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs"))
+            pairs = heads.join(others, "bucket").where(F.col("component") != F.col("theirs"))
+            led = heads.select("bucket", "node") if led is None else checkpointed(led.unionByName(heads.select("bucket", "node")))
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
         links = checkpointed(links.unionByName(_verified(pairs, texts, weights)))
-        led = heads.select("bucket", "node") if led is None else checkpointed(led.unionByName(heads.select("bucket", "node")))
     placed = nodes.select("tid", "node", "k").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = placed.groupBy("component").agg(F.min("k").alias("class_id"))
     sizes = placed.join(named, "component").select("tid", "class_id", "component")

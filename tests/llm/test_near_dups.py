@@ -70,9 +70,6 @@ def test_samples_agree_as_often_as_texts_are_similar():
     assert abs(np.mean(agree) - np.mean(true)) < 0.05
 
 
-def test_components():
-    pass
-
 
 @pytest.mark.parametrize("seed", range(3))
 def test_components_match_union_find(spark, seed):
