@@ -41,6 +41,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to ``BATCH_BYTES``; by number of rows alone, a batch of
+    long texts, held several times over by a worker, has no bound."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def annotate(
     df: DataFrame,
     per_batch: Callable[[pa.Array], dict[str, pa.Array]],
@@ -53,6 +66,7 @@ def annotate(
     ``keep`` names the input columns to carry (default: all). Where an input column has the name of a
     new one, the new one replaces it. Other columns pass through Python untouched, as Arrow data.
     """
+    bound_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     packed = df.select(

@@ -5,7 +5,7 @@ n-grams (log-odds of the n-gram under the languages on either side) predicts its
 over the bits, the logistic loss of each codeword's sign against the classifier's margin, weighted by the
 bit's accuracy in training, and chooses the codeword of least loss. A close second flags ambiguity.
 
-Training uses a bounded sample of labelled rows: ``SAMPLE_EACH`` rows of least key hash for each of the
+Training uses a bounded sample of labelled rows: about ``SAMPLE_EACH`` rows of least key hash for each of the
 ``MOST_LANGUAGES`` most frequent languages. Prediction reads the whole of every text.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; rows with a null language teach
@@ -20,7 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,12 +123,11 @@ def learn(df: DataFrame, usable: Column | None = None, text: str = "text", lang:
     """Trains on the bounded sample of the rows for which ``usable`` holds."""
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if usable is None else usable))
     h = F.xxhash64(F.lit("language"), F.col(key).cast("string"))
-    top = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES)
-    ranked = known.select(F.col(lang).alias("l"), h.alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h")))
-    edges = ranked.where(F.col("n") <= SAMPLE_EACH).groupBy("l").agg(F.max("h").alias("edge"))
-    edges = {r.l: r.edge for r in edges.join(top.select(F.col(lang).alias("l")), "l", "left_semi").collect()}
-    if not edges:
+    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()
+    if not counts:
         return Codes([])
+    # Hashes are uniform, so a share of their range holds about that share of a language's rows: no ranking.
+    edges = {r[0]: -(1 << 63) + min((1 << 64) * SAMPLE_EACH // r["count"], (1 << 64) - 1) for r in counts}
     within = F.lit(False)
     for name, edge in sorted(edges.items()):
         within = within | ((F.col(lang) == name) & (h <= edge))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelumen.llm.common import WORD_BYTES, checkpointed, grouped_by_size, mix64, stored, utf8
+from pagelumen.llm.common import WORD_BYTES, bound_batches, checkpointed, grouped_by_size, mix64, stored, utf8
 from pagelumen.llm.components import connected_components
 
 WORDS, SIMILAR = 5, 0.8
@@ -232,6 +232,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, tid, class_id, component``, one row per input row. A class is named by its least key; null text has
     no tid and no component."""
+    bound_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     weights = context.broadcast(learn_weights(df, text))  # fixed size
     sketches = stored(_sketches(df, weights, text, key))

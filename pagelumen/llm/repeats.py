@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelumen.llm.common import grouped_by_size, stored, utf8
+from pagelumen.llm.common import bound_batches, grouped_by_size, stored, utf8
 
 LENGTH, GRAM = 400, 128
 #: Window starts in a slice of a text; positions within a slice must fit the low bits of an anchor's key.
@@ -132,6 +132,7 @@ def _find_anchors(df: DataFrame, text: str) -> DataFrame:
 
 def repeated_windows(df: DataFrame, text: str = "text") -> DataFrame:
     """``tid, lo, hi``: runs of window starts that repeat, by the digest of their text; runs may touch."""
+    bound_batches(df.sparkSession)
     found = stored(_find_anchors(df, text))
     grams = found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
     # Round 1: anchors whose gram repeats. Round 2: their spans.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelumen.llm.common import annotate
+from pagelumen.llm.common import annotate, bound_batches
 
 #: Bounds of the training sample: documents, labelled credentials per kind, ordinary tokens.
 SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_ORDINARY = 8192, 400, 4000
@@ -186,15 +186,16 @@ class Formats:
 
 
 def learn(df: DataFrame, text: str = "text", key: str = "doc_id") -> Formats:
-    """Infers the formats from a bounded sample: the ``SAMPLE_DOCS`` rows of least key hash.
+    """Infers the formats from a bounded sample: about ``SAMPLE_DOCS`` rows of least key hash.
 
     Which rows these are depends on the keys alone, so a lost executor changes nothing.
     """
+    bound_batches(df.sparkSession)
     rank = F.xxhash64(F.lit("secrets"), F.col(key))
-    edge = df.select(rank.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    if edge is None:
-        return Formats({}, [])
-    chosen = df.where(rank <= edge).select(rank.alias("h"), F.col(text).cast("string").alias("text"))
+    n = df.count()
+    # Hashes are uniform, so a share of their range holds about that share of the rows.
+    edge = -(1 << 63) + min((1 << 64) * SAMPLE_DOCS // max(n, 1), (1 << 64) - 1)
+    chosen = df.where(rank <= edge).select(rank.alias("h"), F.col(text).cast("string").alias("text")).limit(2 * SAMPLE_DOCS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
