@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelumen.llm import bpe, decontaminate, language_id, licenses, near_dups, nearest, repeats, secrets, sharding, url_filters
+from pagelumen.llm import bpe, decontaminate, language_id, licenses, near_dups, nearest, repeats, secrets, sharding, sql, url_filters
 from pagelumen.llm.common import table
 
 
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL expresses at full size; the others are tested against brute force."""
-    return {"op1_license_scan": licenses.scan_sql()}
+    return sql.oracle_sql()

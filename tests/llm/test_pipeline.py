@@ -1,0 +1,71 @@
+import hashlib
+
+import public_tokenizers
+import tiktoken
+
+import corpus_pipeline
+from pagelumen.llm import bpe, language_id, near_dups, secrets
+from pagelumen.llm.common import table
+from tests.llm.test_decontaminate import WORD, words
+from tests.llm.test_near_dups import brute as classes_by_force
+from tests.llm.test_secrets import plain_base
+
+
+def without_passages(text, windows):
+    """The text without maximal runs of words that lie in an occurrence of a window."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    spots, w = [m.span() for m in WORD.finditer(lowered)], words(text)
+    hit = set()
+    for n in {len(k) for k in windows}:
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in windows:
+                hit |= set(range(i, i + n))
+    out, last = [], 0
+    for i in sorted(hit):
+        if i - 1 in hit:
+            out.append("")
+        else:
+            out.append(text[last : spots[i][0]])
+        last = spots[i][1]
+    return "".join(out) + text[last:]
+
+
+def test_run_matches_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    codes = language_id.learn(docs)
+    kept = {i: r for i, r in rows.items() if codes.predict([r.text])[0][0] != "und"}
+    frame = spark.createDataFrame(list(kept.values()), docs.schema)
+    found = classes_by_force([(i, r.text) for i, r in sorted(kept.items())], near_dups.learn_weights(frame))
+    kept = {i: r for i, r in kept.items() if found[i] == i}
+    windows = set()
+    for b in table(spark, sf_dir, "benchmark").collect():
+        w = words(b.text)
+        windows |= {tuple(w[i : i + 10]) for i in range(max(len(w) - 9, 1) if w else 0)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()), special_tokens={})
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert out.keys() == kept.keys()
+    for i, r in out.items():
+        text = without_passages(kept[i].text, windows)
+        for s, _, e in reversed(secrets.base_spans(text)):
+            text = text[:s] + "[secret]" + text[e:] if not text[s:e].startswith("[secret]") else text
+        if not plain_base(r.text) and "[secret]" not in r.text:
+            assert r.text == text
+        assert not plain_base(r.text)
+        assert r.n_chars == len(r.text)
+        ids = library.encode_ordinary(r.text)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+        assert (r.lang, r.source) == (kept[i].lang, kept[i].source)
+
+
+def test_stages_on_awkward_rows(spark, sf_dir, tmp_path):
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "12 34", "en", "s", 5), (4, "the same words and more of them here", "en", "s", 35), (4, "the same words and more of them here", "en", "s", 35), (5, "le mot et la chose sont dits ici", None, None, 32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' as bands", "'y' as n_tokens")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in docs.collect()) == [4, 5]
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf_dir)
+    assert empty.count() == 0
