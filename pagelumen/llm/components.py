@@ -17,19 +17,19 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     many neighbours is no hot group: minima are taken before the shuffle, and the joins are plain inner
     joins, whose large partitions Spark splits.
     """
-    pairs = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    both = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component"))
-    labels = checkpointed(labels)
-    if labels.isEmpty():
+    pairs = edges.select(F.col("a").alias("node"), F.col("b").alias("near"))
+    pairs = pairs.where(F.col("node").isNotNull() & F.col("near").isNotNull() & (F.col("node") != F.col("near")))
+    both = checkpointed(pairs.unionByName(pairs.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct())
+    labels = both.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("node", "least").alias("component"))
+    if both.isEmpty():
         return labels
     for _ in range(most_rounds):
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        stepped = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("via"))
+        seen = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("component").alias("least"))
+        stepped = labels.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "least").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("beyond"))
         moved = checkpointed(stepped.join(jump, "via").select("node", "old", F.least("via", "beyond").alias("component")))
-        changed = moved.where(F.col("old") != F.col("component")).isEmpty()
+        settled = moved.where(F.col("old") != F.col("component")).isEmpty()
         labels = moved.select("node", "component")
-        if changed:
+        if settled:
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

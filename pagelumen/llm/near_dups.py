@@ -6,15 +6,18 @@
    shingle counts less, but never so much less that an edit weighs like a different text.
 2. *Sketches.* ``BANDS * ROWS`` consistent weighted samples; two texts agree in one with a probability
    that is their weighted Jaccard similarity. Each band of ``ROWS`` samples is a bucket key.
-3. *Candidates.* Equal texts are one node. In each bucket every node is paired with the bucket's least
-   node, not with all others, and each pair is verified by the exact weighted Jaccard similarity of the
+3. *Candidates.* Equal texts are one node. In large buckets, texts that can't be similar to any member of
+   one are set aside first: shingles that no other text of the large buckets has bound what a text can
+   share, and with the least weight in a bucket, its similarity there. This is exact, and it is what keeps a
+   large group of loose copies from being compared pair by pair. In each bucket every node is paired with one leader,
+   not with all others, and each pair is verified by the exact weighted Jaccard similarity of the
    whole texts.
-4. *The rest.* Members of a bucket that ended up in another component than its least node are first
-   verified against ``DRAWN`` seeded draws from the bucket, which joins nearly all that belong together.
-   Those still apart become leaders in turn, some each round, and are verified against all members of other
-   components, until every one has been. Pairs within one component need no check. So the classes are those
-   that verifying every pair of every bucket would give, in a number of pairs that is linear in a bucket
-   whose members are alike.
+4. *The rest.* A bucket's main component is the one that most of its members are in. Members in others are
+   first verified against ``DRAWN`` seeded draws from it in each of their buckets, which joins nearly all
+   that belong to it. Those still apart become leaders, many at once in a small bucket, some each round in a large one, and are verified against
+   all members of other components, until every one has been. Pairs within one component need no check. So
+   the classes are those that verifying every pair of every bucket would give, in a number of pairs that is
+   linear in a bucket whose members are alike.
 
 Cases: null text is in no class but its own; texts without words match only their exact copies; short
 texts have one shingle; repeated rows are exact copies; an empty table gives an empty result; long texts
@@ -39,8 +42,12 @@ BANDS, ROWS = 14, 4
 #: Hashed buckets of document frequencies (a fixed size, whatever the corpus), and how many travel in a row.
 BUCKETS, SLICE = 1 << 18, 1 << 14
 DAMPED = 0.25
-#: Members drawn from a bucket for those apart; pairs of a bucket in each further round, or so many leaders.
-DRAWN, ROUND_PAIRS, LEADERS = 16, 4096, 8
+#: Members drawn from a main component; pairs of a bucket in each further round, or so many leaders.
+DRAWN, ROUND_PAIRS, LEADERS = 4, 1 << 16, 8
+#: What two texts must share for ``SIMILAR``, of the sum of their weights; a hair less, for rounding.
+NEEDED = SIMILAR / (1 + SIMILAR) * (1 - 1e-9)
+#: Members from which on a bucket is large; cells in which their shingles are counted (as a power of two).
+LARGE, CELL_BITS, CELL_SLICE = 64, 23, 1 << 16
 
 _POOL = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -190,7 +197,7 @@ _sampler: list[Sampler] = []
 
 
 def _sketches(df: DataFrame, weights, text: str, key: str) -> DataFrame:
-    """``key, tid, bands``: tid is the text's digest; no bands for a text without words, no tid for none."""
+    """``key, tid, weight, bands``: tid is the text's digest; no bands for a text without words, no tid for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _sampler:
@@ -198,11 +205,13 @@ def _sketches(df: DataFrame, weights, text: str, key: str) -> DataFrame:
         for batch in batches:
             texts = utf8(batch.column(1))
             tids = [None if t is None else hashlib.md5(t).digest() for t in texts]
-            bands = [_sampler[0].bands(*weights.value.of(h)) for h in shingles([t or b"" for t in texts])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["k", "tid", "bands"])
+            weighted = [weights.value.of(h) for h in shingles([t or b"" for t in texts])]
+            bands = [_sampler[0].bands(*x) for x in weighted]
+            totals = [float(w.sum()) for _, w in weighted]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tids, pa.binary()), pa.array(totals, pa.float64()), pa.array(bands, pa.list_(pa.int64()))], ["k", "tid", "weight", "bands"])
 
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, tid binary, bands array<long>")
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, tid binary, weight double, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
@@ -229,6 +238,69 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _own_weight(large: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """``node, own``: at least so much of a member of large buckets is in shingles that no other such member has.
+
+    Members are counted in a fixed number of hashed cells. Shingles that meet in a cell count as shared, which
+    makes ``own`` smaller and fewer members set aside, but none wrongly.
+    """
+    members = checkpointed(texts.join(large.select("node").distinct(), "node").select("node", "text"))
+
+    def cells(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(0, np.int64)]
+        for batch in batches:
+            found += [cells(np.unique(h)) for h in shingles(utf8(batch.column(1)))]
+            if len(found) > 2000:
+                found = [_at_most_twice(found)]
+        places = _at_most_twice(found)
+        cuts = np.searchsorted(places, np.arange(0, (1 << CELL_BITS) + 1, CELL_SLICE))
+        rows = [(i, (places[x:y] - i * CELL_SLICE).astype(np.uint16).tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["slice", "cells"])
+
+    def single(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(CELL_SLICE, np.int64)
+        for blob in table.column("cells"):
+            total += np.bincount(np.frombuffer(blob.as_buffer(), np.uint16), minlength=CELL_SLICE)
+        return pa.table({"slice": [key[0].as_py()], "cells": [np.packbits(total == 1).tobytes()]}, pa.schema([("slice", pa.int32()), ("cells", pa.binary())]))
+
+    once = np.zeros(1 << CELL_BITS, bool)
+    for row in members.mapInArrow(count, "slice int, cells binary").groupBy("slice").applyInArrow(single, "slice int, cells binary").collect():
+        once[row.slice * CELL_SLICE : (row.slice + 1) * CELL_SLICE] = np.unpackbits(np.frombuffer(row["cells"], np.uint8))
+    held = members.sparkSession.sparkContext.broadcast(np.packbits(once))  # fixed size
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone = np.unpackbits(held.value).astype(bool)
+        for batch in batches:
+            sums = []
+            for hashes in shingles(utf8(batch.column(1))):
+                distinct, w = weights.value.of(hashes)
+                sums.append(float(w[alone[cells(distinct)]].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], ["node", "own"])
+
+    return members.mapInArrow(own, "node long, own double")
+
+
+def _at_most_twice(found: list[np.ndarray]) -> np.ndarray:
+    """Sorted places, each once or twice: more often makes no difference."""
+    places = np.sort(np.concatenate(found))
+    return places[np.concatenate([np.ones(min(2, len(places)), bool), places[2:] != places[:-2]])]
+
+
+def _within_reach(large: DataFrame, own: DataFrame) -> DataFrame:
+    """``bucket, node, weight, shared`` of the members that could be similar to another in the bucket.
+
+    ``shared`` is the most that a member can have in common with any. A similarity J of weights x and y with s in common is s / (x + y - s), so J >= t asks for
+    s >= (x + y) t / (1 + t). At most x less its own shingles is in common, and y is at least the bucket's least.
+    """
+    least = large.groupBy("bucket").agg(F.min("weight").alias("least"))
+    rows = large.join(least, "bucket").join(own, "node", "left")
+    rows = rows.withColumn("shared", F.col("weight") - F.coalesce("own", F.lit(0.0)))
+    return rows.where(F.col("shared") >= (F.col("weight") + F.col("least")) * NEEDED).select("bucket", "node", "weight", "shared")
+
+
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, tid, class_id, component``, one row per input row. A class is named by its least key; null text has
     no tid and no component."""
@@ -236,47 +308,58 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     context = df.sparkSession.sparkContext
     weights = context.broadcast(learn_weights(df, text))  # fixed size
     sketches = stored(_sketches(df, weights, text, key))
-    nodes = sketches.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.min("k").alias("k"), F.first("bands").alias("bands"))
+    nodes = sketches.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.min("k").alias("k"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
-    in_band = nodes.select(F.explode("bands").alias("bucket"), "node")
+    in_band = nodes.select(F.explode("bands").alias("bucket"), "node", "weight")
     shared = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where(F.col("n") > 1)
     members = stored(in_band.join(shared, "bucket"))
     # Whatever is compared later is in a shared bucket, so these are all the texts that are needed.
     wanted = members.select("node").distinct().join(nodes.select("node", "tid"), "node")
     by_tid = df.where(F.col(text).isNotNull()).select(F.unhex(F.md5(F.col(text).cast("string").cast("binary"))).alias("tid"), F.col(text).cast("string").alias("text"))
     texts = stored(by_tid.join(wanted, "tid").groupBy("node").agg(F.first("text").alias("text")))
+    members = members.withColumn("shared", F.col("weight"))
+    large = members.where(F.col("n") >= LARGE).drop("shared")
+    if not large.isEmpty():
+        reach = _within_reach(large, checkpointed(_own_weight(large, texts, weights)))
+        kept = checkpointed(members.where(F.col("n") < LARGE).select("bucket", "node", "weight", F.col("weight").alias("shared")).unionByName(reach))
+        # The member with least of its own is nearest to what a group has in common: the best leader.
+        own = F.struct((1 - F.col("shared") / F.col("weight")).alias("own"), "node")
+        again = kept.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", own).alias("leader")).where(F.col("n") > 1)
+        members = stored(kept.join(again, "bucket"))
     tried = checkpointed(members.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     links = checkpointed(_verified(tried, texts, weights))
-    drawn, led = False, None
+    led, drawn, news = None, False, True
     while True:
-        parts = connected_components(links)
-        component = F.coalesce("component", "node")
-        placed = members.join(parts, "node", "left").select("bucket", "node", "leader", "n", component.alias("component"))
-        heads = parts.select(F.col("node").alias("leader"), F.col("component").alias("main"))
-        placed = checkpointed(placed.join(heads, "leader", "left").withColumn("main", F.coalesce("main", "leader")))
-        apart = placed.where(F.col("component") != F.col("main")).select("bucket", "node", "n", "component")
+        if news:
+            parts = connected_components(links)
+        placed = checkpointed(members.join(parts, "node", "left").select("bucket", "node", "n", "weight", "shared", F.coalesce("component", "node").alias("component")))
+        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+        mains = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1)
+        apart = placed.join(mains.select("bucket", "main"), "bucket").where(F.col("component") != F.col("main")).select("bucket", "node", "n", "weight", "shared", "component")
         if not drawn:
-            if apart.isEmpty():
-                break
-            draws = placed.groupBy("bucket").agg(*(F.min_by("node", F.xxhash64(F.lit(i), "node")).alias(f"d{i}") for i in range(DRAWN)))
-            draws = draws.select("bucket", F.array(*(f"d{i}" for i in range(DRAWN))).alias("drawn"))
-            pairs = apart.join(draws, "bucket").select("node", F.explode(F.array_distinct("drawn")).alias("other")).where(F.col("node") != F.col("other"))
+            ours = placed.join(mains.select("bucket", "main"), "bucket").where(F.col("component") == F.col("main"))
+            # Drawn among those with little of their own.
+            lot = lambda i: (1 - F.col("shared") / F.col("weight")) + F.pmod(F.xxhash64(F.lit(i), "node"), F.lit(1000)) / 20000
+            draws = ours.groupBy("bucket").agg(*(F.min_by("node", F.struct(lot(i), "node")).alias(f"d{i}") for i in range(DRAWN)))
+            pairs = apart.join(draws, "bucket").select("node", F.explode(F.array_distinct(F.array(*(f"d{i}" for i in range(DRAWN))))).alias("other"))
             drawn = True
         else:
             if led is not None:
                 apart = apart.join(led, ["bucket", "node"], "left_anti")
             order = Window.partitionBy("bucket").orderBy("node")
             most = F.greatest(F.lit(LEADERS), F.expr(f"{ROUND_PAIRS} div n"))
-            heads = checkpointed(apart.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).select("bucket", "node", "component"))
+            heads = checkpointed(apart.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).drop("i", "n"))
             if heads.isEmpty():
                 break
-            others = placed.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs"))
-            pairs = heads.join(others, "bucket").where(F.col("component") != F.col("theirs"))
-            led = heads.select("bucket", "node") if led is None else checkpointed(led.unionByName(heads.select("bucket", "node")))
+            others = placed.select(F.col("bucket").alias("b"), F.col("node").alias("other"), F.col("component").alias("theirs"), F.col("weight").alias("w"), F.col("shared").alias("s"))
+            enough = F.least("shared", "s") >= (F.col("weight") + F.col("w")) * NEEDED
+            pairs = heads.join(others, (F.col("bucket") == F.col("b")) & (F.col("component") != F.col("theirs")) & enough)
+            led = heads.select("bucket", "node") if led is None else led.unionByName(heads.select("bucket", "node"))
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        links = checkpointed(links.unionByName(_verified(pairs, texts, weights)))
+        fresh = checkpointed(_verified(pairs, texts, weights))
+        tried, links = tried.unionByName(pairs), links.unionByName(fresh)
+        news = not fresh.isEmpty()
     placed = nodes.select("tid", "node", "k").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = placed.groupBy("component").agg(F.min("k").alias("class_id"))
     sizes = placed.join(named, "component").select("tid", "class_id", "component")
