@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pagelumen.llm.common import annotate
 
 #: Entries a worker's memo may hold before it starts anew.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 _NEVER = 1 << 60
 
 

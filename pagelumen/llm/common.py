@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -42,7 +44,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of a batch that goes to a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -54,6 +56,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on between tasks, and what one stage has freed
+    would else stand beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def annotate(
     df: DataFrame,
     per_batch: Callable[[pa.Array], dict[str, pa.Array]],
@@ -79,6 +89,7 @@ def annotate(
         for batch in batches:
             made = per_batch(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(made[n] for n in order)], ["_row", *order])
+        give_back()
 
     schema = T.StructType([packed.schema["_row"], *fields.fields])
     return packed.mapInArrow(run, schema).select(*(F.col(f"_row.`{c}`") for c in kept), *order)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelumen.llm.common import WORD_BYTES, bound_batches, checkpointed, grouped_by_size, mix64, stored, utf8
+from pagelumen.llm.common import WORD_BYTES, bound_batches, checkpointed, give_back, grouped_by_size, mix64, stored, utf8
 from pagelumen.llm.components import connected_components
 
 WORDS, SIMILAR = 5, 0.8
@@ -209,6 +209,7 @@ def _sketches(df: DataFrame, weights, text: str, key: str) -> DataFrame:
             bands = [_sampler[0].bands(*x) for x in weighted]
             totals = [float(w.sum()) for _, w in weighted]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tids, pa.binary()), pa.array(totals, pa.float64()), pa.array(bands, pa.list_(pa.int64()))], ["k", "tid", "weight", "bands"])
+        give_back()
 
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, tid binary, weight double, bands array<long>")
@@ -231,6 +232,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
                 keep += [similarity(known[a], known[b]) >= SIMILAR for a, b in zip(left, right, strict=True)]
             chosen = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], ["a", "b"])
+        give_back()
 
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
