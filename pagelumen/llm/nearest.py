@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 PROJECTIONS, THRESHOLD = 32, 19
 WIDTH = 2.719
-GROWTH = 1.25
+GROWTH = 1.4
 SHARD_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
@@ -52,31 +52,31 @@ class Shard:
     def nearest(self, query: np.ndarray, k: int, skip: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and distances of the k nearest found, nearest first, ties to the smaller id; never those of ``skip``."""
         size = len(self.vectors)
-        counts = np.zeros(size, np.int16)
+        counts = np.zeros(size, np.int64)
         distance = np.full(size, np.nan)
         centre = query @ self.directions
-        lo = hi = None
-        radius = self.first
+        reach = max(float(np.abs(self.sorted[:, [0, -1]] - centre[:, None]).max()) * 2 / WIDTH, self.first)
+        radii = self.first * GROWTH ** np.arange(int(np.ceil(np.log(reach / self.first) / np.log(GROWTH))) + 2)
+        half = radii * WIDTH / 2
+        lo = np.array([np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, centre, strict=True)])
+        hi = np.array([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, centre, strict=True)])
         allowed = size - int(skip.sum())
-        while True:
-            half = radius * WIDTH / 2
-            new_lo = [int(np.searchsorted(s, c - half, "left")) for s, c in zip(self.sorted, centre, strict=True)]
-            new_hi = [int(np.searchsorted(s, c + half, "right")) for s, c in zip(self.sorted, centre, strict=True)]
-            for j in range(PROJECTIONS):
-                if lo is None:
-                    counts[self.order[j, new_lo[j] : new_hi[j]]] += 1
-                else:
-                    counts[self.order[j, new_lo[j] : lo[j]]] += 1
-                    counts[self.order[j, hi[j] : new_hi[j]]] += 1
-            lo, hi = new_lo, new_hi
+        for r, radius in enumerate(radii):
+            # What the windows gain at this radius: at first all of them, then a strip on either side.
+            if r == 0:
+                gained = [self.order[j, lo[j, 0] : hi[j, 0]] for j in range(PROJECTIONS)]
+            else:
+                gained = [self.order[j, lo[j, r] : lo[j, r - 1]] for j in range(PROJECTIONS)]
+                gained += [self.order[j, hi[j, r - 1] : hi[j, r]] for j in range(PROJECTIONS)]
+            counts += np.bincount(np.concatenate(gained), minlength=size)
             fresh = np.flatnonzero((counts >= THRESHOLD) & np.isnan(distance) & ~skip)
             distance[fresh] = np.sqrt(((self.vectors[fresh] - query) ** 2).sum(1))
             verified = ~np.isnan(distance)
             if int((distance[verified] <= radius).sum()) >= min(k, allowed) or int(verified.sum()) == allowed:
-                rows = np.flatnonzero(verified)
-                best = rows[np.lexsort((ids[rows], distance[rows]))][:k]
-                return best, distance[best]
-            radius *= GROWTH
+                break
+        rows = np.flatnonzero(~np.isnan(distance))
+        best = rows[np.lexsort((ids[rows], distance[rows]))][:k]
+        return best, distance[best]
 
 
 def _usable(v: Column) -> Column:
