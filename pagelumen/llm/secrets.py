@@ -6,7 +6,9 @@ is built, and states whose outgoing counts are statistically compatible (Hoeffdi
 symbol, all the way down) are merged, red states with blue ones, into a probabilistic automaton. A
 background automaton is inferred in the same way from the sample's ordinary tokens. Then every other token
 of every document is a candidate: it is a find of kind ``learned`` if the best credential automaton
-gives it a likelihood that beats the background's by a margin which no sampled ordinary token reaches.
+gives it a likelihood that beats the background's by a margin set from a stated rate of false finds. The
+unlabelled tokens may hold credentials the patterns miss, so the margin doesn't depend on them, and those
+that look like credentials beside a background of one state are left out of the background.
 
 Cases: null and empty text have no spans; texts of any length are scanned whole; repeated rows repeat
 their results; with fewer than ``LEAST`` labelled credentials of a kind that kind's automaton is not
@@ -33,6 +35,8 @@ SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_ORDINARY = 8192, 400, 4000
 LEAST = 8
 #: Confidence parameter of the compatibility test.
 ALPHA = 0.01
+#: Share of background tokens that may pass as finds: an odds ratio above 1/r has at most probability r.
+FALSE_RATE = 1e-6
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -153,13 +157,25 @@ class Automaton:
         return total + self._logs[state].get(_END, self._rest[state])
 
 
+class OneState(Automaton):
+    """All states merged: too coarse to learn a rare format from its own few tokens."""
+
+    def _alike(self, a: int, b: int) -> bool:
+        return True
+
+
 class Formats:
-    """Credential automata against a background; ``margin`` is the log-odds a find must pass."""
+    """Credential automata against a background; ``margin`` is the log-odds a find must pass.
+
+    The background is learned twice. First with one state, which tells the unlabelled tokens that look like
+    credentials; then from the others. Tokens without a letter (numbers, dates) always stay in.
+    """
 
     def __init__(self, credentials: dict[str, list[str]], ordinary: list[str]):
         self.kinds = {k: Automaton(v) for k, v in credentials.items() if len(v) >= LEAST}
-        self.background = Automaton(ordinary)
-        self.margin = max([6.0, *(1.0 + s for t in ordinary if (s := self.odds(t)) is not None)])
+        self.margin = math.log(max(len(self.kinds), 1) / FALSE_RATE)
+        self.background: Automaton = OneState(ordinary)
+        self.background = Automaton([t for t in ordinary if not (any(c.isalpha() for c in t) and (self.odds(t) or 0.0) > self.margin)])
 
     def odds(self, token: str) -> float | None:
         value = _NAME.sub("", token)

@@ -51,6 +51,17 @@ def test_formats_find_what_the_patterns_miss():
     assert formats.spans(text, secrets.base_spans(text)) == []
 
 
+def test_unlabelled_credentials_in_the_training_text_hide_nothing():
+    words = [a + b + c for a in ("there", "and", "ofth", "ing", "onth") for b in ("erly", "ention", "ered", "ersh") for c in ("tion", "andly", "ther")]
+    numbers = [str(10**15 + 7**k % 10**15) for k in range(20, 25)]
+    ordinary = [*words * 5, *(f"example.com/path/{i}/page.html" for i in range(60)), *numbers]
+    for hidden in (1, 40):
+        formats = secrets.Formats({"assign": keys(200), "access": [], "hex": []}, ordinary + keys(hidden, seed=3))
+        fresh = keys(50, seed=9)
+        assert sum(bool(formats.spans(f"a note {k} follows", [])) for k in fresh) >= 45
+        assert not any(formats.spans(f"a note {w} follows", []) for w in ordinary)
+
+
 def test_equal_behaviour_merges_states():
     automaton = secrets.Automaton(keys(300))
     assert len(automaton.next) < 60  # of thousands in the prefix tree
