@@ -1,7 +1,7 @@
 r"""Secret scanning: fixed patterns, and formats learned by grammar inference.
 
-The base patterns find assignments, access keys and long hexadecimal runs. Their finds, drawn from a
-bounded sample of documents, are labelled credentials: for each kind a prefix tree over character classes
+The base patterns find assignments, access keys and long hexadecimal runs. Their finds in all documents,
+a bounded number of values drawn by hash, are labelled credentials: for each kind a prefix tree over character classes
 is built, and states whose outgoing counts are statistically compatible (Hoeffding bound on every
 symbol, all the way down) are merged, red states with blue ones, into a probabilistic automaton. A
 background automaton is inferred in the same way from the sample's ordinary tokens. Then every other token
@@ -24,13 +24,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelumen.llm.common import annotate, bound_batches
+from pagelumen.llm.common import annotate, bound_batches, give_back
 
-#: Bounds of the training sample: documents, labelled credentials per kind, ordinary tokens.
+#: Bounds of the training sample: documents for ordinary tokens, labelled credentials per kind, ordinary tokens.
 SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_ORDINARY = 8192, 400, 4000
 LEAST = 8
 #: Confidence parameter of the compatibility test.
@@ -202,36 +202,51 @@ class Formats:
 
 
 def learn(df: DataFrame, text: str = "text", key: str = "doc_id") -> Formats:
-    """Infers the formats from a bounded sample: about ``SAMPLE_DOCS`` rows of least key hash.
+    """Infers the formats from the base finds of all documents and ordinary tokens of a sample.
 
-    Which rows these are depends on the keys alone, so a lost executor changes nothing.
+    Of each kind the ``SAMPLE_EACH`` values of least hash are learned from, however rare they are. Ordinary
+    tokens come from the documents whose text has a hash in a share of the range that holds about
+    ``SAMPLE_DOCS`` of them. Both depend on values alone, so a lost executor or another order changes nothing,
+    and keys, null or repeated, play no part.
     """
     bound_batches(df.sparkSession)
-    rank = F.xxhash64(F.lit("secrets"), F.col(key))
     n = df.count()
-    # Hashes are uniform, so a share of their range holds about that share of the rows.
+    # Hashes are uniform, so a share of their range holds about that share of the texts.
     edge = -(1 << 63) + min((1 << 64) * SAMPLE_DOCS // max(n, 1), (1 << 64) - 1)
-    chosen = df.where(rank <= edge).select(rank.alias("h"), F.col(text).cast("string").alias("text")).limit(2 * SAMPLE_DOCS)
+    value = F.col(text).cast("string")
+    texts = df.select(value.alias("text"), (F.xxhash64(F.lit("secrets"), value) <= edge).alias("sampled"))
+    most = {**dict.fromkeys(KINDS, SAMPLE_EACH), "ordinary": SAMPLE_ORDINARY}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The values of least hash of the partition: those of the whole table are among them."""
+        least: dict[str, dict[str, str]] = {k: {} for k in most}
         for batch in batches:
-            seen = {(kind, value) for row in batch.column(1) for kind, value in _labelled(row.as_py() or "")}
-            kinds, values = [k for k, _ in seen], [v for _, v in seen]
-            order = [hashlib.md5(v.encode()).hexdigest() for v in values]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(order, pa.string())], ["kind", "value", "o"])
-
-    rows = chosen.mapInArrow(gather, "kind string, value string, o string").groupBy("kind", "value", "o").count()
-    sample: dict[str, list[str]] = {}
-    for kind, most in [*((k, SAMPLE_EACH) for k in KINDS), ("ordinary", SAMPLE_ORDINARY)]:
-        sample[kind] = [r.value for r in rows.where(F.col("kind") == kind).orderBy("o").limit(most).collect()]
+            for row, sampled in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for kind, value in _labelled(row.as_py() or "", sampled):
+                    if value not in least[kind]:
+                        least[kind][value] = hashlib.md5(value.encode()).hexdigest()
+                for kind, held in least.items():
+                    if len(held) > 4 * most[kind]:
+                        least[kind] = dict(sorted(held.items(), key=lambda v: v[1])[: most[kind]])
+        for kind, held in least.items():
+            values = sorted(held.items(), key=lambda v: v[1])[: most[kind]]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(values), pa.string()), *(pa.array([v[i] for v in values], pa.string()) for i in (0, 1))], ["kind", "value", "o"])
+        give_back()
+
+    rows = texts.mapInArrow(gather, "kind string, value string, o string").distinct()
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("o"))
+    bound = F.when(F.col("kind") == "ordinary", SAMPLE_ORDINARY).otherwise(SAMPLE_EACH)
+    sample: dict[str, list[str]] = {k: [] for k in most}
+    for r in rows.withColumn("rank", rank).where(F.col("rank") <= bound).orderBy("kind", "rank").collect():
+        sample[r.kind].append(r.value)
     return Formats({k: sample[k] for k in KINDS}, sample["ordinary"])
 
 
-def _labelled(text: str) -> list[tuple[str, str]]:
+def _labelled(text: str, sampled: bool = True) -> list[tuple[str, str]]:
     """Credentials by kind (of an assignment, its value), and some of the tokens that are none."""
     base = base_spans(text)
     out = [(KINDS[k], ASSIGN.match(text, s).group(2)[:128] if k == 0 else text[s:e][:128]) for s, k, e in base]
-    for m in TOKEN.finditer(text):
+    for m in TOKEN.finditer(text) if sampled else ():
         if not any(s < m.end() and e > m.start() for s, _, e in base):
             value = m.group()[:128]
             if hashlib.md5(value.encode()).digest()[0] < 32:

@@ -85,3 +85,18 @@ def test_redact_removes_finds_and_keeps_the_rest(spark):
     assert out[0] is None and out[1] == "" and out[len(TEXTS)] == "no secret here"
     assert out[2].startswith("[secret] and token = \"abc\"")
     assert not any(plain_base(t or "") for t in out.values())
+
+
+def test_rare_kinds_are_learned_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE_DOCS", 20)
+    rare = [f"words of note password={k} and more" for k in keys(12)]
+    frame = docs(spark, rare + [f"plain words of number{i} and others" for i in range(400)])
+    formats = secrets.learn(frame)
+    assert "assign" in formats.kinds
+    # Keys play no part: null ones and repeated ones neither.
+    for key in ("cast(null as long)", "7L"):
+        other = secrets.learn(frame.selectExpr(f"{key} as doc_id", "text"))
+        assert other.margin == formats.margin
+        assert all(other.odds(k) == formats.odds(k) for k in keys(20, seed=9))
+    monkeypatch.setattr(secrets, "SAMPLE_EACH", 9)
+    assert secrets.learn(frame).kinds.keys() == formats.kinds.keys()
