@@ -5,7 +5,8 @@ a bounded number of values drawn by hash, are labelled credentials: for each kin
 is built, and states whose outgoing counts are statistically compatible (Hoeffding bound on every
 symbol, all the way down) are merged, red states with blue ones, into a probabilistic automaton. A
 background automaton is inferred in the same way from the sample's ordinary tokens. Then every other token
-of every document is a candidate: it is a find of kind ``learned`` if the best credential automaton
+of every document, and what base finds leave of one, is a candidate, of any length and any characters of
+the class (lengths at which no string at all could pass are skipped): it is a find of kind ``learned`` if the best credential automaton
 gives it a likelihood that beats the background's by a margin set from a stated rate of false finds. The
 unlabelled tokens may hold credentials the patterns miss, so the margin doesn't depend on them, and those
 that look like credentials beside a background of one state are left out of the background.
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,9 +43,11 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-#: What a token may have in front that isn't part of the credential: a name and an equals sign.
-_NAME = re.compile(r"^[A-Za-z_.-]{1,40}=+")
+#: Candidates, and what one may have in front that isn't part of the credential (a name and an equals sign):
+#: both over class symbols.
+TOKEN = rb"[0hlHU+/_.=-]{%d,}"
+_NAME = re.compile(rb"^[hlHU_.-]{1,40}=+")
+_MARKS = b"+/_.=-"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -60,24 +63,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _symbols(token: str) -> str:
-    """Digits 0, a-f h, other small letters l, A-F H, other capitals U; the rest stand for themselves."""
-    return token.translate(_CLASSES)
+def _symbols(text: str) -> bytes:
+    """Digits 0, a-f h, other small letters l, A-F H, other capitals U; the rest of ASCII stands for itself.
+
+    One byte a code point, so positions stay; no character beyond ASCII becomes part of a token.
+    """
+    return text.encode("latin-1", "replace").translate(_CLASSES)
+
+
+_CLASSES = bytes(
+    next((ord(k) for k, cs in {"0": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ"}.items() if chr(c) in cs), c)
+    for c in range(256)
+)
+
+
+def candidates(text: str, base: list[tuple[int, int, int]], least: int = 1) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, symbols) of the tokens and of the parts of tokens that no base find covers.
+
+    Where a find was cut off, the marks that join it to the rest go too.
+    """
+    symbols = _symbols(text)
+    if base:
+        uncovered = bytearray(symbols)
+        for s, _, e in base:
+            uncovered[s:e] = bytes(e - s)
+        symbols = bytes(uncovered)
+    ends = {e for _, _, e in base}
+    starts = {s for s, _, _ in base}
+    for m in re.finditer(TOKEN % least, symbols):
+        token, s, e = m.group(), m.start(), m.end()
+        if s in ends:
+            token = token.lstrip(_MARKS)
+            s = e - len(token)
+        if e in starts:
+            token = token.rstrip(_MARKS)
+            e = s + len(token)
+        if token:
+            yield s, e, token
 
 
-_CLASSES = {ord(c): k for k, cs in {"0": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in cs}
 #: Characters each class stands for: a class's probability is spread over them.
-_WIDTH = {"0": 10, "h": 6, "l": 20, "H": 6, "U": 20}
-_SYMBOLS = 5 + len("+/_.=-") + 1
-_END = "$"
+_WIDTH = {ord("0"): 10, ord("h"): 6, ord("l"): 20, ord("H"): 6, ord("U"): 20}
+_ALPHABET = b"0hlHU" + _MARKS
+_END = ord("$")
 
 
 class Automaton:
     """A probabilistic automaton inferred from strings by merging compatible prefix-tree states."""
 
     def __init__(self, strings: list[str]):
-        self.next: list[dict[str, int]] = [{}]
-        self.count: list[dict[str, int]] = [defaultdict(int)]
+        self.next: list[dict[int, int]] = [{}]
+        self.count: list[dict[int, int]] = [defaultdict(int)]
         for s in strings:
             state = 0
             for symbol in _symbols(s):
@@ -89,12 +125,11 @@ class Automaton:
                 state = self.next[state][symbol]
             self.count[state][_END] += 1
         self._merge_states()
-        self._logs: list[dict[str, float]] = []
-        self._rest: list[float] = []
+        self._lengths, self._total = Counter(map(len, strings)), len(strings)
+        self.logs: list[dict[int, float]] = []
         for counts in self.count:
-            total = sum(counts.values()) + 0.5 * _SYMBOLS
-            self._logs.append({s: math.log((n + 0.5) / total / _WIDTH.get(s, 1)) for s, n in counts.items()})
-            self._rest.append(math.log(0.5 / total))
+            total = sum(n for s, n in counts.items() if s != _END) + 0.5 * len(_ALPHABET)
+            self.logs.append({s: math.log((counts.get(s, 0) + 0.5) / total / _WIDTH.get(s, 1)) for s in _ALPHABET})
 
     def _alike(self, a: int, b: int) -> bool:
         """Whether two states' behaviour could be the same: Hoeffding's bound at every pair of states below."""
@@ -147,14 +182,21 @@ class Automaton:
         self.next = [{s: number[t] for s, t in self.next[r].items()} for r in red]
         self.count = [self.count[r] for r in red]
 
+    def length(self, n: int) -> float:
+        """Log-probability of the length: its share of the strings, smoothed by 1 / n(n + 1)."""
+        return math.log((self._lengths[n] + 1 / (n * (n + 1))) / (self._total + 1))
+
     def score(self, token: str) -> float:
-        """Log-likelihood of the token, end included. An unseen symbol costs its smoothed share and stays put."""
-        state, total = 0, 0.0
-        for symbol in _symbols(token):
-            logs = self._logs[state]
-            total += logs[symbol] if symbol in logs else self._rest[state] - math.log(_WIDTH.get(symbol, 1))
+        """Log-likelihood of the token."""
+        return self.score_symbols(_symbols(token))
+
+    def score_symbols(self, symbols: bytes) -> float:
+        """Log-likelihood of the length and, given it, of the symbols. An unseen symbol stays put."""
+        state, total = 0, self.length(len(symbols))
+        for symbol in symbols:
+            total += self.logs[state][symbol]
             state = self.next[state].get(symbol, state)
-        return total + self._logs[state].get(_END, self._rest[state])
+        return total
 
 
 class OneState(Automaton):
@@ -176,29 +218,58 @@ class Formats:
         self.margin = math.log(max(len(self.kinds), 1) / FALSE_RATE)
         self.background: Automaton = OneState(ordinary)
         self.background = Automaton([t for t in ordinary if not (any(c.isalpha() for c in t) and (self.odds(t) or 0.0) > self.margin)])
+        self.least = self._least()
+        self._known: dict[bytes, int] = {}
 
     def odds(self, token: str) -> float | None:
-        value = _NAME.sub("", token)
-        if len(value) < 12 or not self.kinds or not any(c.isdigit() for c in value):
+        """Log-odds of a token, without a name in front; None where there is nothing to score."""
+        return self._odds(_NAME.sub(b"", _symbols(token)))
+
+    def _odds(self, symbols: bytes) -> float | None:
+        if not symbols or not self.kinds:
             return None
-        return max(a.score(value) for a in self.kinds.values()) - self.background.score(value)
+        return max(a.score_symbols(symbols) for a in self.kinds.values()) - self.background.score_symbols(symbols)
+
+    def _least(self, most: int = 12) -> int:
+        """The least length at which some string passes, or ``most``: the highest odds over all strings of
+        each length, by pairs of states."""
+        back, least = self.background, most
+        for a in self.kinds.values():
+            best = {(0, 0): 0.0}
+            for n in range(1, least):
+                after: dict[tuple[int, int], float] = {}
+                for (x, y), odds in best.items():
+                    for symbol in _ALPHABET:
+                        to = (a.next[x].get(symbol, x), back.next[y].get(symbol, y))
+                        now = odds + a.logs[x][symbol] - back.logs[y][symbol]
+                        if now > after.get(to, -math.inf):
+                            after[to] = now
+                best = after
+                if max(best.values()) + a.length(n) - back.length(n) > self.margin - 1e-6:
+                    least = n
+                    break
+        return least
+
+    def _skip(self, token: bytes) -> int:
+        """Where the credential starts in the token, or -1: kept for short tokens, as many have the same symbols."""
+        skip = self._known.get(token)
+        if skip is None:
+            name = _NAME.match(token)
+            skip = name.end() if name else 0
+            odds = self._odds(token[skip:])
+            if odds is None or odds <= self.margin:
+                skip = -1
+            if len(token) <= 64:
+                if len(self._known) >= 100_000:
+                    self._known.clear()
+                self._known[token] = skip
+        return skip
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Learned finds; a token that overlaps a base find has been found already."""
+        """Learned finds in what the base finds leave."""
         if not self.kinds:
             return []
-        found, i = [], 0
-        taken = sorted((s, e) for s, _, e in base)
-        for m in TOKEN.finditer(text):
-            while i < len(taken) and taken[i][1] <= m.start():
-                i += 1
-            if any(s < m.end() and e > m.start() for s, e in taken[i : i + 4]):
-                continue
-            odds = self.odds(m.group())
-            if odds is not None and odds > self.margin:
-                skip = _NAME.match(m.group())
-                found.append((m.start() + (skip.end() if skip else 0), len(KINDS), m.end()))
-        return found
+        return [(s + skip, len(KINDS), e) for s, e, token in candidates(text, base, self.least) if (skip := self._skip(token)) >= 0]
 
 
 def learn(df: DataFrame, text: str = "text", key: str = "doc_id") -> Formats:
@@ -246,11 +317,10 @@ def _labelled(text: str, sampled: bool = True) -> list[tuple[str, str]]:
     """Credentials by kind (of an assignment, its value), and some of the tokens that are none."""
     base = base_spans(text)
     out = [(KINDS[k], ASSIGN.match(text, s).group(2)[:128] if k == 0 else text[s:e][:128]) for s, k, e in base]
-    for m in TOKEN.finditer(text) if sampled else ():
-        if not any(s < m.end() and e > m.start() for s, _, e in base):
-            value = m.group()[:128]
-            if hashlib.md5(value.encode()).digest()[0] < 32:
-                out.append(("ordinary", value))
+    for s, e, _ in candidates(text, base) if sampled else ():
+        value = text[s:e][:128]
+        if hashlib.md5(value.encode()).digest()[0] < 32:
+            out.append(("ordinary", value))
     return out
 
 
