@@ -5,8 +5,9 @@ n-grams (log-odds of the n-gram under the languages on either side) predicts its
 over the bits, the logistic loss of each codeword's sign against the classifier's margin, weighted by the
 bit's accuracy in training, and chooses the codeword of least loss. A close second flags ambiguity.
 
-Training uses a bounded sample of labelled rows: about ``SAMPLE_EACH`` rows of least key hash for each of the
-``MOST_LANGUAGES`` most frequent languages. Prediction reads the whole of every text.
+Training uses a sample of labelled rows: about ``SAMPLE_EACH`` rows of least key hash for every language.
+The driver holds the sample and a table of languages by buckets, so more than ``MOST_LANGUAGES`` labels are
+an error; none is ever left out. Prediction reads the whole of every text.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; rows with a null language teach
 nothing; with no labelled row at all every text is ``und``; repeated rows and ties in hash are harmless
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from pagelumen.llm.common import WORD_BYTES, annotate, grouped_by_size
 
-SAMPLE_EACH, MOST_LANGUAGES = 300, 64
+SAMPLE_EACH, MOST_LANGUAGES = 300, 1024
 BUCKETS = 1 << 15
 UND = "und"
 #: Posterior of the best language below which a text is ambiguous.
@@ -46,7 +47,8 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(40):
         table = rng.choice(np.array([-1, 1], np.int8), (n, bits))
         table[:, np.abs(table.sum(0)) == n] *= np.where(np.arange(n) == 0, -1, 1)[:, None].astype(np.int8)
-        apart = (table[:, None] != table[None]).sum(2) + bits * np.eye(n, dtype=int)
+        signs = table.astype(np.float32)
+        apart = (bits - signs @ signs.T) / 2 + bits * np.eye(n)
         if apart.min() > best_gap:
             best, best_gap = table, apart.min()
     return best
@@ -120,18 +122,18 @@ class Codes:
 
 
 def learn(df: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Codes:
-    """Trains on the bounded sample of the rows for which ``usable`` holds."""
+    """Trains on a sample of the rows for which ``usable`` holds, with every language among them."""
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if usable is None else usable))
     h = F.xxhash64(F.lit("language"), F.col(key).cast("string"))
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return Codes([])
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels in {lang}")
     # Hashes are uniform, so a share of their range holds about that share of a language's rows: no ranking.
     edges = {r[0]: -(1 << 63) + min((1 << 64) * SAMPLE_EACH // r["count"], (1 << 64) - 1) for r in counts}
-    within = F.lit(False)
-    for name, edge in sorted(edges.items()):
-        within = within | ((F.col(lang) == name) & (h <= edge))
-    rows = known.where(within).select(lang, text).limit(2 * SAMPLE_EACH * len(edges)).collect()
+    last = F.element_at(F.create_map(*(F.lit(x) for name, edge in sorted(edges.items()) for x in (name, edge))), F.col(lang))
+    rows = known.where(h <= last).select(lang, text).limit(2 * SAMPLE_EACH * len(edges)).collect()
     return Codes([(r[0], r[1]) for r in rows])
 
 

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagelumen.llm import language_id
@@ -33,3 +36,17 @@ def test_edges(spark):
     assert {r.lang_pred for r in language_id.identify(frame, nothing).collect()} == {"und"}
     one = language_id.Codes([("en", "some words")])
     assert one.predict(["anything"])[0] == ["en"]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabularies = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(30)] for i in range(90)}
+    # The first languages have more rows than the rest.
+    rows = [(f"{lang}-{k}", " ".join(rng.choices(words, k=60)), lang) for lang, words in vocabularies.items() for k in range(5 if lang < "l64" else 3)]
+    codes = language_id.learn(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+    assert codes.languages == sorted(vocabularies)
+    fresh = [(" ".join(rng.choices(words, k=60)), lang) for lang, words in vocabularies.items()]
+    assert sum(p == lang for p, (_, lang) in zip(codes.predict([t for t, _ in fresh])[0], fresh, strict=True)) >= 88
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 89)
+    with pytest.raises(ValueError, match="89"):
+        language_id.learn(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
