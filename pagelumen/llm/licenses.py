@@ -2,7 +2,8 @@
 
 A text is brought to canonical form (A-Z lower-cased, copyright lines gone, spellings that licence
 matching holds equivalent made one, runs of anything but letters and digits made one space), and the
-digest of the whole form is hash-joined to the digests of known licences.
+digest of the whole form is hash-joined to the digests of known licences: short ones below with their
+usual titles, long ones from ``license_texts``. The list is finite: other licences have a digest and no name.
 
 Cases: null text has no digest and no licence; text that is empty in canonical form has a digest and no
 licence; texts of any length are read whole; repeated rows repeat their result; an empty table gives an
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +68,40 @@ Unless required by applicable law or agreed to in writing, software distributed
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
 }
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE"""
+KNOWN["BSD-3-Clause"] = KNOWN["BSD-2-Clause"].replace("THIS SOFTWARE", _BSD_3, 1)
+# Titles under which a text is published, besides the one above. The empty one is no title.
+TITLES = {
+    "MIT": ["", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+_OWN_TITLE = {"MIT": "MIT License", "ISC": "ISC License"}
+_LAST_LINE = "END OF TERMS AND CONDITIONS"
+
+
+def _variants() -> dict[str, str]:
+    """Further forms, named licence|form: other titles, and the long texts of the data folder, whole, and up
+    to the last line of their terms with and without that line."""
+    out = {}
+    for name, titles in TITLES.items():
+        body = KNOWN[name].removeprefix(_OWN_TITLE.get(name, "")).strip()
+        out |= {f"{name}|{title}": f"{title}\n\n{body}" for title in titles}
+    for file in sorted(resources.files("pagelumen.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        out[f"{name}|text"] = text
+        terms, last, rest = text.partition(_LAST_LINE)
+        if last:
+            out |= {f"{name}|terms": terms, f"{name}|terms and last line": terms + last}
+    return out
+
+
+KNOWN |= _variants()
 # Spellings held equivalent, after punctuation has gone. Each is replaced where it stands as a whole word.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"),
@@ -99,7 +135,8 @@ def canonical_text(text: str) -> str:
 
 
 def known_digests(texts: dict[str, str] = KNOWN) -> list[tuple[str, str]]:
-    return [(name, hashlib.sha256(canonical_text(t).encode()).hexdigest()) for name, t in sorted(texts.items())]
+    """(licence, digest) of each text; of a name with a bar, what is before it is the licence."""
+    return [(name.split("|")[0], hashlib.sha256(canonical_text(t).encode()).hexdigest()) for name, t in sorted(texts.items())]
 
 
 def scan(df: DataFrame, texts: dict[str, str] = KNOWN, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -29,3 +29,24 @@ def test_canonical_forms_meet(spark):
 def test_known_texts_are_distinct():
     digests = [d for _, d in licenses.known_digests()]
     assert len(set(digests)) == len(licenses.KNOWN)
+
+
+def test_whole_licences_and_titles_are_known(spark):
+    mit, isc, bsd = (licenses.KNOWN[k] for k in ("MIT", "ISC", "BSD-2-Clause"))
+    gpl, apache = (licenses.KNOWN[f"{k}|text"] for k in ("GPL-2.0", "Apache-2.0"))
+    end = "END OF TERMS AND CONDITIONS"
+    wanted = [
+        (mit.removeprefix("MIT License"), "MIT"),
+        ("The MIT License (MIT)\n\nCopyright (c) 2020 A. Author\n" + mit.removeprefix("MIT License"), "MIT"),
+        (isc.removeprefix("ISC License"), "ISC"),
+        ("BSD 2-Clause License\n\nCopyright (c) 2020, A. Author\nAll rights reserved.\n\n" + bsd, "BSD-2-Clause"),
+        (licenses.KNOWN["BSD-3-Clause"], "BSD-3-Clause"),
+        (gpl, "GPL-2.0"),
+        (gpl.split(end)[0], "GPL-2.0"),
+        (apache.split(end)[0] + end, "Apache-2.0"),
+        (apache.replace("[yyyy] [name of copyright owner]", "2020 A. Author"), "Apache-2.0"),
+    ]
+    wanted += [(text, name.split("|")[0]) for name, text in licenses.KNOWN.items()]
+    out = {r.doc_id: r.license_id for r in licenses.scan(docs(spark, [t for t, _ in wanted])).collect()}
+    assert [out[i] for i in range(len(wanted))] == [name for _, name in wanted]
+    assert {"GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(out.values())
