@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 Parquet in the shared folder and hands what it reads back to the next. ``documents`` columns: ``doc_id,
 text, lang, source, n_chars``.
 
-1. language: documents without a recognised language (no letter, or no text) go; the language column is
-   the labelled one where there is a label, else the predicted one.
+1. language: documents without a letter or without text go. The decoded language becomes the document's,
+   also over another label, unless it is ambiguous: then a label stays, and a document without one is
+   ``und``. Where no document has a label, nothing can be learned and the language stays null.
 2. near duplicates: one document of each class stays.
 3. decontamination: benchmark passages are cut out of the text.
 4. secrets: finds are replaced by a mark.
@@ -29,9 +30,12 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     codes = language_id.learn(docs)
+    if not codes.languages:
+        return docs.select(*COLUMNS).where(F.col("text").cast("string").rlike(r"\p{L}"))
     found = language_id.identify(docs.select(*COLUMNS), codes)
     kept = found.where(F.col("lang_pred") != language_id.UND)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    decoded = F.when(~F.col("ambiguous"), F.col("lang_pred")).otherwise(F.coalesce("lang", F.lit(language_id.UND)))
+    return kept.withColumn("lang", decoded).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,23 @@ def test_stages_on_awkward_rows(spark, sf_dir, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf_dir)
     assert empty.count() == 0
+
+
+def test_language_stage_decides(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    english, french = "the cat and the dog went over the hill with them", "le chat et la souris sont dans les bois avec eux"
+    rows = [(i, f"{t} {t}", lang, "s", 0) for i, (t, lang) in enumerate([(english, "en"), (french, "fr")] * 20)]
+    both = f"{english} {french}"
+    rows += [(100, english, "fr", "s", 0), (101, french, None, "s", 0), (102, "12 34", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, schema)
+    out = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, sf_dir).collect()}
+    assert out == {**{i: r[2] for i, r in enumerate(rows[:40])}, 100: "en", 101: "fr"}
+    # Ambiguous: a label stays, a missing one is und.
+    codes = language_id.learn(docs)
+    words = both.split()
+    unclear = next(t for k in range(len(words)) for t in [" ".join(words[k : k + 11]), words[k]] if codes.predict([t])[1][0] < language_id.SURE)
+    more = spark.createDataFrame([*rows, (200, unclear, None, "s", 0)], schema)
+    assert {r.doc_id: r.lang for r in corpus_pipeline.language(spark, more, sf_dir).collect()}[200] == "und"
+    # No label at all: what has letters stays.
+    bare = spark.createDataFrame([(1, english, None, "s", 0), (2, "12 34", None, "s", 0), (3, None, None, "s", 0), (4, "\u0434\u0430", None, "s", 0)], schema)
+    assert sorted((r.doc_id, r.lang) for r in corpus_pipeline.language(spark, bare, sf_dir).collect()) == [(1, None), (4, None)]
