@@ -12,7 +12,8 @@ are cut into overlapping pieces of bounded length (each occurrence lies whole in
 bounds the rounds of the suffix sort whatever is repeated.
 
 Cases: null and empty text have no words and no hits; an item of fewer than ``WINDOW`` words is one
-window; an item without words has none; repeated items count each; an empty benchmark hits nothing; an
+window; an item without words has none; repeated items count each; an item with a null
+id has hits like the others and is not named; an empty benchmark hits nothing; an
 empty table gives an empty result; input columns with an output's name are replaced by it.
 """
 
@@ -45,14 +46,14 @@ def words_of(data: bytes) -> list[bytes]:
 class Windows:
     """The distinct windows of some benchmark items, as word numbers."""
 
-    def __init__(self, items: list[tuple[str, str | None]]):
+    def __init__(self, items: list[tuple[str | None, str | None]]):
         self.vocabulary: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             words = words_of((text or "").encode())
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
             for i in range(max(len(ids) - WINDOW + 1, 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + WINDOW]), set()).add(item)
+                owners.setdefault(tuple(ids[i : i + WINDOW]), set()).update(() if item is None else (item,))
         order = sorted(owners, key=lambda w: (len(w), w))
         self.owners = [sorted(owners[w]) for w in order]
         self.by_length: list[tuple[int, np.ndarray]] = []  # first window's number, windows of one length
@@ -235,7 +236,7 @@ def _passes(benchmark: DataFrame, item: str, text: str) -> Iterator[Windows]:
     parts = int(size // PASS_BYTES) + 1
     for part in range(parts):
         mine = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        yield Windows([(r.item, r.text) for r in mine.where(F.col("item").isNotNull()).collect()])
+        yield Windows([(r.item, r.text) for r in mine.collect()])
 
 
 def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", keep: list[str] | None = None) -> DataFrame:

@@ -95,3 +95,13 @@ def test_query_on_the_table(spark, sf_dir):
     for r, want in zip(texts, brute([r.text for r in texts], items), strict=True):
         got = rows[r.doc_id]
         assert (got.n_words, got.n_hit, got.n_items) == (want[0], want[1], len(want[2]))
+
+
+def test_items_without_an_id_are_hit(spark):
+    bench = spark.createDataFrame([(None, "one two three four five six seven eight nine ten"), ("a", "five six")], "item_id string, text string")
+    frame = docs(spark, ["keep one two three four five six seven eight nine ten keep", "five six", "clean"])
+    out = {r.doc_id: ([tuple(s) for s in r.hit_spans], r.hit_items) for r in d.find_passages(frame, bench).collect()}
+    assert out == {0: ([(1, 11)], ["a"]), 1: ([(0, 2)], ["a"]), 2: ([], [])}
+    alone = bench.where("item_id is null")
+    assert {r.doc_id: (len(r.hit_spans), r.hit_items) for r in d.find_passages(frame, alone).collect()}[0] == (1, [])
+    assert {r.doc_id: r.text for r in d.remove_passages(frame, alone).collect()}[0] == "keep  keep"
