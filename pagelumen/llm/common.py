@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,24 +23,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage at a file in the folder of ``spark.checkpoint.dir``, which executors share.
 
-    The setting is read from the session. Only where it is unset, as in tests on one machine, a
-    temporary folder takes its place.
+    The setting is read from the session. Only where it is unset and Spark runs on one machine, as in tests,
+    a temporary folder takes its place; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        wanted = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        wanted = spark.conf.get("spark.checkpoint.dir", None)
+        if not wanted and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(wanted or os.path.join(tempfile.gettempdir(), "pagelumen-checkpoints"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Like ``checkpointed``, but as a compressed Parquet table in the shared folder; for larger tables."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        checkpointed(spark.range(1))  # sets the folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    return _written(df, f"{_shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Yields a function like ``stored`` whose tables are deleted at the end; nothing lazy may need them then."""
+    made: list[tuple[SparkSession, str]] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{_shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+        made.append((df.sparkSession, path))
+        return _written(df, path)
+
+    try:
+        yield keep
+    finally:
+        for spark, path in made:
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 #: Bytes of a batch that goes to a Python worker.
@@ -79,10 +104,7 @@ def annotate(
     bound_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
-    packed = df.select(
-        F.struct(*(F.col(f"`{c}`") for c in kept), F.lit(0).alias("_pad")).alias("_row"),
-        F.col(f"`{text}`").cast("string").alias("_text"),
-    )
+    packed = df.select(packed_row(kept), F.col(f"`{text}`").cast("string").alias("_text"))
     order = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +114,27 @@ def annotate(
         give_back()
 
     schema = T.StructType([packed.schema["_row"], *fields.fields])
-    return packed.mapInArrow(run, schema).select(*(F.col(f"_row.`{c}`") for c in kept), *order)
+    return packed.mapInArrow(run, schema).select(*unpacked(kept), *order)
+
+
+def packed_row(columns: list[str]) -> Column:
+    """The columns as one struct ``_row``, fields by place: their names can clash with nothing.
+
+    The first field is there so that a struct of no column is one, too.
+    """
+    return F.struct(F.lit(0).alias("f"), *(F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(columns))).alias("_row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col(f"_row.f{i}").alias(c) for i, c in enumerate(columns)]
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name like ``wanted`` that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

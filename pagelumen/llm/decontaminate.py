@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelumen.llm.common import WORD_BYTES, annotate, grouped_by_size
+from pagelumen.llm.common import WORD_BYTES, annotate, free_name, grouped_by_size, packed_row, unpacked
 
 WINDOW = 10
 #: Every so many words a suffix position is kept.
@@ -267,10 +267,10 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
         if not passes:
             out = annotate(df, batch, _FIELDS, text, None if keep is None else [*keep, text])
         else:
-            before = out.withColumnsRenamed({"hit_spans": "_spans", "hit_items": "_items"})
-            out = annotate(before, batch, _FIELDS, text)
-            out = out.withColumn("hit_items", F.array_sort(F.array_distinct(F.concat("_items", "hit_items"))))
-            out = out.withColumn("hit_spans", _union(F.concat("_spans", "hit_spans"))).drop("_spans", "_items")
+            spans, items = free_name(out, "_spans"), free_name(out, "_items")
+            out = annotate(out.withColumnsRenamed({"hit_spans": spans, "hit_items": items}), batch, _FIELDS, text)
+            out = out.withColumn("hit_items", F.array_sort(F.array_distinct(F.concat(items, "hit_items"))))
+            out = out.withColumn("hit_spans", _union(F.concat(spans, "hit_spans"))).drop(spans, items)
         passes += 1
     return out if keep is None or text in keep else out.drop(text)
 
@@ -290,17 +290,20 @@ def _union(spans):
 
 def remove_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """The same rows and columns, each merged span of hit words cut out of ``text``, with what lies between them."""
-    found = find_passages(df, benchmark, text, item)
     rest = [c for c in df.columns if c != text]
-    packed = found.select(F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("_pad")).alias("_row"), F.col(text).cast("string").alias(text), "hit_spans")
+    # Outputs of the search replace input columns of their names in what was found, so those come from the input.
+    clash = {c: free_name(df, f"{c}_input") for c in rest if c.lower() in {f.name for f in _FIELDS}}
+    found = find_passages(df.withColumnsRenamed(clash), benchmark, text, item)
+    packed = found.select(packed_row([clash.get(c, c) for c in rest]), F.col(f"`{text}`").cast("string").alias("_text"), "hit_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [cut(v.as_py(), s.as_py()) if len(s) else v.as_py() for v, s in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.string())], ["_row", text])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.string())], ["_row", "_text"])
 
-    schema = T.StructType([packed.schema["_row"], T.StructField(text, T.StringType())])
-    return packed.mapInArrow(run, schema).select(*(F.col(f"`{c}`") if c == text else F.col(f"_row.`{c}`") for c in df.columns))
+    schema = T.StructType([packed.schema["_row"], T.StructField("_text", T.StringType())])
+    out = packed.mapInArrow(run, schema).select(*unpacked(rest), F.col("_text").alias(text))
+    return out.select(*(f"`{c}`" for c in df.columns))
 
 
 def cut(text: str, spans: list[dict]) -> str:

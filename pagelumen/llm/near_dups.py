@@ -6,18 +6,17 @@
    shingle counts less, but never so much less that an edit weighs like a different text.
 2. *Sketches.* ``BANDS * ROWS`` consistent weighted samples; two texts agree in one with a probability
    that is their weighted Jaccard similarity. Each band of ``ROWS`` samples is a bucket key.
-3. *Candidates.* Equal texts are one node. In large buckets, texts that can't be similar to any member of
-   one are set aside first: shingles that no other text of the large buckets has bound what a text can
-   share, and with the least weight in a bucket, its similarity there. This is exact, and it is what keeps a
-   large group of loose copies from being compared pair by pair. In each bucket every node is paired with one leader,
-   not with all others, and each pair is verified by the exact weighted Jaccard similarity of the
-   whole texts.
-4. *The rest.* A bucket's main component is the one that most of its members are in. Members in others are
-   first verified against ``DRAWN`` seeded draws from it in each of their buckets, which joins nearly all
-   that belong to it. Those still apart become leaders, many at once in a small bucket, some each round in a large one, and are verified against
-   all members of other components, until every one has been. Pairs within one component need no check. So
-   the classes are those that verifying every pair of every bucket would give, in a number of pairs that is
-   linear in a bucket whose members are alike.
+3. *Candidates.* Equal texts are one node. In each bucket every node is paired with one leader, the member
+   with the most company in its buckets, and each pair is verified by the exact weighted Jaccard similarity of the
+   whole texts. A bucket's main component is the one that most of its members are in; members in others are
+   verified against ``DRAWN`` draws from it. That joins nearly all that belong to it, in a number of pairs
+   that is linear in the bucket.
+4. *The rest.* Members still apart could be similar to any member of another component. In buckets below
+   ``LARGE`` members they are verified against all of those. In larger ones they meet only where two texts could
+   be similar at all: at a shingle that comes early enough in both when shingles are ordered rarest first (prefix
+   filtering, which is exact). Loose copies of one text share its bands but hardly any rare shingle, so
+   a large group of them is not compared pair by pair. Pairs within one component need no check. So the
+   classes are those that verifying every pair of every bucket would give.
 
 Cases: null text is in no class but its own; texts without words match only their exact copies; short
 texts have one shingle; repeated rows are exact copies; an empty table gives an empty result; long texts
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelumen.llm.common import WORD_BYTES, bound_batches, checkpointed, give_back, grouped_by_size, mix64, stored, utf8
+from pagelumen.llm.common import WORD_BYTES, bound_batches, checkpointed, give_back, grouped_by_size, mix64, scratch, stored, utf8
 from pagelumen.llm.components import connected_components
 
 WORDS, SIMILAR = 5, 0.8
@@ -42,12 +41,12 @@ BANDS, ROWS = 14, 4
 #: Hashed buckets of document frequencies (a fixed size, whatever the corpus), and how many travel in a row.
 BUCKETS, SLICE = 1 << 18, 1 << 14
 DAMPED = 0.25
-#: Members drawn from a main component; pairs of a bucket in each further round, or so many leaders.
-DRAWN, ROUND_PAIRS, LEADERS = 4, 1 << 16, 8
+#: Members drawn from a main component; members from which on a bucket is large.
+DRAWN, LARGE = 4, 64
 #: What two texts must share for ``SIMILAR``, of the sum of their weights; a hair less, for rounding.
 NEEDED = SIMILAR / (1 + SIMILAR) * (1 - 1e-9)
-#: Members from which on a bucket is large; cells in which their shingles are counted (as a power of two).
-LARGE, CELL_BITS, CELL_SLICE = 64, 23, 1 << 16
+#: Bytes hashed at once; powers are kept for so many.
+PIECE = 1 << 19
 
 _POOL = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -65,23 +64,50 @@ _held_powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base, and of its inverse modulo 2**64."""
-    if not _held_powers or len(_held_powers[0]) < n:
-        _held_powers[:] = [_powers(_BASE, n), _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), n)]
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    if n > PIECE + 1:  # a single very long word
+        return _powers(_BASE, n), _powers(inverse, n)
+    if not _held_powers:
+        _held_powers[:] = [_powers(_BASE, PIECE + 1), _powers(inverse, PIECE + 1)]
     return _held_powers[0], _held_powers[1]
 
 
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words between spaces."""
+    up, down = _power_tables(len(data))
+    inside = data != 32
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    starts, ends = edges[::2], edges[1::2]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
+    return starts, mix64((total[ends] - total[starts]) * down[starts])
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """A long text cut at spaces."""
+    at = 0
+    while at < len(data):
+        end = at + PIECE
+        if end < len(data):
+            cut = data.rfind(b" ", at, end)
+            cut = data.find(b" ", end) if cut <= at else cut
+            end = len(data) if cut < 0 else cut
+        yield data[at:end]
+        at = end
+
+
 def shingles(texts: list[bytes]) -> Iterator[np.ndarray]:
     """For each text the sorted hashes of its shingles, with repetitions."""
-    for group in grouped_by_size(texts, 1 << 19):
-        sizes = [len(t) + 1 for _, t in group]
-        data = np.frombuffer(b"".join(t.translate(WORD_BYTES) + b" " for _, t in group), np.uint8)
-        up, down = _power_tables(max(len(data), 1 << 19))
-        inside = data != 32
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside])))
-        starts, ends = edges[::2], edges[1::2]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-        words = mix64((total[ends] - total[starts]) * down[starts])
-        first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
+    for group in grouped_by_size(texts, PIECE // 2):
+        data = b"".join(t.translate(WORD_BYTES) + b" " for _, t in group)
+        if len(data) <= PIECE:
+            starts, words = _word_hashes(np.frombuffer(data, np.uint8))
+            first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for _, t in group)]))
+        else:  # one long text, alone in its group or the last of it
+            found, first = [], [0]
+            for _, t in group:
+                found += [_word_hashes(np.frombuffer(piece, np.uint8))[1] for piece in _pieces(t.translate(WORD_BYTES))]
+                first.append(sum(map(len, found)))
+            words = np.concatenate(found) if found else np.zeros(0, np.uint64)
         several = np.zeros(0, np.uint64)
         if len(words) >= WORDS:
             n = len(words) - WORDS + 1
@@ -240,67 +266,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _own_weight(large: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """``node, own``: at least so much of a member of large buckets is in shingles that no other such member has.
+def _pairs_in_small(placed: DataFrame, mains: DataFrame) -> DataFrame:
+    """``a, b``: in buckets below ``LARGE`` members, those apart with all of other components that weigh alike."""
+    small = placed.where(F.col("n") < LARGE).join(mains, "bucket").select("bucket", "node", "weight", "component", (F.col("component") != F.col("main")).alias("apart"))
+    others = small.select("bucket", *(F.col(c).alias(f"o_{c}") for c in ("node", "weight", "component", "apart")))
+    alike = F.least("weight", "o_weight") >= (F.col("weight") + F.col("o_weight")) * NEEDED
+    once = ~F.col("o_apart") | (F.col("node") < F.col("o_node"))
+    return small.where("apart").join(others, "bucket").where((F.col("component") != F.col("o_component")) & alike & once).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
 
-    Members are counted in a fixed number of hashed cells. Shingles that meet in a cell count as shared, which
-    makes ``own`` smaller and fewer members set aside, but none wrongly.
-    """
-    members = checkpointed(texts.join(large.select("node").distinct(), "node").select("node", "text"))
 
-    def cells(hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _shingle_rows(texts: DataFrame, weights) -> DataFrame:
+    """``node, x, w``: the distinct shingles of each text and their weights."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.zeros(0, np.int64)]
-        for batch in batches:
-            found += [cells(np.unique(h)) for h in shingles(utf8(batch.column(1)))]
-            if len(found) > 2000:
-                found = [_at_most_twice(found)]
-        places = _at_most_twice(found)
-        cuts = np.searchsorted(places, np.arange(0, (1 << CELL_BITS) + 1, CELL_SLICE))
-        rows = [(i, (places[x:y] - i * CELL_SLICE).astype(np.uint16).tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["slice", "cells"])
-
-    def single(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(CELL_SLICE, np.int64)
-        for blob in table.column("cells"):
-            total += np.bincount(np.frombuffer(blob.as_buffer(), np.uint16), minlength=CELL_SLICE)
-        return pa.table({"slice": [key[0].as_py()], "cells": [np.packbits(total == 1).tobytes()]}, pa.schema([("slice", pa.int32()), ("cells", pa.binary())]))
-
-    once = np.zeros(1 << CELL_BITS, bool)
-    for row in members.mapInArrow(count, "slice int, cells binary").groupBy("slice").applyInArrow(single, "slice int, cells binary").collect():
-        once[row.slice * CELL_SLICE : (row.slice + 1) * CELL_SLICE] = np.unpackbits(np.frombuffer(row["cells"], np.uint8))
-    held = members.sparkSession.sparkContext.broadcast(np.packbits(once))  # fixed size
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone = np.unpackbits(held.value).astype(bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = []
-            for hashes in shingles(utf8(batch.column(1))):
+            nodes = batch.column(0).to_pylist()
+            for node, hashes in zip(nodes, shingles(utf8(batch.column(1))), strict=True):
                 distinct, w = weights.value.of(hashes)
-                sums.append(float(w[alone[cells(distinct)]].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], ["node", "own"])
-
-    return members.mapInArrow(own, "node long, own double")
+                for at in range(0, len(distinct), 1 << 16):
+                    part = distinct[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node, np.int64)), pa.array(part.view(np.int64)), pa.array(w[at : at + (1 << 16)])], ["node", "x", "w"])
 
+    return texts.select("node", "text").mapInArrow(run, "node long, x long, w double")
 
-def _at_most_twice(found: list[np.ndarray]) -> np.ndarray:
-    """Sorted places, each once or twice: more often makes no difference."""
-    places = np.sort(np.concatenate(found))
-    return places[np.concatenate([np.ones(min(2, len(places)), bool), places[2:] != places[:-2]])]
 
+def _pairs_in_large(placed: DataFrame, mains: DataFrame, texts: DataFrame, weights, kept) -> DataFrame:
+    """``a, b``: in buckets of ``LARGE`` members and more, the pairs of different components that can be similar.
 
-def _within_reach(large: DataFrame, own: DataFrame) -> DataFrame:
-    """``bucket, node, weight, shared`` of the members that could be similar to another in the bucket.
-
-    ``shared`` is the most that a member can have in common with any. A similarity J of weights x and y with s in common is s / (x + y - s), so J >= t asks for
-    s >= (x + y) t / (1 + t). At most x less its own shingles is in common, and y is at least the bucket's least.
+    Exact, by prefixes. A similarity J of weights x and y with s in common is s / (x + y - s), so J >= t asks
+    for s >= (x + y) t / (1 + t). Put the shingles of all texts in one order, the rarest first: what two texts
+    have in common then begins at a shingle x before which neither has more than it can spare, and everything
+    they share lies from x on. Texts meet at such shingles only. Edits make shingles that few or no other text
+    has, so loose copies of one text, which share its bands, rarely meet.
     """
+    large = placed.where(F.col("n") >= LARGE).join(mains, "bucket")
     least = large.groupBy("bucket").agg(F.min("weight").alias("least"))
-    rows = large.join(least, "bucket").join(own, "node", "left")
-    rows = rows.withColumn("shared", F.col("weight") - F.coalesce("own", F.lit(0.0)))
-    return rows.where(F.col("shared") >= (F.col("weight") + F.col("least")) * NEEDED).select("bucket", "node", "weight", "shared")
+    members = large.join(least, "bucket").groupBy("node").agg(F.first("weight").alias("weight"), F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("apart"), F.min("least").alias("least"))
+    # Similar texts weigh at least SIMILAR of each other, and no less than the least of the bucket.
+    spare = F.col("weight") - (F.col("weight") + F.greatest(F.col("weight") * SIMILAR, F.col("least"))) * NEEDED
+    members = kept(members.withColumn("spare", spare + F.col("weight") * 1e-6))
+    rows = kept(_shingle_rows(texts.join(members.select("node"), "node"), weights))
+    held = rows.groupBy("x").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    mine = Window.partitionBy("node")  # a text's own shingles
+    ranked = rows.join(held, "x").withColumn("upto", F.sum("w").over(mine.orderBy("df", "x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(mine))
+    # What no other text has comes first.
+    prefix = ranked.join(members, "node").withColumn("after", F.col("all") - F.col("upto") + F.col("w"))
+    prefix = kept(prefix.where(F.col("weight") - F.col("after") <= F.col("spare")).select("x", "node", "weight", "component", "apart", "after"))
+    others = prefix.select("x", *(F.col(c).alias(f"o_{c}") for c in ("node", "weight", "component", "apart", "after")))
+    enough = F.least("after", "o_after") >= (F.col("weight") + F.col("o_weight")) * (NEEDED - 1e-6)
+    once = ~F.col("o_apart") | (F.col("node") < F.col("o_node"))
+    heads = prefix.where("apart")
+    return heads.join(others, (heads["x"] == others["x"]) & (F.col("component") != F.col("o_component")) & enough & once).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+
+
+def _placed(members: DataFrame, parts: DataFrame, kept) -> tuple[DataFrame, DataFrame]:
+    """The members with their component, and the main component of each bucket that has several."""
+    placed = kept(members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    mains = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
+    return placed, mains.where(F.col("parts") > 1).select("bucket", "main")
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -313,55 +337,38 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     nodes = sketches.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.min("k").alias("k"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
     in_band = nodes.select(F.explode("bands").alias("bucket"), "node", "weight")
-    shared = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where(F.col("n") > 1)
-    members = stored(in_band.join(shared, "bucket"))
-    # Whatever is compared later is in a shared bucket, so these are all the texts that are needed.
-    wanted = members.select("node").distinct().join(nodes.select("node", "tid"), "node")
-    by_tid = df.where(F.col(text).isNotNull()).select(F.unhex(F.md5(F.col(text).cast("string").cast("binary"))).alias("tid"), F.col(text).cast("string").alias("text"))
-    texts = stored(by_tid.join(wanted, "tid").groupBy("node").agg(F.first("text").alias("text")))
-    members = members.withColumn("shared", F.col("weight"))
-    large = members.where(F.col("n") >= LARGE).drop("shared")
-    if not large.isEmpty():
-        reach = _within_reach(large, checkpointed(_own_weight(large, texts, weights)))
-        kept = checkpointed(members.where(F.col("n") < LARGE).select("bucket", "node", "weight", F.col("weight").alias("shared")).unionByName(reach))
-        # The member with least of its own is nearest to what a group has in common: the best leader.
-        own = F.struct((1 - F.col("shared") / F.col("weight")).alias("own"), "node")
-        again = kept.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", own).alias("leader")).where(F.col("n") > 1)
-        members = stored(kept.join(again, "bucket"))
-    tried = checkpointed(members.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links = checkpointed(_verified(tried, texts, weights))
-    led, drawn, news = None, False, True
-    while True:
-        if news:
-            parts = connected_components(links)
-        placed = checkpointed(members.join(parts, "node", "left").select("bucket", "node", "n", "weight", "shared", F.coalesce("component", "node").alias("component")))
-        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        mains = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1)
-        apart = placed.join(mains.select("bucket", "main"), "bucket").where(F.col("component") != F.col("main")).select("bucket", "node", "n", "weight", "shared", "component")
-        if not drawn:
-            ours = placed.join(mains.select("bucket", "main"), "bucket").where(F.col("component") == F.col("main"))
-            # Drawn among those with little of their own.
-            lot = lambda i: (1 - F.col("shared") / F.col("weight")) + F.pmod(F.xxhash64(F.lit(i), "node"), F.lit(1000)) / 20000
-            draws = ours.groupBy("bucket").agg(*(F.min_by("node", F.struct(lot(i), "node")).alias(f"d{i}") for i in range(DRAWN)))
-            pairs = apart.join(draws, "bucket").select("node", F.explode(F.array_distinct(F.array(*(f"d{i}" for i in range(DRAWN))))).alias("other"))
-            drawn = True
-        else:
-            if led is not None:
-                apart = apart.join(led, ["bucket", "node"], "left_anti")
-            order = Window.partitionBy("bucket").orderBy("node")
-            most = F.greatest(F.lit(LEADERS), F.expr(f"{ROUND_PAIRS} div n"))
-            heads = checkpointed(apart.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).drop("i", "n"))
-            if heads.isEmpty():
-                break
-            others = placed.select(F.col("bucket").alias("b"), F.col("node").alias("other"), F.col("component").alias("theirs"), F.col("weight").alias("w"), F.col("shared").alias("s"))
-            enough = F.least("shared", "s") >= (F.col("weight") + F.col("w")) * NEEDED
-            pairs = heads.join(others, (F.col("bucket") == F.col("b")) & (F.col("component") != F.col("theirs")) & enough)
-            led = heads.select("bucket", "node") if led is None else led.unionByName(heads.select("bucket", "node"))
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
-        fresh = checkpointed(_verified(pairs, texts, weights))
-        tried, links = tried.unionByName(pairs), links.unionByName(fresh)
-        news = not fresh.isEmpty()
+    shared = in_band.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    with scratch() as kept:
+        # A text with much company in its buckets is near to what a group has in common: the best to compare with.
+        members = kept(in_band.join(shared, "bucket"))
+        company = members.groupBy("node").agg(F.sum("n").alias("company"))
+        members = kept(members.join(company, "node"))
+        # Whatever is compared later is in a shared bucket, so these are all the texts that are needed. Joined by
+        # key and digest together, so that the copies of one text do not meet in one task.
+        wanted = company.select("node").join(nodes.select("node", "tid", _plain("k").alias("k")), "node")
+        by_tid = df.where(F.col(text).isNotNull()).select(_plain(key).alias("k"), _tid(text).alias("tid"), F.col(text).cast("string").alias("text"))
+        texts = kept(by_tid.join(wanted, ["k", "tid"]).groupBy("node").agg(F.first("text").alias("text")))
+        best = F.max_by("node", F.struct("company", "node"))
+        leaders = members.groupBy("bucket").agg(best.alias("leader"))
+        pairs = members.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        tried = kept(pairs.distinct())
+        links = kept(_verified(tried, texts, weights))
+        # Those apart from a bucket's main component, with members of it that have the most company.
+        placed, mains = _placed(members, connected_components(links), kept)
+        ours = placed.join(mains, "bucket").where(F.col("component") == F.col("main"))
+        draws = ours.groupBy("bucket").agg(*(F.max_by("node", F.struct(_lot(i), "node")).alias(f"d{i}") for i in range(DRAWN)))
+        apart = placed.join(mains, "bucket").where(F.col("component") != F.col("main")).join(draws, "bucket")
+        pairs = apart.select("node", F.explode(F.array_distinct(F.array(*(f"d{i}" for i in range(DRAWN))))).alias("other"))
+        fresh = kept(_new(pairs, tried))
+        tried, links = tried.unionByName(fresh), links.unionByName(kept(_verified(fresh, texts, weights)))
+        # Whatever is still apart, with all that it can be similar to.
+        placed, mains = _placed(members, connected_components(links), kept)
+        pairs = _pairs_in_small(placed, mains)
+        if not placed.where(F.col("n") >= LARGE).join(mains, "bucket").isEmpty():
+            pairs = pairs.unionByName(_pairs_in_large(placed, mains, texts, weights, kept))
+        fresh = kept(_new(pairs, tried))
+        links = links.unionByName(kept(_verified(fresh, texts, weights)))
+        parts = checkpointed(connected_components(links))
     placed = nodes.select("tid", "node", "k").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = placed.groupBy("component").agg(F.min("k").alias("class_id"))
     sizes = placed.join(named, "component").select("tid", "class_id", "component")
@@ -369,6 +376,24 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return found.select(F.col("k").alias(key), "tid", F.coalesce("class_id", "k").alias("class_id"), "component")
 
 
+def _new(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    pairs = pairs.select(F.least(*pairs.columns).alias("a"), F.greatest(*pairs.columns).alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def _lot(i: int):
+    """Company, shaken a little: several draws, each with much of it."""
+    return F.col("company") * (1 + F.pmod(F.xxhash64(F.lit(i), "node"), F.lit(1000)) / 10000 * int(i > 0))
+
+
+def _plain(key: str):
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
+
+
+def _tid(text: str):
+    return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, class_id``, one row per input row; the least key of a class is its class_id."""
     return classes(df, text, key).select(key, "class_id")
@@ -377,11 +402,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The input with one row of each class: that of the least key, then least digest; rows of null text all stay."""
     found = classes(df, text, key).where(F.col("component").isNotNull())
-    best = found.groupBy("component").agg(F.min(F.struct(F.col(key).alias("k"), "tid")).alias("best")).select("best.*")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col(key).alias("k"), "tid")).alias("best"))
     # Joined by key and digest together, so that the copies of one text do not meet in one task.
-    best = best.select(F.coalesce(F.col("k").cast("string"), F.lit("")).alias("_k"), F.col("tid").alias("_tid"))
-    tid = F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
-    rows = df.where(F.col(text).isNotNull()).withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_tid", tid)
-    kept = rows.join(best, ["_k", "_tid"], "left_semi").dropDuplicates(["_k", "_tid"])
-    order = [f"`{c}`" for c in df.columns]
-    return kept.select(*order).unionByName(df.where(F.col(text).isNull()).select(*order))
+    best = best.select(F.struct(_plain("best.k").alias("k"), F.col("best.tid").alias("tid")).alias("_of"))
+    rows = df.where(F.col(text).isNotNull()).select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.struct(_plain(key).alias("k"), _tid(text).alias("tid")).alias("_of"))
+    kept = rows.join(best, "_of", "left_semi").dropDuplicates(["_of"])
+    return kept.select("_row.*").unionByName(df.where(F.col(text).isNull()))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelumen.llm.common import bound_batches, grouped_by_size, mix64, stored, utf8
+from pagelumen.llm.common import bound_batches, grouped_by_size, mix64, packed_row, stored, unpacked, utf8
 
 LENGTH, GRAM = 400, 128
 #: Windows of a segment; bytes that all windows of a full one share.
@@ -302,7 +302,7 @@ def remove_repeats(df: DataFrame, text: str = "text", keep: list[str] | None = N
     held = _bitmap(runs.select("tid"))
     fields = {f.name for f in _FIELDS}
     kept = [c for c in order if c.lower() not in fields]
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept), F.lit(0).alias("_pad")).alias("_row"), F.col(text).cast("string").alias("_text"), _key(text).alias("tid"))
+    rows = df.select(packed_row(kept), F.col(text).cast("string").alias("_text"), _key(text).alias("tid"))
     schema = T.StructType([rows.schema["_row"], *_FIELDS.fields])
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,7 @@ def remove_repeats(df: DataFrame, text: str = "text", keep: list[str] | None = N
 
     joined = _only(rows, held, "tid").join(runs, "tid", "left").select("_row", "_text", "_runs")
     out = rows.mapInArrow(untouched, schema).unionByName(joined.mapInArrow(touched, schema))
-    return out.select(*(F.col(f"_row.`{c}`") for c in kept), *(f.name for f in _FIELDS))
+    return out.select(*unpacked(kept), *(f.name for f in _FIELDS))
 
 
 def _measured(rows: pa.Array, texts: list[bytes | None], runs: list[list[dict] | None]) -> pa.RecordBatch:

@@ -104,6 +104,43 @@ def test_classes_match_brute_force(spark):
     assert n.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_large_loose_groups_match_brute_force(spark, monkeypatch):
+    """Buckets above LARGE, with and without the text that the copies were made from."""
+    rng = random.Random(11)
+    vocabulary = [f"word{i}" for i in range(900)]
+    texts = []
+    for with_base in (True, False, False):
+        base = [rng.choice(vocabulary) for _ in range(150)]
+        texts += [" ".join(base)] * with_base
+        texts += [" ".join(edited(base, rng, rng.choice([0.005, 0.015, 0.02, 0.03]))) for _ in range(140)]
+    frame = docs(spark, texts)
+    weights = n.learn_weights(frame)
+    want = brute(list(enumerate(texts)), weights)
+    reached = []
+    own = n._pairs_in_large
+    monkeypatch.setattr(n, "_pairs_in_large", lambda *args: reached.append(1) or own(*args))
+    assert {r.doc_id: r.class_id for r in n.near_duplicates(frame).collect()} == want
+    assert reached
+    monkeypatch.setattr(n, "LARGE", 3)
+    assert {r.doc_id: r.class_id for r in n.near_duplicates(frame).collect()} == want
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["ab", "c", "d" * 70, "efg"]) for _ in range(400)).encode(), b"x" * 500, b"", b"one two"]
+    whole = [h.tolist() for h in n.shingles(texts)]
+    monkeypatch.setattr(n, "PIECE", 64)
+    n._held_powers.clear()
+    assert [h.tolist() for h in n.shingles(texts)] == whole
+    n._held_powers.clear()
+
+
+def test_names_that_clash(spark):
+    rows = [(1, "a b c d e f g", 8, "x"), (2, "a b c d e f g", 9, "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _k long, _tid string").selectExpr("*", "1 as _row", "2 as _of", "3 as best")
+    assert [tuple(r) for r in n.keep_first(frame).collect()] == [(1, "a b c d e f g", 8, "x", 1, 2, 3)]
+
+
 def test_repeated_rows_and_null_keys(spark):
     rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (1, "a b c d e f g"), (1, "h i j k l m"), (1, "h i j k l m"), (2, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
