@@ -45,6 +45,8 @@ DAMPED = 0.25
 DRAWN, LARGE = 4, 64
 #: What two texts must share for ``SIMILAR``, of the sum of their weights; a hair less, for rounding.
 NEEDED = SIMILAR / (1 + SIMILAR) * (1 - 1e-9)
+#: Cells in which the shingles of large buckets are counted, at most (as a power of two), and cells of a slice.
+MOST_CELL_BITS, CELL_SLICE = 25, 1 << 16
 #: Bytes hashed at once; powers are kept for so many.
 PIECE = 1 << 19
 
@@ -275,19 +277,75 @@ def _pairs_in_small(placed: DataFrame, mains: DataFrame) -> DataFrame:
     return small.where("apart").join(others, "bucket").where((F.col("component") != F.col("o_component")) & alike & once).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
 
 
-def _shingle_rows(texts: DataFrame, weights) -> DataFrame:
-    """``node, x, w``: the distinct shingles of each text and their weights."""
+def _cell_counts(texts: DataFrame, shingles_in_all: float):
+    """A broadcast table of how many of the texts have a shingle of each hashed cell; counts end at 255.
+
+    Its size follows the number of shingles up to ``2 ** MOST_CELL_BITS`` bytes. Beyond, cells are shared by more shingles, which makes
+    rare ones look less rare: more pairs are verified, never fewer.
+    """
+    bits = min(MOST_CELL_BITS, max(16, int(4 * shingles_in_all).bit_length()))
+    shift = np.uint64(64 - bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            for hashes in shingles(utf8(batch.column(1))):
+                found.append((np.unique(hashes) >> shift, None))
+                held += len(found[-1][0])
+                if held > 1 << 22:
+                    found, held = [_summed(found)], 0
+        cells, counts = _summed(found)
+        cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, CELL_SLICE, dtype=np.uint64))
+        rows = [(i, cells[x:y].astype(np.uint16).tobytes(), counts[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["slice", "cells", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(CELL_SLICE, np.uint16)
+        for cells, counts in zip(table.column("cells"), table.column("counts"), strict=True):
+            at = np.frombuffer(cells.as_buffer(), np.uint16)
+            total[at] = np.minimum(total[at] + np.frombuffer(counts.as_buffer(), np.uint8), 255)
+        return pa.table({"slice": [key[0].as_py()], "cells": [b""], "counts": [total.astype(np.uint8).tobytes()]}, pa.schema([("slice", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())]))
+
+    schema = "slice int, cells binary, counts binary"
+    out = np.zeros(1 << bits, np.uint8)
+    for row in texts.select("node", "text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect():  # a fixed size
+        out[row.slice * CELL_SLICE : (row.slice + 1) * CELL_SLICE] = np.frombuffer(row["counts"], np.uint8)
+    return texts.sparkSession.sparkContext.broadcast((shift, out))
+
+
+def _summed(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted cells and their counts, at most 255 each; a part is cells with counts, or cells that count one."""
+    cells = np.concatenate([np.zeros(0, np.uint64), *(c for c, _ in found)])
+    weights = np.concatenate([np.zeros(0), *(np.ones(len(c)) if n is None else n.astype(float) for c, n in found)])
+    distinct, at = np.unique(cells, return_inverse=True)
+    return distinct, np.minimum(np.bincount(at, weights, len(distinct)), 255).astype(np.uint8)
+
+
+def _prefixes(texts: DataFrame, members: DataFrame, weights, counts) -> DataFrame:
+    """``x, node, weight, component, apart, after``: the shingles of each text, rarest first, as long as no more
+    lies before than the text can spare; ``after`` is the weight from the shingle on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift, count = counts.value
         for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            for node, hashes in zip(nodes, shingles(utf8(batch.column(1))), strict=True):
+            spare, made = batch.column(5).to_pylist(), []
+            for i, hashes in enumerate(shingles(utf8(batch.column(0)))):
                 distinct, w = weights.value.of(hashes)
-                for at in range(0, len(distinct), 1 << 16):
-                    part = distinct[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node, np.int64)), pa.array(part.view(np.int64)), pa.array(w[at : at + (1 << 16)])], ["node", "x", "w"])
+                often = count[(distinct >> shift).astype(np.int64)]
+                order = np.lexsort((distinct, often))
+                before = np.cumsum(w[order]) - w[order]
+                # What no other text has can't meet.
+                kept = order[(before <= spare[i]) & (often[order] > 1)]
+                at = np.empty(len(order))
+                at[order] = before
+                made.append((np.full(len(kept), i), distinct[kept].view(np.int64), w.sum() - at[kept]))
+            row, x, after = (np.concatenate([m[k] for m in made]) if made else np.zeros(0) for k in range(3))
+            own = [batch.column(c).take(pa.array(row, pa.int64())) for c in (1, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), *own, pa.array(after, pa.float64())], ["x", "node", "weight", "component", "apart", "after"])
+        give_back()
 
-    return texts.select("node", "text").mapInArrow(run, "node long, x long, w double")
+    rows = texts.join(members, "node").select("text", "node", "weight", "component", "apart", "spare")
+    return rows.mapInArrow(run, "x long, node long, weight double, component long, apart boolean, after double")
 
 
 def _pairs_in_large(placed: DataFrame, mains: DataFrame, texts: DataFrame, weights, kept) -> DataFrame:
@@ -295,8 +353,8 @@ def _pairs_in_large(placed: DataFrame, mains: DataFrame, texts: DataFrame, weigh
 
     Exact, by prefixes. A similarity J of weights x and y with s in common is s / (x + y - s), so J >= t asks
     for s >= (x + y) t / (1 + t). Put the shingles of all texts in one order, the rarest first: what two texts
-    have in common then begins at a shingle x before which neither has more than it can spare, and everything
-    they share lies from x on. Texts meet at such shingles only. Edits make shingles that few or no other text
+    have in common then begins at a shingle before which neither has more than it can spare, and all that
+    they share lies from there on. Texts meet at such shingles only. Edits make shingles that few or no other text
     has, so loose copies of one text, which share its bands, rarely meet.
     """
     large = placed.where(F.col("n") >= LARGE).join(mains, "bucket")
@@ -305,13 +363,9 @@ def _pairs_in_large(placed: DataFrame, mains: DataFrame, texts: DataFrame, weigh
     # Similar texts weigh at least SIMILAR of each other, and no less than the least of the bucket.
     spare = F.col("weight") - (F.col("weight") + F.greatest(F.col("weight") * SIMILAR, F.col("least"))) * NEEDED
     members = kept(members.withColumn("spare", spare + F.col("weight") * 1e-6))
-    rows = kept(_shingle_rows(texts.join(members.select("node"), "node"), weights))
-    held = rows.groupBy("x").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    mine = Window.partitionBy("node")  # a text's own shingles
-    ranked = rows.join(held, "x").withColumn("upto", F.sum("w").over(mine.orderBy("df", "x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(mine))
-    # What no other text has comes first.
-    prefix = ranked.join(members, "node").withColumn("after", F.col("all") - F.col("upto") + F.col("w"))
-    prefix = kept(prefix.where(F.col("weight") - F.col("after") <= F.col("spare")).select("x", "node", "weight", "component", "apart", "after"))
+    total = members.agg(F.sum("weight")).first()[0] or 0.0
+    counts = _cell_counts(texts.join(members.select("node"), "node"), total)
+    prefix = kept(_prefixes(texts, members, weights, counts))
     others = prefix.select("x", *(F.col(c).alias(f"o_{c}") for c in ("node", "weight", "component", "apart", "after")))
     enough = F.least("after", "o_after") >= (F.col("weight") + F.col("o_weight")) * (NEEDED - 1e-6)
     once = ~F.col("o_apart") | (F.col("node") < F.col("o_node"))
