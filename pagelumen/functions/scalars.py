@@ -57,11 +57,11 @@ def upload_name(kind: Column, content: Column, extension: Column) -> Column:
 
 def expected_impact(severity: Column, impact: Column) -> Column:
     """Class of the phrase about what a fix brings."""
-    return F.when((severity == "error") & (impact == "high"), "major").when(severity == "error", "clear").when(severity == "warning", "moderate").otherwise("minor")
+    return F.when((severity == "error") & (impact == "high"), "major").when(severity == "error", "clear").when((severity == "warning") & impact.isin("high", "medium"), "moderate").otherwise("minor")
 
 
 # Characters that the Latin-1 report fonts lack, and what is printed for them.
-LATIN1 = [("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "--"), ("…", "..."), ("•", "*"), (" ", " "), ("→", "->"), ("✓", "[ok]"), ("✗", "[x]"), ("≥", ">=")]
+LATIN1 = [("\u2014", "-"), ("\u2013", "-"), ("\u2018", "'"), ("\u2019", "'"), ("\u201c", '"'), ("\u201d", '"'), ("\u2026", "..."), ("\u2022", "-"), ("\u00a0", " "), ("\u2192", "->"), ("\u2190", "<-"), ("\u2713", "v"), ("\u2717", "x")]
 
 
 def latin1(text: Column) -> Column:

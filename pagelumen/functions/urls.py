@@ -53,22 +53,34 @@ def domain(text: Column) -> Column:
 
 
 def resolved(base: Column, href: Column) -> Column:
-    """``href`` as seen from ``base``, dot segments removed for as long as a pattern finds one."""
+    """``href`` as seen from ``base``; dot segments of a relative one are resolved, however many there are."""
     root = base_url(base)
     folder = F.regexp_extract(path(base), r"^(.*/)", 1)
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    joined = (
+    relative = F.when(href.startswith("/"), href).otherwise(F.concat(folder, href))
+    return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
         .when(href.startswith("?"), F.concat(root, path(base), href))
         .when((href == "") | href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(root, folder, href))
+        .otherwise(F.concat(root, F.when(relative.rlike(r"^[^?#]*/\.\.?(?:/|[?#]|$)"), _without_dots(relative)).otherwise(relative)))
     )
-    joined = F.regexp_replace(joined, r"(?<!:/)/\.(?=/|$|[?#])", "")
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"^([^?#]*//[^/?#]+(?:/[^?#]*?)?)/(?!\.\./)[^/?#]+/\.\.(?=/|$|[?#])", "$1")
-    return F.regexp_replace(joined, r"^([^?#]*//[^/?#]+)(?:/\.\.)+(?=/|$|[?#])", "$1")
+
+
+def _without_dots(relative: Column) -> Column:
+    """A path (with query or fragment) without dot segments: two dots take the segment before with them."""
+    own = F.regexp_extract(relative, r"^([^?#]*)", 1)
+    parts = F.split(F.regexp_replace(own, "^/", ""), "/")
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        back = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", back).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    left = F.aggregate(parts, none, step)
+    last = F.element_at(parts, -1)
+    closed = F.when(last.isin(".", "..") & (F.size(left) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.array_join(left, "/"), closed, F.regexp_extract(relative, r"^[^?#]*(.*)$", 1))
 
 
 def is_private_host(url: Column) -> Column:

@@ -18,20 +18,20 @@ from pagelumen.operators.schemaorg import with_structured
 SEVERITY = {"error": 3, "warning": 2, "info": 1, "pass": 0}
 IMPACT = {"high": 3, "medium": 2, "low": 1}
 RELEVANCE = {
-    "meta_tags": 5,
-    "performance": 5,
-    "tracking": 5,
-    "ads_quality": 5,
-    "mobile": 4,
-    "structured_data": 4,
-    "serp_features": 4,
-    "accessibility": 4,
-    "headings": 3,
-    "images": 3,
-    "links": 3,
-    "sitemap": 3,
-    "robots": 3,
-    "semantic": 2,
+    "meta_tags": 9,
+    "performance": 9,
+    "tracking": 8,
+    "accessibility": 8,
+    "mobile": 7,
+    "structured_data": 7,
+    "serp_features": 7,
+    "images": 6,
+    "links": 6,
+    "ads_quality": 6,
+    "headings": 5,
+    "sitemap": 5,
+    "semantic": 4,
+    "robots": 4,
 }
 #: Side inputs: what a category needs beside the page, and the column that tells whether it is known.
 SIDE = {"robots": "r_known", "sitemap": "m_known", "accessibility": "a_known"}
@@ -158,13 +158,15 @@ def top_opportunities(found: DataFrame, k: int = 8) -> DataFrame:
 
 
 def immediate_fixes(found: DataFrame, k: int = 5) -> DataFrame:
-    """Of the first k of the ranking, those that are errors or warnings."""
-    return top_opportunities(found, k).where(F.col("severity").isin("error", "warning"))
+    """Of the first k of the ranking of all issues, those that are errors or warnings; a message can come twice."""
+    order = Window.partitionBy("page_id").orderBy(F.desc("priority"), "category_pos", "issue_pos")
+    ranked = found.withColumn("priority", priority()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.where(F.col("severity").isin("error", "warning")).select("page_id", "rank", "category", "rule_id", "severity", "impact", "priority")
 
 
 def quick_wins(found: DataFrame, k: int = 3) -> DataFrame:
-    """Per page and category the k issues of highest priority."""
-    rows = found.where(F.col("severity").isin("error", "warning")).withColumn("priority", priority())
+    """Per page and category the k issues of highest priority, passes aside."""
+    rows = found.where(F.col("severity") != "pass").withColumn("priority", priority())
     order = Window.partitionBy("page_id", "category").orderBy(F.desc("priority"), "issue_pos")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("page_id", "category", "rank", "rule_id", "priority")
 

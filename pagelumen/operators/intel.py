@@ -57,8 +57,8 @@ def pagespeed_issues(df: DataFrame) -> DataFrame:
     return df.select(*keep, F.explode(F.concat(F.filter(fixed, lambda i: i.isNotNull()), saves)).alias("i")).select(*keep, "i.*")
 
 
-# What sources of visits are called.
-CHANNELS = {"direct": "Direct", "search": "Organic Search", "organic search": "Organic Search", "paid search": "Paid Search", "social": "Social", "referrals": "Referral", "mail": "Email", "display ads": "Display"}
+# Sources of visits as the payload and as the report names them, in the report's order.
+CHANNELS = {"Direct": "direct", "Search": "search", "Social": "social", "Referrals": "referrals", "Mail": "email", "Display Ads": "display"}
 
 
 def traffic(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -74,13 +74,14 @@ def traffic(df: DataFrame, payload: str = "payload") -> DataFrame:
     seconds = first(get("$.engagement.average_visit_duration", "double"), get("$.average_visit_duration", "double"))
     bounce = first(get("$.engagement.bounce_rate", "double"), get("$.bounce_rate", "double"))
     shares = get("$.traffic_sources.overview", "map<string, double>")
-    names = F.create_map(*(x for k, v in CHANNELS.items() for x in (F.lit(k), F.lit(v))))
-    channels = F.transform(F.map_entries(shares), lambda e: F.struct(F.coalesce(F.try_element_at(names, F.lower(F.replace(e["key"], F.lit("_"), F.lit(" ")))), e["key"]).alias("channel"), e["value"].alias("share")))
+    # The payload's name, the report's, the payload's in small letters: the first that isn't zero.
+    share = lambda raw, name: F.coalesce(first(*(F.try_element_at(shares, F.lit(k)) for k in (raw, name))), F.try_element_at(shares, F.lit(raw.lower())))
+    channels = F.filter(F.array(*(F.struct(F.lit(name).alias("channel"), share(raw, name).alias("share")) for raw, name in CHANNELS.items())), lambda c: c["share"].isNotNull())
     return df.withColumns(
         {
             "visits": visits, "visits_display": compact_number(visits), "visit_seconds": seconds, "visit_display": duration(seconds),
             "bounce_rate": bounce, "bounce_display": percent(bounce), "pages_per_visit": first(get("$.engagement.pages_per_visit", "double"), get("$.pages_per_visit", "double")),
-            "channels": F.slice(F.array_sort(channels, lambda a, b: F.when(a["share"] > b["share"], -1).when(a["share"] < b["share"], 1).otherwise(0)), 1, 10),
+            "channels": channels,
         }
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 
@@ -33,9 +34,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def duplicates(pages: DataFrame, value: Column) -> DataFrame:
-    """``value, n, urls``: non-empty values that several pages share; urls sorted. For reports: a group is one row."""
+    """``value, n, first_url``: non-empty values that several pages share, and the first of their urls by name."""
     rows = pages.select(value.alias("value"), "url").where(F.coalesce("value", F.lit("")) != "")
-    return rows.groupBy("value").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("url")).alias("urls")).where(F.col("n") > 1)
+    return rows.groupBy("value").agg(F.count("*").alias("n"), F.min("url").alias("first_url")).where(F.col("n") > 1)
 
 
 def duplicate_counts(pages: DataFrame, value: Column) -> DataFrame:
@@ -78,24 +79,28 @@ def _cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage at a checkpoint in the shared folder the session names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pagelumen-checkpoints"))
+        wanted = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not wanted and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(wanted or os.path.join(tempfile.gettempdir(), "pagelumen-checkpoints"))
     return df.checkpoint(eager=True)
 
 
-def depths(edges: DataFrame, start: DataFrame, most_depth: int = 50) -> DataFrame:
-    """``node, depth``: least number of links from a start node (``node``), breadth first.
+def depths(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``node, depth``: least number of links from a start node (``node``), breadth first, to any depth.
 
-    One join of the frontier per level; each level is checkpointed, so plans stay short.
+    One join of the frontier per level; each level is checkpointed, and every few levels what was seen is
+    written as one table, so plans stay short.
     """
-    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    links = _cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())  # joined at every level
     seen = _cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, most_depth + 1):
+    for depth in itertools.count(1):
         reached = frontier.join(links, "node").select(F.col("next").alias("node")).distinct()
         frontier = _cut(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = seen.unionByName(frontier) if depth % 16 else _cut(seen.unionByName(frontier))
     return seen
 
 

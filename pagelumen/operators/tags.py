@@ -34,15 +34,17 @@ VENDORS = [
     ("Shopify Analytics", "SHOP", "analytics", r"trekkie", ["cdn.shopify.com/s/trekkie"], ["ShopifyAnalytics"], [], "low"),
     ("Lucky Orange", "LO", "heatmap", r"\d{5,8}", ["luckyorange.com"], ["__lo_site_id"], [], "medium"),
 ]
-#: Pages of a site that a scan looks at, and where they are looked for.
+# Pages of a site that a scan looks at, and where they are looked for. Products have no fixed
+# place: any page below PRODUCTS is one.
 PAGE_TYPES = {
     "homepage": ["/"],
-    "product": ["/products/"],
-    "category": ["/collections/all", "/shop", "/collections"],
+    "collection": ["/collections", "/collections/all"],
+    "product": [],
     "cart": ["/cart"],
-    "checkout": ["/checkout"],
-    "blog": ["/blog", "/blogs/news"],
+    "blog": ["/blogs", "/blogs/news"],
+    "page": ["/pages/about", "/pages/contact"],
 }
+PRODUCTS = "/products/"
 
 
 def _has_any(text: Column, parts: list[str]) -> Column:
@@ -95,10 +97,15 @@ def redacted(found: DataFrame) -> DataFrame:
 
 
 def inventory(found: DataFrame) -> DataFrame:
-    """One row per vendor and id: on how many pages, which, and how the first of them loads it."""
+    """One row per vendor and id: on how many pages, and how the first of them loads it. ``pages_of`` lists the pages."""
     first = F.min_by(F.struct("vendor", "category", "method", "location", "script_url", "blocking", "load_impact"), "page_id")
-    rows = found.groupBy("vendor_short", "tag_id").agg(F.countDistinct("page_id").alias("page_count"), F.array_sort(F.collect_set("url")).alias("pages"), first.alias("a"))
-    return rows.select("vendor_short", "tag_id", "page_count", "pages", "a.*")
+    rows = found.groupBy("vendor_short", "tag_id").agg(F.countDistinct("page_id").alias("page_count"), F.min("url").alias("first_url"), first.alias("a"))
+    return rows.select("vendor_short", "tag_id", "page_count", "first_url", "a.*")
+
+
+def pages_of(found: DataFrame) -> DataFrame:
+    """``vendor_short, tag_id, url``: the pages of each row of the inventory, a row each, in no order."""
+    return found.select("vendor_short", "tag_id", "url").distinct()
 
 
 def coverage(pages: DataFrame, found: DataFrame) -> DataFrame:
@@ -153,9 +160,9 @@ def resolve_page_types(pages: DataFrame) -> DataFrame:
 
     kinds = []
     for kind, places in PAGE_TYPES.items():
-        for i, place in enumerate(places):
+        for i, place in enumerate(places or [PRODUCTS]):
             p = path(F.col("url"))
-            fits = p.startswith(place) & (F.length(p) > len(place)) if kind == "product" else F.regexp_replace(p, "/+$", "") == place.rstrip("/")
+            fits = F.regexp_replace(p, "/+$", "") == place.rstrip("/") if places else p.startswith(place) & (F.length(p) > len(place))
             kinds.append(F.when(fits, F.struct(F.lit(kind).alias("page_type"), F.lit(i).alias("place"))))
     rows = pages.select(F.lower(netloc(F.col("url"))).alias("site"), "page_id", "url", F.explode(F.filter(F.array(*kinds), lambda k: k.isNotNull())).alias("k"))
     order = Window.partitionBy("site", "k.page_type").orderBy("k.place", "page_id")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelumen.functions import html as H
@@ -16,7 +16,7 @@ from pagelumen.functions import urls as U
 from pagelumen.operators import audit, enrich, history, intel, linkgraph, schemaorg, sitemaps, tags
 from pagelumen.operators.facts import with_facts
 from pagelumen.operators.rules import tracker_flags
-from pagelumen.sources.tables import table
+from pagelumen.sources.tables import fetched, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,12 +186,12 @@ def rollup_host_category(spark, sf_dir):
 
 @query
 def duplicate_titles(spark, sf_dir):
-    return linkgraph.duplicate_titles(_pages(spark, sf_dir)).select("value", "n", F.get("urls", F.lit(0)).alias("first_url"))
+    return linkgraph.duplicate_titles(_pages(spark, sf_dir))
 
 
 @query
 def duplicate_descriptions(spark, sf_dir):
-    return linkgraph.duplicate_descriptions(_pages(spark, sf_dir)).select("value", "n", F.get("urls", F.lit(0)).alias("first_url"))
+    return linkgraph.duplicate_descriptions(_pages(spark, sf_dir))
 
 
 @query
@@ -213,11 +213,32 @@ def broken_internal_links(spark, sf_dir):
     return linkgraph.broken_links(pages, edges, _probe(edges))
 
 
+def _chained(spark, sf_dir) -> DataFrame:
+    """The pages, each with a link to the next one of its host: the crawl has somewhere to go."""
+    pages = _pages(spark, sf_dir)
+    after = F.lead("url").over(Window.partitionBy(F.lower(U.netloc(F.col("url")))).orderBy("page_id"))
+    link = F.coalesce(F.concat(F.lit('<a href="'), F.replace(after, F.lit("&"), F.lit("&amp;")), F.lit('">next</a>')), F.lit(""))
+    return pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), link))
+
+
+def _first_of_hosts(pages: DataFrame) -> DataFrame:
+    first = pages.groupBy(F.lower(U.netloc(F.col("url"))).alias("host")).agg(F.min_by("url", "page_id").alias("url"))
+    return first.select(U.crawl_normal(F.col("url")).alias("node")).distinct()
+
+
 @query
 def crawl_report(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
+    pages = _chained(spark, sf_dir)
     edges = linkgraph.link_edges(pages)
-    return linkgraph.crawl_report(pages, edges, _probe(edges))
+    depth = linkgraph.crawl(pages, edges, _first_of_hosts(pages), most_pages=1_000_000)
+    return linkgraph.crawl_report(pages, edges, _probe(edges), depth)
+
+
+@query
+def crawl_order(spark, sf_dir):
+    """What a crawl from the first page of each host meets, three pages a host (the crawl's own limit)."""
+    pages = _chained(spark, sf_dir)
+    return linkgraph.crawl(pages, linkgraph.link_edges(pages), _first_of_hosts(pages), most_pages=3)
 
 
 def _supply_edges(spark, sf_dir) -> DataFrame:
@@ -336,15 +357,168 @@ def tag_recommendations(spark, sf_dir):
     return tags.recommendations(pages, tags.redacted(tags.detect(pages)))
 
 
+# Markup and paths that the stored pages lack, added to them by the remainder of the page's number.
+MARKED_PATHS = ["/collections/", "/", "/products/p", "/cart", "/blogs/news", "/pages/contact", "/collections/all", "/other"]
+MARKED_DATA = [
+    '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Product","name":"P","image":"i.png","offers":{"@type":"Offer","price":1},"gtin":"1"}</script>',
+    '<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":["Recipe","Thing"],"name":"r"},{"@type":"FAQPage"}]}</script>',
+    '<script type="application/ld+json">{"@type": "Product",</script>',
+    '<script type="application/ld+json">[{"@type":"Gadget","name":"x"},{"@type":"Article","headline":"h","colour":"red"}]</script>',
+    '<div itemscope itemtype="https://schema.org/Person"><span itemprop="givenName">A</span><span itemprop="shoeSize">9</span></div>',
+    '<div vocab="https://schema.org/" typeof="Event"><span property="startDate">now</span></div>',
+    '<script type="application/ld+json">{"@context":"https://schema.org","name":"x"}</script>',
+    '<script type="application/ld+json">{"@context":"http://schema.org","@type":"https://schema.org/BreadcrumbList","itemListElement":[1]}</script>',
+]
+MARKED_TAGS = [
+    '<script async src="https://www.googletagmanager.com/gtm.js?id=GTM-ABC123"></script><noscript><iframe src="https://www.googletagmanager.com/ns.html?id=GTM-ABC123"></iframe></noscript>',
+    "<script src=\"https://connect.facebook.net/en_US/fbevents.js\"></script><script>fbq('init', '123456789012345');</script>",
+    "<script>gtag('config', 'G-ABCDEFGH12');</script>",
+    '<noscript><img src="https://www.googletagmanager.com/ns.html?id=GTM-XYZ789"></noscript>',
+]
+
+
+def _marked(spark, sf_dir, blocks: list[str]) -> DataFrame:
+    """The pages of web addresses, with paths and markup from the lists above."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % len(values) + 1).cast("int"))
+    pages = _pages(spark, sf_dir).where(F.col("url").rlike("^https?://[^/?#]"))
+    return pages.select("page_id", F.concat(U.base_url(F.col("url")), pick(MARKED_PATHS)).alias("url"), F.concat(F.coalesce("html", F.lit("")), pick(blocks)).alias("html"))
+
+
 @query
 def page_types(spark, sf_dir):
-    return tags.resolve_page_types(_pages(spark, sf_dir))
+    return tags.resolve_page_types(_marked(spark, sf_dir, MARKED_TAGS)).select("site", "page_type", "page_id")
 
 
 @query
 def schema_entities(spark, sf_dir):
-    found = schemaorg.entities(with_facts(_pages(spark, sf_dir)))
-    return schemaorg.validate(found).select("page_id", "source", "position", "entity_type", "valid", F.size("issues").alias("issues"))
+    found = schemaorg.validate(schemaorg.entities(with_facts(_marked(spark, sf_dir, MARKED_DATA))))
+    return found.select("page_id", "source", "position", "entity_type", "valid", F.array_join(F.transform("issues", lambda i: i["rule_id"]), ",").alias("issues"))
+
+
+@query
+def schema_metrics(spark, sf_dir):
+    return schemaorg.validation_metrics(schemaorg.validate(schemaorg.entities(with_facts(_marked(spark, sf_dir, MARKED_DATA)))))
+
+
+@query
+def marked_structured_score(spark, sf_dir):
+    found = audit.metrics(_marked(spark, sf_dir, MARKED_DATA), "structured_data")
+    return found.select("page_id", "score", "has_jsonld", "has_microdata", "has_rdfa", "rich_snippet_eligible")
+
+
+@query
+def marked_tag_scan(spark, sf_dir):
+    return tags.redacted(tags.detect(_marked(spark, sf_dir, MARKED_TAGS))).select("page_id", "vendor_short", "category", "method", "location", "tag_id", "blocking", "load_impact")
+
+
+@query
+def tag_inventory(spark, sf_dir):
+    return tags.inventory(tags.detect(_marked(spark, sf_dir, MARKED_TAGS))).select("vendor_short", "tag_id", "page_count", "first_url")
+
+
+@query
+def marked_tag_recommendations(spark, sf_dir):
+    pages = _marked(spark, sf_dir, MARKED_TAGS)
+    return tags.recommendations(pages, tags.redacted(tags.detect(pages)))
+
+
+@query
+def fetched_pages(spark, sf_dir):
+    """Pages with a status and a type derived from their number."""
+    status = F.element_at(F.array(F.lit(200), F.lit(404), F.lit(None), F.lit(301), F.lit(500)), (F.col("page_id") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit("text/html; charset=utf-8"), F.lit("application/pdf"), F.lit(None)), (F.col("page_id") % 3 + 1).cast("int"))
+    return fetched(_pages(spark, sf_dir).select("page_id", status.alias("status_code"), kind.alias("content_type")))
+
+
+def _priced(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("n"))
+
+
+@query
+def traffic_metrics(spark, sf_dir):
+    """Traffic payloads made from the orders' prices."""
+    visits = (F.floor(F.col("n") / 100) * 100 + 20).cast("string")
+    body = F.concat(
+        F.lit('{"total_visits":{"visits":[{"visits":5},{"visits":'), visits, F.lit('}]},"engagement":{"bounce_rate":0.25,"pages_per_visit":2.5,"average_visit_duration":'), (F.col("n") % 1000).cast("string"),
+        F.lit('},"traffic_sources":{"overview":{"Mail":0.125,"Direct":0.5,"Other":0.375}}}'),
+    )
+    found = intel.traffic(_priced(spark, sf_dir).select("o_orderkey", body.alias("payload")))
+    channels = F.array_join(F.transform("channels", lambda c: F.concat(c["channel"], F.lit("="), c["share"].cast("string"))), ",")
+    return found.select("o_orderkey", "visits", "visits_display", "visit_seconds", "visit_display", "bounce_rate", "bounce_display", "pages_per_visit", channels.alias("channels"))
+
+
+def _speed(spark, sf_dir) -> DataFrame:
+    n = F.col("n")
+    body = F.concat(
+        F.lit('{"lighthouseResult":{"categories":{"performance":{"score":'), F.format_string("%.2f", (n % 101) / 100.0), F.lit('}},"audits":{"largest-contentful-paint":{"numericValue":'), (n % 6000).cast("string"),
+        F.lit('},"cumulative-layout-shift":{"numericValue":'), F.format_string("%.2f", (n % 50) / 100.0), F.lit('},"total-blocking-time":{"numericValue":'), (n % 1000).cast("string"),
+        F.lit('},"a":{"score":0.5,"title":"A","details":{"type":"opportunity","overallSavingsMs":'), (n % 900 + 301).cast("string"), F.lit('}},"b":{"score":0.5,"title":"B","details":{"type":"opportunity","overallSavingsMs":300}},"c":{"score":0.4,"title":"C"}}}}'),
+    )
+    return intel.pagespeed(_priced(spark, sf_dir).select("o_orderkey", body.alias("payload")))
+
+
+@query
+def pagespeed_metrics(spark, sf_dir):
+    opportunities = F.array_join(F.transform("opportunities", lambda o: o["id"]), ",").alias("opportunities")
+    return _speed(spark, sf_dir).select("o_orderkey", "score", "lcp_ms", "cls", "tbt_ms", opportunities, F.array_join(F.transform("diagnostics", lambda o: o["id"]), ",").alias("diagnostics"))
+
+
+@query
+def pagespeed_issues(spark, sf_dir):
+    return intel.pagespeed_issues(_speed(spark, sf_dir)).select("o_orderkey", "rule_id", "severity", "impact", "value")
+
+
+@query
+def accessibility_scores(spark, sf_dir):
+    n = F.col("page_id")
+    body = F.concat(F.lit('{"categories":{"error":{"count":'), (n % 17).cast("string"), F.lit('},"contrast":{"count":'), (n % 13).cast("string"), F.lit('},"alert":{"count":'), (n % 19).cast("string"), F.lit("}}}"))
+    pages = intel.accessibility_report(_pages(spark, sf_dir).withColumn("payload", F.when(n % 10 != 0, body)))
+    return audit.scores(pages, ["accessibility"]).select("page_id", F.col("accessibility").alias("score"))
+
+
+@query
+def search_report(spark, sf_dir):
+    """Keyword reports, one a part; those of every tenth part are error answers."""
+    cells = F.concat_ws(";", "p_name", F.col("p_size").cast("string"), F.concat(F.lit("https://s.test/"), F.col("p_partkey").cast("string")), (F.col("p_partkey") * 10).cast("string"), F.lit("0.25"))
+    body = F.when(F.col("p_partkey") % 10 == 0, F.lit("ERROR 50 :: NOTHING FOUND")).otherwise(F.concat(F.lit("Ph;Po;Ur;Nq;Td\r\n"), cells, F.lit("\r\n")))
+    return intel.organic_keywords(intel.separated_rows(table(spark, sf_dir, "part").select("p_partkey", body.alias("payload"))))
+
+
+@query
+def advised_issues(spark, sf_dir):
+    """Issues with advice, by rule."""
+    found = audit.select_issues(audit.issues(_pages(spark, sf_dir)), with_recommendation=True)
+    return found.groupBy("category", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query
+def heaviest_categories(spark, sf_dir):
+    return audit.by_weight(audit.categories_long(_pages(spark, sf_dir))).select("page_id", "category", "weight")
+
+
+@query
+def brand_texts(spark, sf_dir):
+    """What was typed in about a brand, and the line that a report begins with; customers are the brands."""
+    c = F.col("c_custkey")
+    typed = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.concat(F.lit(" "), "c_mktsegment", F.lit(" ")).alias("industry"),
+        F.when(c % 3 == 0, F.lit("  ")).otherwise(F.col("c_name")).alias("persona"),
+        F.when(c % 2 == 0, F.lit(" 1M-10M")).otherwise(F.lit("much")).alias("revenue_range"),
+        F.when(c % 4 == 0, F.lit("")).when(c % 4 == 1, F.repeat("c_name", 40)).otherwise(F.col("c_name")).alias("description"),
+        F.array(F.lit(" a"), F.lit("  "), F.col("c_name")).alias("competitors"),
+        F.when(c % 8 != 0, F.col("c_name")).alias("name"),
+    )
+    found = enrich.manual(typed)
+    line = enrich.one_liner(F.col("description"), F.col("name")).alias("one_liner")
+    return found.select("c_custkey", "industry", "persona", "revenue_range", "description", F.array_join("competitors", "|").alias("competitors"), line)
+
+
+@query
+def report_texts(spark, sf_dir):
+    """Texts with characters that the report fonts lack."""
+    odd = F.concat("p_name", F.lit(" \u2014 \u2018a\u2019 \u201cb\u201d\u2026 \u2022\u00a0\u2192\u2190\u2713\u2717 \u4e2d \u00e9"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.latin1(odd).alias("printed"), S.compact_number((F.col("p_partkey") * 1_000_130 + 7).cast("long")).alias("number"))
 
 
 def _site_files(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

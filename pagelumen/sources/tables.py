@@ -18,8 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A page snapshot; of pages fetched with a status or type, the failed and the non-HTML ones are left out."""
-    found = spark.read.format(fmt).load(path)
+    """A page snapshot, without what ``fetched`` leaves out."""
+    return fetched(spark.read.format(fmt).load(path))
+
+
+def fetched(found: DataFrame) -> DataFrame:
+    """Of pages with a status or a type, the failed and the non-HTML ones are left out; an unknown one stays."""
     if "status_code" in found.columns:
         found = found.where(F.col("status_code").isNull() | (F.col("status_code") < 400))
     if "content_type" in found.columns:

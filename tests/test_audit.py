@@ -159,3 +159,34 @@ def test_query_matches_sql(spark, sf_dir, name):
     got = con.execute(oracle_sql()[name])
     order = [[d[0] for d in got.description].index(c) for c in columns]
     assert ours == sorted((tuple(_plain(r[i]) for i in order) for r in got.fetchall()), key=repr)
+
+
+def test_relative_addresses_with_many_dots(spark):
+    from urllib.parse import urljoin
+
+    from pagelumen.functions import urls as U
+
+    cases = [(f"https://h.test{b}", h) for b in ("/1/2/3/4/5/6/7", "/1/2/3/", "/", "") for h in ("../../../../../../x", "../../..", "./a/./b", "a/../../b?q=/../c", "..", ".", "/x/../../y/", "?k=1", "//o.test/a/../b", "../#f")]
+    frame = spark.createDataFrame(cases, "base string, href string")
+    got = {(r.base, r.href): r.u for r in frame.select("base", "href", U.resolved(F.col("base"), F.col("href")).alias("u")).collect()}
+    for base, href in cases:
+        assert got[base, href] == urljoin(base, href), (base, href)
+
+
+def test_depths_have_no_end(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(56)] + [("n3", "n0")], "src string, dst string")
+    found = {r.node: r.depth for r in linkgraph.depths(edges, spark.createDataFrame([("n0",)], "node string")).collect()}
+    assert found == {f"n{i}": i for i in range(57)}
+
+
+def test_inheritance_has_no_end(spark):
+    own = spark.createDataFrame([("t0", "p")], "type string, property string")
+    up = spark.createDataFrame([(f"t{i + 1}", f"t{i}") for i in range(15)] + [("t0", "t2")], "type string, parent string")
+    assert {r.type for r in schemaorg.inherited(own, up).collect()} == {f"t{i}" for i in range(16)}
+
+
+def test_positions_of_many_nodes_differ(spark):
+    many = JSONLD % ("[" + ",".join('{"@type":"Thing"}' for _ in range(1200)) + "]")
+    found = schemaorg.entities(with_facts(pages(spark, many + JSONLD % "{" + JSONLD % '{"@type":"Thing"}')))
+    rows = found.select("position", "parse_error").collect()
+    assert sorted(r.position for r in rows) == list(range(1202)) and [r.position for r in rows if r.parse_error] == [1200]

@@ -35,7 +35,7 @@ def test_traffic(spark):
     body = {"total_visits": {"visits": [{"visits": 10}, {"visits": 1_500_000}]}, "engagement": {"average_visit_duration": 185, "bounce_rate": 0.45, "pages_per_visit": 0}, "pages_per_visit": 2.5, "traffic_sources": {"overview": {"direct": 0.2, "mail": 0.5}}}
     row = intel.traffic(payloads(spark, body, "nothing")).first()
     assert (row.visits_display, row.visit_display, row.bounce_display, row.pages_per_visit) == ("1.5M", "3m 5s", "45.0%", 2.5)
-    assert [c.channel for c in row.channels] == ["Email", "Direct"]
+    assert [c.channel for c in row.channels] == ["direct", "email"]
 
 
 def test_separated_reports(spark):
@@ -76,7 +76,7 @@ def test_history(spark):
 def test_enrichment(spark):
     frame = spark.createDataFrame([(1, "https://a.b/", '<title>T</title><meta property="og:description" content="O"><link rel="icon" href="/f.ico"><body>our hotel, flight and booking')], "page_id long, url string, html string")
     row = enrich.from_homepage(frame).first()
-    assert (row.description, row.description_confidence, row.industry, row.favicon) == ("O", 0.7, "Travel", "https://a.b/f.ico")
+    assert (row.description, row.description_confidence, row.industry, row.favicon) == ("O", 0.7, "Travel & Hospitality", "https://a.b/f.ico")
     typed = spark.createDataFrame([(" x ", "", "junk", "d" * 600, ["a", " ", "b"])], "industry string, persona string, revenue_range string, description string, competitors array<string>")
     row = enrich.manual(typed).first()
     assert (row.industry, row.persona, row.revenue_range, len(row.description), row.competitors) == ("x", None, None, 500, ["a", "b"])
