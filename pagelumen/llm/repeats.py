@@ -121,6 +121,7 @@ _FIELDS = T.StructType(
         T.StructField("n_removed", T.LongType()),
         T.StructField("n_spans", T.LongType()),
         T.StructField("kept_sha256", T.StringType()),
+        T.StructField("kept_text", T.StringType()),
     ]
 )
 
@@ -296,7 +297,11 @@ def repeated_windows(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``n_bytes, n_removed, n_spans, kept_sha256`` to every row."""
+    """Adds ``n_bytes, n_removed, n_spans, kept_sha256, kept_text`` to every row.
+
+    ``kept_text`` is the text without its repeats; what is left of a character that was cut is not in it, but
+    counts in the digest, which is of the bytes.
+    """
     order = df.columns if keep is None else keep
     runs = stored(repeated_windows(df, text).groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("_runs")))  # bounded by a text's length
     held = _bitmap(runs.select("tid"))
@@ -320,7 +325,7 @@ def remove_repeats(df: DataFrame, text: str = "text", keep: list[str] | None = N
 
 
 def _measured(rows: pa.Array, texts: list[bytes | None], runs: list[list[dict] | None]) -> pa.RecordBatch:
-    sizes, removed, spans, sums = [], [], [], []
+    sizes, removed, spans, sums, left = [], [], [], [], []
     for value, found in zip(texts, runs, strict=True):
         value = value or b""
         gone = merged([(r["lo"], r["hi"] + LENGTH) for r in found or []])
@@ -331,8 +336,10 @@ def _measured(rows: pa.Array, texts: list[bytes | None], runs: list[list[dict] |
         sizes.append(len(value))
         removed.append(sum(e - s for s, e in gone))
         spans.append(len(gone))
-        sums.append(hashlib.sha256(b"".join([*parts, value[at:]])).hexdigest())
-    made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums, pa.string())]
+        rest = b"".join([*parts, value[at:]])
+        sums.append(hashlib.sha256(rest).hexdigest())
+        left.append(rest.decode("utf-8", "ignore"))  # a cut within a character leaves bytes that are none
+    made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums, pa.string()), pa.array(left, pa.string())]
     return pa.RecordBatch.from_arrays([rows, *made], ["_row", *(f.name for f in _FIELDS)])
 
 

@@ -64,6 +64,15 @@ def test_long_texts_in_slices(spark, monkeypatch):
     assert [sorted(x) for x in got] == [list(range(len(t) - LENGTH + 1)) for t in data]  # every window once
 
 
+def test_kept_text_and_names_that_clash(spark):
+    rng = random.Random(9)
+    p = noise(rng, 500)
+    frame = spark.createDataFrame([(1, "before " + p, 8), (2, p + " after", 9), (3, None, 7)], "doc_id long, text string, _pad long").selectExpr("*", "1 as _row", "2 as tid", "3 as f0")
+    out = {r.doc_id: r for r in repeats.remove_repeats(frame).collect()}
+    assert [out[i].kept_text for i in (1, 2, 3)] == ["before ", " after", ""]
+    assert [(out[i]["_pad"], out[i]["_row"], out[i].tid, out[i].f0) for i in (1, 2, 3)] == [(8, 1, 2, 3), (9, 1, 2, 3), (7, 1, 2, 3)]
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(docs(spark, ["a"]).limit(0)).count() == 0
 
