@@ -5,7 +5,8 @@ n-grams (log-odds of the n-gram under the languages on either side) predicts its
 over the bits, the logistic loss of each codeword's sign against the classifier's margin, weighted by the
 bit's accuracy in training, and chooses the codeword of least loss. A close second flags ambiguity.
 
-Training uses a sample of labelled rows: about ``SAMPLE_EACH`` rows of least key hash for every language.
+Training uses a sample of labelled rows: about ``SAMPLE_EACH`` rows of least hash of key and text for every
+language, and one at least; copies of one row count once.
 The driver holds the sample and a table of languages by buckets, so more than ``MOST_LANGUAGES`` labels are
 an error; none is ever left out. Prediction reads the whole of every text.
 
@@ -18,6 +19,7 @@ an empty result; input columns with an output's name are replaced by it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from pagelumen.llm.common import WORD_BYTES, annotate, grouped_by_size
 
 SAMPLE_EACH, MOST_LANGUAGES = 300, 1024
-BUCKETS = 1 << 15
+BUCKETS, PART = 1 << 15, 1 << 16
 UND = "und"
 #: Posterior of the best language below which a text is ambiguous.
 SURE = 0.6
@@ -63,6 +65,12 @@ def _ngrams(data: np.ndarray) -> np.ndarray:
     return np.concatenate([(three * np.uint32(2654435761)) >> half, ((four * np.uint32(2246822519)) >> half) + np.uint32(BUCKETS // 2)])
 
 
+def _parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of all n-grams, for a long text part by part, so that arrays over them stay small."""
+    for at in range(0, len(data) - 3, PART):
+        yield _ngrams(data[at : at + PART + 3])
+
+
 def _prepared(text: str) -> bytes:
     return b" " + text.encode().translate(WORD_BYTES) + b"   "
 
@@ -77,7 +85,8 @@ class Codes:
         counts = np.zeros((len(self.languages), BUCKETS))
         texts = [(number[lang], np.frombuffer(_prepared(text), np.uint8)) for lang, text in rows if text]
         for i, data in texts:
-            counts[i] += np.bincount(_ngrams(data), minlength=BUCKETS)
+            for part in _parts(data):
+                counts[i] += np.bincount(part, minlength=BUCKETS)
         rates = counts / np.maximum(counts.sum(1, keepdims=True), 1)
         bits = self.words.shape[1]
         self.weights = np.zeros((BUCKETS, bits), np.float32)
@@ -86,7 +95,7 @@ class Codes:
             self.weights[:, j] = np.log(plus / minus)
         self.middle, self.spread, self.trust = np.zeros(bits), np.ones(bits), np.ones(bits)
         if bits and texts:
-            margins = np.array([self.weights[_ngrams(d)].mean(0) for _, d in texts])
+            margins = np.array([self._margins(d) for _, d in texts])
             signs = self.words[[i for i, _ in texts]]
             for j in range(bits):
                 means = [margins[signs[:, j] == s, j].mean() if (signs[:, j] == s).any() else 0.0 for s in (1, -1)]
@@ -95,6 +104,10 @@ class Codes:
                 right = (np.sign(margins[:, j] - self.middle[j]) == signs[:, j]).mean()
                 self.trust[j] = max(2 * right - 1, 0.01)
 
+    def _margins(self, data: np.ndarray) -> np.ndarray:
+        """Mean weight of the text's n-grams, by bit."""
+        return sum(self.weights[part].sum(0, dtype=np.float64) for part in _parts(data)) / (2 * (len(data) - 3))
+
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Loss-weighted decoding: number of the best language, and its posterior."""
         z = 3.0 * (margins - self.middle) / self.spread
@@ -115,7 +128,7 @@ class Codes:
             if not self.words.shape[1]:
                 margins = np.zeros((len(group), 0))
             else:
-                margins = np.array([self.weights[_ngrams(np.frombuffer(d, np.uint8))].mean(0) for _, d in group], np.float64)
+                margins = np.array([self._margins(np.frombuffer(d, np.uint8)) for _, d in group], np.float64)
             for (k, _), lang, score in zip(group, *self.decode(margins), strict=True):
                 langs[rows[k]], scores[rows[k]] = self.languages[lang], float(score)
         return langs, scores
@@ -124,17 +137,20 @@ class Codes:
 def learn(df: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Codes:
     """Trains on a sample of the rows for which ``usable`` holds, with every language among them."""
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if usable is None else usable))
-    h = F.xxhash64(F.lit("language"), F.col(key).cast("string"))
-    counts = known.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()
+    # By key and text: rows that share a key don't fall in or out together.
+    h = F.xxhash64(F.lit("language"), F.col(key).cast("string"), F.col(text).cast("string"))
+    counts = known.groupBy(lang).agg(F.count("*").alias("n"), F.min(h).alias("first")).limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return Codes([])
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} different labels in {lang}")
     # Hashes are uniform, so a share of their range holds about that share of a language's rows: no ranking.
-    edges = {r[0]: -(1 << 63) + min((1 << 64) * SAMPLE_EACH // r["count"], (1 << 64) - 1) for r in counts}
+    edges = {r[0]: -(1 << 63) + min((1 << 64) * SAMPLE_EACH // r.n, (1 << 64) - 1) for r in counts}
+    edges = {r[0]: max(edges[r[0]], r["first"]) for r in counts}  # at least one row of each
     last = F.element_at(F.create_map(*(F.lit(x) for name, edge in sorted(edges.items()) for x in (name, edge))), F.col(lang))
-    rows = known.where(h <= last).select(lang, text).limit(2 * SAMPLE_EACH * len(edges)).collect()
-    return Codes([(r[0], r[1]) for r in rows])
+    # Copies of one row have one hash; a row of each is enough, and keeps the sample bounded.
+    rows = known.where(h <= last).groupBy(lang, h.alias("h")).agg(F.first(text).alias("text")).limit(2 * SAMPLE_EACH * len(edges)).collect()
+    return Codes([(r[0], r["text"]) for r in rows])
 
 
 _FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])

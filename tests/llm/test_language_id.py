@@ -50,3 +50,23 @@ def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MOST_LANGUAGES", 89)
     with pytest.raises(ValueError, match="89"):
         language_id.learn(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+
+
+def test_rows_of_one_key_and_copies_teach(spark):
+    english, french = "the cat and the dog went over the hill with them", "le chat et la souris sont dans les bois avec eux"
+    rows = [(7, f"{english} {i}", "en") for i in range(2000)] + [(7, french, "fr")] * 2000
+    codes = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert codes.languages == ["en", "fr"]
+    assert codes.predict([english, french])[0] == ["en", "fr"]
+    rows = [(None, english, "en")] * 1000 + [(None, french, "fr")] * 1000
+    assert language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["en", "fr"]
+
+
+def test_long_texts_in_parts(monkeypatch):
+    rows = [("en", "the cat and the dog went over the hill with them"), ("fr", "le chat et la souris sont dans les bois avec eux")]
+    codes = language_id.Codes(rows)
+    whole = codes.predict([rows[0][1] * 40])
+    monkeypatch.setattr(language_id, "PART", 50)
+    parts = codes.predict([rows[0][1] * 40])
+    assert whole[0] == parts[0] and abs(whole[1][0] - parts[1][0]) < 1e-9
+    assert abs(language_id.Codes(rows).weights - codes.weights).max() < 1e-6
