@@ -35,8 +35,9 @@ WINDOW = 10
 SAMPLED = 8
 #: Words of a piece of the indexed text, and bytes of text in a shard.
 PIECE, SHARD_BYTES = 96, 8 << 20
-#: Bytes of benchmark text that one pass holds; larger benchmarks take several passes.
-PASS_BYTES = 16 << 20
+#: Bytes of benchmark text that one pass holds, about a hundred times as many in memory; larger benchmarks
+#: take several passes.
+PASS_BYTES = 2 << 20
 
 
 def words_of(data: bytes) -> list[bytes]:

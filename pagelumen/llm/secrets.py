@@ -33,6 +33,8 @@ from pagelumen.llm.common import annotate, bound_batches, give_back
 
 #: Bounds of the training sample: documents for ordinary tokens, labelled credentials per kind, ordinary tokens.
 SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_ORDINARY = 8192, 400, 4000
+#: Characters of a value that are learned from; longer ones count as of this length. Scoring reads all.
+SAMPLE_CHARS = 128
 LEAST = 8
 #: Confidence parameter of the compatibility test.
 ALPHA = 0.01
@@ -316,9 +318,9 @@ def learn(df: DataFrame, text: str = "text", key: str = "doc_id") -> Formats:
 def _labelled(text: str, sampled: bool = True) -> list[tuple[str, str]]:
     """Credentials by kind (of an assignment, its value), and some of the tokens that are none."""
     base = base_spans(text)
-    out = [(KINDS[k], ASSIGN.match(text, s).group(2)[:128] if k == 0 else text[s:e][:128]) for s, k, e in base]
+    out = [(KINDS[k], ASSIGN.match(text, s).group(2)[:SAMPLE_CHARS] if k == 0 else text[s:e][:SAMPLE_CHARS]) for s, k, e in base]
     for s, e, _ in candidates(text, base) if sampled else ():
-        value = text[s:e][:128]
+        value = text[s:e][:SAMPLE_CHARS]
         if hashlib.md5(value.encode()).digest()[0] < 32:
             out.append(("ordinary", value))
     return out

@@ -105,3 +105,15 @@ def test_items_without_an_id_are_hit(spark):
     alone = bench.where("item_id is null")
     assert {r.doc_id: (len(r.hit_spans), r.hit_items) for r in d.find_passages(frame, alone).collect()}[0] == (1, [])
     assert {r.doc_id: r.text for r in d.remove_passages(frame, alone).collect()}[0] == "keep  keep"
+
+
+def test_names_that_clash(spark, monkeypatch):
+    """Extra columns with the names of helpers and of outputs, over several passes."""
+    monkeypatch.setattr(d, "PASS_BYTES", 40)
+    passage = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(i, f"{passage} item{i}") for i in range(4)], "item_id long, text string")
+    frame = spark.createDataFrame([(1, f"start {passage} end", 5)], "doc_id long, text string, _pad long").selectExpr("*", "'s' as _spans", "'i' as _items", "'h' as hit_spans", "4 as _row", "6 as _text")
+    row = d.remove_passages(frame, bench).first()
+    assert (row["_pad"], row["_spans"], row["_items"], row.hit_spans, row["_row"], row["_text"]) == (5, "s", "i", "h", 4, 6)
+    assert row.text == "start  end"
+    assert d.remove_passages(frame, bench).columns == frame.columns
