@@ -6,18 +6,43 @@ no Python. A missing attribute is null, an empty one is ``''``: some rules tell
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named character references that are decoded, besides the five of XML.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&amp;", "&")]
+def _by_reference() -> dict[str, str]:
+    """Character by reference: the names of HTML 4 with ``apos``, and the numbers 128 to 159, which mean Windows-1252."""
+    named = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    numbered = {f"#{code}": bytes([code]).decode("cp1252", "ignore") for code in range(128, 160)}
+    return named | {name: char for name, char in numbered.items() if char}
+
+
+def _literal_map(entries: dict[str, str]) -> Column:
+    """The entries as one map that is folded to a constant."""
+    keys, values = "\n".join(entries), "\n".join(entries.values())
+    return F.map_from_arrays(F.split(F.lit(keys), "\n"), F.split(F.lit(values), "\n"))
 
 
 def decoded(text: Column) -> Column:
-    """Common character references decoded; ``&amp;`` last, so that nothing is decoded twice."""
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references decoded, named and numeric; each once, so ``&amp;lt;`` becomes ``&lt;``.
+
+    Unknown names, and references without a semicolon, stay as written; numbers of no character become U+FFFD.
+    """
+    known = _literal_map(_by_reference())
+
+    def resolved(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);", 1)
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")
+        hexed = name.rlike("^#[xX]")
+        # More than seven digits are beyond the last character, 10FFFF.
+        code = F.when(F.length(digits) > 7, F.lit(-1)).when(digits == "", F.lit(0)).when(hexed, F.conv(digits, 16, 10).cast("int")).otherwise(digits.try_cast("int"))
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        number = F.coalesce(F.try_element_at(known, F.concat(F.lit("#"), code.cast("string"))), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")))
+        char = F.when(name == "", F.lit(None)).when(name.startswith("#"), number).otherwise(F.try_element_at(known, name))
+        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(name) + 2)))
+
+    return F.array_join(F.transform(F.split(text, "&"), lambda part, i: F.when(i == 0, part).otherwise(resolved(part))), "")
 
 
 def without_comments(html: Column) -> Column:

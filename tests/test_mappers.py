@@ -90,3 +90,20 @@ def test_sinks_and_stream(spark, sf_dir, tmp_path):
     found = stream.once_per_url(stream.read_pages(spark, str(tmp_path / "in")))
     stream.write(stream.scored(found), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_character_references(spark):
+    from pagelumen.functions import html as H
+
+    pairs = {
+        "Caf&eacute; &#8217;&rsquo;": "Café ’’",
+        "&amp;lt; &&amp;& &": "&lt; &&& &",
+        "&#x1F600;&#128;&#X41;&#x00000027;": "😀€A'",
+        "&#0;&#xD800;&#99999999999;&#x110000;": "�" * 4,
+        "&nosuch; &lt": "&nosuch; &lt",
+        "x&nbsp;y&#160;z": "x y z",
+        "": "",
+    }
+    df = spark.createDataFrame([(t,) for t in [*pairs, None]], "t string")
+    found = {r.t: r.d for r in df.select("t", H.decoded(F.col("t")).alias("d")).collect()}
+    assert found == {**pairs, None: None}
