@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 PROJECTIONS, THRESHOLD = 32, 19
 WIDTH = 2.719
 GROWTH = 1.4
-SHARD_ROWS, BLOCK_QUERIES = 4096, 1024
+#: Rows of a shard, queries of a block: a vector is sent once a block, a query once a shard, and a group holds both.
+SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
 
 
 class Shard:

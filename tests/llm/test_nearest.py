@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,26 @@ def test_recall_on_the_table(spark):
     assert hits / (10 * len(want)) >= 0.9
 
 
+def test_recall_over_several_shards(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((300, 32))
+    vectors = (centres[rng.integers(0, 300, 40_000)] + 0.4 * rng.standard_normal((40_000, 32))).astype(np.float32)
+    assert len(vectors) > 4 * nearest.SHARD_ROWS
+    flat = pa.array(vectors.ravel())
+    column = pa.ListArray.from_arrays(pa.array(np.arange(0, vectors.size + 1, 32), pa.int32()), flat)
+    pq.write_table(pa.table({"vec_id": np.arange(40_000), "embedding": column}), f"{tmp_path}/v.parquet")
+    got = {}
+    for r in nearest.search(spark.read.parquet(f"{tmp_path}/v.parquet"), F.col("vec_id") % 400 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    exact, hits = vectors.astype(float), 0
+    assert len(got) == 100
+    for q, found in got.items():
+        distance = ((exact - exact[q]) ** 2).sum(1)
+        distance[q] = np.inf
+        hits += len(found & set(np.argsort(distance)[:10].tolist()))
+    assert hits / 1000 >= 0.9
+
+
 def test_edges(spark, monkeypatch):
     monkeypatch.setattr(nearest, "SHARD_ROWS", 7)
     nan, inf = float("nan"), float("inf")
