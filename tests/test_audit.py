@@ -151,7 +151,7 @@ SLOW = {"bfs_depth", "type_closure"}
 @pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SLOW))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("pages", "orders", "lineitem", "part", "documents"):
+    for t in ("pages", "orders", "lineitem", "part", "documents", "customer"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     frame = queries()[name](spark, sf_dir)
     columns = sorted(frame.columns)
