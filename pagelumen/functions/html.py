@@ -75,8 +75,14 @@ def tags(html: Column, name: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{name})\b[^>]*>"), F.lit(0))
 
 
-def tag_count(html: Column, name: str) -> Column:
-    return F.regexp_count(html, F.lit(rf"(?i)<(?:{name})(?:\s|>|/)"))
+def tag_names(html: Column, names: list[str]) -> Column:
+    """The names of all opening tags of the given names, lower case, in one pass."""
+    return F.regexp_extract_all(F.lower(html), F.lit(rf"<({'|'.join(names)})[\s>/]"), F.lit(1))
+
+
+def count_of(found: Column, name: str) -> Column:
+    """How often the name is in an array without nulls."""
+    return F.size(found) - F.size(F.array_remove(found, name))
 
 
 def attribute(tag: Column, name: str) -> Column:

@@ -17,6 +17,7 @@ OPTIONAL = {"status_code": "int", "content_type": "string", "elapsed_ms": "long"
 
 # Elements that count as semantic, and landmark roles.
 SEMANTIC_TAGS = ["header", "nav", "main", "article", "section", "aside", "footer"]
+COUNTED_TAGS = [*SEMANTIC_TAGS, "ul", "ol", "figure", "figcaption", "time", "form", "label", "table"]
 LANDMARK_ROLES = ["banner", "navigation", "main", "contentinfo"]
 #: Phrases of a call to action.
 CTA = r"(?i)\b(buy\s*now|add\s*to\s*cart|shop\s*now|sign\s*up|get\s*started|subscribe|learn\s*more|contact\s*us|request\s*a?\s*quote|book\s*now|order\s*now|free\s*trial|download|register)\b"
@@ -55,7 +56,7 @@ def _main_facts() -> dict[str, Column]:
         "f_wide_styles": _wide_styles(F.col("f_live")),
         "f_media_queries": F.coalesce(F.exists(F.regexp_extract_all(plain, F.lit(r"(?is)<style\b[^>]*>(.*?)</style\s*>"), F.lit(1)), lambda s: s.contains("@media")), F.lit(False))
         | F.exists(rels, lambda r: F.array_contains(r["rel"], "stylesheet") & r["media"].isNotNull()),
-        "f_tag_counts": F.struct(*(H.tag_count(F.col("f_live"), t).alias(t) for t in [*SEMANTIC_TAGS, "ul", "ol", "figure", "figcaption", "time", "form", "label", "table"])),
+        "f_tag_counts": F.struct(*(H.count_of(F.col("f_tag_names"), t).alias(t) for t in COUNTED_TAGS)),
         "f_times_dated": F.size(F.filter(H.tags(F.col("f_live"), "time"), lambda t: F.coalesce(H.attribute(t, "datetime"), F.lit("")) != "")),
         "f_roles": F.array_intersect(F.array(*map(F.lit, LANDMARK_ROLES)), F.regexp_extract_all(F.col("f_live"), F.lit(r"(?is)<[a-z][^>]*\srole\s*=\s*[\"']?([a-z]+)"), F.lit(1))),
         "f_body_text": H.visible_text(F.coalesce(body, F.lit(""))),
@@ -84,5 +85,5 @@ def with_facts(pages: DataFrame) -> DataFrame:
     staged = staged.withColumn("f_markup", H.without_comments(F.col("html"))).withColumn("f_prose", H.without_code(F.col("html")))
     live = F.regexp_replace("f_markup", r"(?is)(<script\b[^>]*>).*?(</script\s*>)|(<style\b[^>]*>).*?(</style\s*>)", "$1$2$3$4")
     staged = staged.withColumn("f_live", live)  # tags written inside scripts are no tags
-    staged = staged.withColumns({"f_metas": H.metas(F.col("f_live")), "f_rels": H.rel_links(F.col("f_live")), "f_scripts": H.scripts(F.col("f_markup"))})
+    staged = staged.withColumns({"f_metas": H.metas(F.col("f_live")), "f_rels": H.rel_links(F.col("f_live")), "f_scripts": H.scripts(F.col("f_markup")), "f_tag_names": H.tag_names(F.col("f_live"), COUNTED_TAGS)})
     return staged.withColumns(_main_facts())
