@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelumen.llm import bpe, decontaminate, language_id, licenses, near_dups, nearest, repeats, secrets, sharding, sql, url_filters
+from pagelumen.llm import bpe, decontaminate, hard_negatives, language_id, licenses, line_dedup, near_dups, nearest, repeats, secrets, sharding, sql, url_filters, vector_codes
 from pagelumen.llm.common import table
 
 
@@ -70,6 +70,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_id.fold() == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, noisy)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_byte_bpe, op3_near_dups, op4_repeats, op5_secrets, op6_url_filter, op7_sharding, op8_nearest, op9_decontaminate, op10_language]
+    own = [op1_license_scan, op2_byte_bpe, op3_near_dups, op4_repeats, op5_secrets, op6_url_filter, op7_sharding, op8_nearest, op9_decontaminate, op10_language, op11_vector_codes, op12_hard_negatives, op13_line_dedup]
     return {f.__name__: f for f in [*own, pipeline]}
 
 

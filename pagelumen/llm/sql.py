@@ -73,5 +73,36 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN blocked THEN 'block' E
 FROM judged LEFT JOIN classes USING (node)"""
 
 
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds written out; products of integers are exact as doubles."""
+    steps = [f"""kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, generate_series(0, {parts - 1}) AS g(p)),
+book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM cut QUALIFY e < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS (SELECT vec_id, label, p, x, min(struct_pack(d := list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), e := e)) AS n
+  FROM cut JOIN book{r} USING (p) GROUP BY vec_id, label, p, x)""")
+        if r < rounds:
+            steps.append(f"""mean{r} AS (SELECT p, e, list(floor(total / n) ORDER BY i) AS c FROM (SELECT p, n.e AS e, i, sum(x[i]) AS total, count(*) AS n FROM near{r}, LATERAL (SELECT unnest(generate_series(1, len(x))) AS i) GROUP BY ALL) GROUP BY p, e),
+book{r + 1} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m USING (p, e))""")
+    return "WITH " + ",\n".join(steps) + f""",
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', n.e), '' ORDER BY p) AS code, sum(n.d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM coded"""
+
+
+HARD_NEGATIVES = """WITH kept AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM kept a JOIN kept b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS positive_rank FROM pairs WHERE same QUALIFY positive_rank <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank, other_id AS negative_id, positive_score, score AS negative_score, positive_rank
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score QUALIFY rank <= 3"""
+
+LINE_DEDUP = """WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+keyed AS (SELECT *, """ + _LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))") + """ AS k FROM lines),
+judged AS (SELECT *, length(k) >= 10 AND doc_id <> min(doc_id) OVER (PARTITION BY k) AS gone FROM keyed)
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.scan_sql(), "op6_url_filter": _url_filter(), "op9_decontaminate": DECONTAMINATE}
+    return {"op1_license_scan": licenses.scan_sql(), "op6_url_filter": _url_filter(), "op9_decontaminate": DECONTAMINATE, "op11_vector_codes": _vector_codes(), "op12_hard_negatives": HARD_NEGATIVES, "op13_line_dedup": LINE_DEDUP}
