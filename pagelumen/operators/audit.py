@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelumen.functions.reuse import once_a_session
 from pagelumen.operators.facts import with_facts
 from pagelumen.operators.rules import CATEGORIES, ORDER, WEIGHTS, Category
 from pagelumen.operators.schemaorg import with_structured
@@ -42,6 +43,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     return with_structured(with_facts(pages))
 
 
+@once_a_session
 def category(name: str) -> Category:
     return CATEGORIES[name]()
 
@@ -211,3 +213,10 @@ def narrative(found: DataFrame) -> DataFrame:
     return found.groupBy("page_id").agg(errors.alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings")).withColumn(
         "variant", F.when(F.col("errors") > 5, "many_errors").when(F.col("errors") > 0, "some_errors").otherwise("no_errors")
     )
+
+
+def top_issues(found: DataFrame, k: int = 8) -> DataFrame:
+    """Per page the first k errors and warnings, errors first, else in audit order; a message can come twice."""
+    order = Window.partitionBy("page_id").orderBy(F.when(F.col("severity") == "error", 0).otherwise(1), "category_pos", "issue_pos")
+    rows = found.where(F.col("severity").isin("error", "warning")).withColumn("rank", F.row_number().over(order))
+    return rows.where(F.col("rank") <= k).select("page_id", "rank", "category", "rule_id", "severity")

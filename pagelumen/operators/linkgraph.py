@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import itertools
-import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelumen.functions import html as H
 from pagelumen.functions import urls as U
+from pagelumen.operators.lineage import cut
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
@@ -27,6 +26,16 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return edges.select("src", U.crawl_normal(F.col("target")).alias("dst"), (U.netloc(F.col("target")) == F.col("host")).alias("internal")).distinct()
 
 
+def ordered_links(pages: DataFrame) -> DataFrame:
+    """``src, dst, internal, position``: the same links with where a page names the target first."""
+    anchors = H.tags(H.without_code(F.col("html")), "a")
+    found = pages.where(F.col("html").isNotNull() & (U.netloc(F.col("url")) != "")).select("url", F.posexplode(F.transform(anchors, lambda t: F.trim(H.attribute(t, "href")))).alias("position", "href"))
+    found = found.where((F.col("href") != "") & ~F.col("href").startswith("#")).withColumn("target", U.resolved(F.col("url"), F.col("href")))
+    found = found.where(F.col("target").rlike(r"^(?i)https?://[^/?#]"))
+    rows = found.select(U.crawl_normal(F.col("url")).alias("src"), U.crawl_normal(F.col("target")).alias("dst"), (U.netloc(F.col("target")) == U.netloc(F.col("url"))).alias("internal"), "position")
+    return rows.groupBy("src", "dst", "internal").agg(F.min("position").alias("position"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``node, out_links, in_links`` of every node. Counted from the edges once each way, without a self-join."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
@@ -75,40 +84,56 @@ def broken_links(pages: DataFrame, edges: DataFrame, status: DataFrame, most: in
     return probed.select("src", "dst", F.coalesce("code", F.lit(0)).alias("code")).where((F.col("code") == 0) | (F.col("code") >= 400))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at a checkpoint in the shared folder the session names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        wanted = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not wanted and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(wanted or os.path.join(tempfile.gettempdir(), "pagelumen-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def depths(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``node, depth``: least number of links from a start node (``node``), breadth first, to any depth.
 
     One join of the frontier per level; each level is checkpointed, and every few levels what was seen is
     written as one table, so plans stay short.
     """
-    links = _cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())  # joined at every level
-    seen = _cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
+    links = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())  # joined at every level
+    seen = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in itertools.count(1):
         reached = frontier.join(links, "node").select(F.col("next").alias("node")).distinct()
-        frontier = _cut(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier) if depth % 16 else _cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier) if depth % 16 else cut(seen.unionByName(frontier))
     return seen
 
 
 def crawl(pages: DataFrame, edges: DataFrame, start: DataFrame, most_pages: int = 20) -> DataFrame:
-    """Stored pages in the order a breadth-first crawl meets them, ``most_pages`` per host."""
-    found = depths(edges.where("internal"), start).join(pages.select(U.crawl_normal(F.col("url")).alias("node"), "page_id", "url"), "node")
-    order = Window.partitionBy(F.lower(U.netloc(F.col("url")))).orderBy("depth", "node", "page_id")
-    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_pages).select("page_id", "url", "depth")
+    """``page_id, url, depth, number``: stored pages as a queue would fetch them, at most ``most_pages`` per host.
+
+    ``edges`` as of ``ordered_links`` (without a ``position``, links are taken in order of their names), ``start``: ``node``. A page joins its host's queue
+    behind the pages whose links came before: pages of one level stand in the order of (number of the page that names them first,
+    position of the link there). A level is one join of the last one with the links. Hosts that have spent their budget leave
+    before the next level is opened, so no more is read than a crawler would fetch. Targets that aren't stored
+    cost nothing and lead nowhere. Of pages with one normalised url the one of least id counts.
+    """
+    place = F.col("position") if "position" in edges.columns else F.lit(0)
+    links = cut(edges.where("internal").select(F.col("src").alias("node"), F.col("dst").alias("next"), place.alias("position")))  # joined at every level
+    own = pages.select(U.crawl_normal(F.col("url")).alias("node"), "page_id", "url")
+    stored = cut(own.groupBy("node").agg(F.min(F.struct("page_id", "url")).alias("p")).select("node", "p.page_id", "p.url"))
+    site = F.lower(U.netloc(F.col("node")))
+    # Numbers are given within a host; the limit on them is applied before rows meet, so that no host is one large group.
+    order = Window.partitionBy("site").orderBy("by", "position", "node")
+    waiting = start.select("node").distinct().select("node", site.alias("site"), F.lit(0).alias("by"), F.lit(0).alias("position"), F.lit(0).alias("spent"))
+    found = None
+    for depth in itertools.count():
+        fetched = waiting.join(stored, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most_pages)
+        fetched = fetched.withColumn("number", F.col("spent") + F.col("place")).where(F.col("number") <= most_pages)
+        level = cut(fetched.select("site", "node", "page_id", "url", F.lit(depth).alias("depth"), "number"))
+        if level.isEmpty():
+            break
+        found = level if found is None else found.unionByName(level)
+        if depth % 16 == 15:
+            found = cut(found)
+        spent = level.groupBy("site").agg(F.max("number").alias("spent")).where(F.col("spent") < most_pages)
+        named = level.join(spent, "site").join(links, "node").groupBy("site", F.col("next").alias("node")).agg(F.min(F.struct(F.col("number").alias("by"), "position")).alias("first"), F.max("spent").alias("spent"))
+        waiting = named.join(found.select("node"), "node", "left_anti").select("node", "site", "first.by", "first.position", "spent")
+    rows = level if found is None else found
+    return rows.select("page_id", "url", "depth", "number")
 
 
 def crawl_report(pages: DataFrame, edges: DataFrame, status: DataFrame, depth: DataFrame | None = None) -> DataFrame:

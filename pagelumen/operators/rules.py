@@ -6,6 +6,7 @@ A category scores 100 less its penalties, never under 0. Every rule has an id; w
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -59,7 +60,8 @@ class Category:
     start: Column | None = None
     available: Column | None = None
 
-    def score(self) -> Column:
+    @functools.cached_property
+    def _score(self) -> Column:
         total = F.lit(100) if self.start is None else self.start
         for rule in self.rules:
             if not (isinstance(rule.penalty, int) and rule.penalty == 0):
@@ -67,7 +69,14 @@ class Category:
                 total = total - F.when(rule.when, penalty).otherwise(F.lit(0))
         return F.least(F.lit(100), F.greatest(F.lit(0), total)).cast("int")
 
+    def score(self) -> Column:
+        return self._score
+
     def issues(self) -> Column:
+        return self._issues
+
+    @functools.cached_property
+    def _issues(self) -> Column:
         """array<struct<rule_id, severity, impact, message, recommendation, evidence>> in rule order."""
         made = []
         for rule in self.rules:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelumen.functions import html as H
 from pagelumen.functions import urls as U
+from pagelumen.operators.lineage import cut
 
 #: Places a sitemap is looked for, after those a robots file names.
 PLACES = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap/sitemap.xml", "/sitemap-index.xml"]
@@ -68,10 +69,10 @@ def discover(robots: DataFrame, sitemaps: DataFrame, sites: DataFrame) -> DataFr
 
 
 def _read(sitemaps: DataFrame) -> DataFrame:
-    """``url, is_index, entries``: entries of a sitemap or index; null where the body is no XML of either kind."""
+    """``url, is_index, entries``: entries of a sitemap or index as written; null where the body is no XML of either kind."""
     body = F.col("body")
     block = lambda tag: F.regexp_extract_all(body, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
-    inner = lambda text, tag: F.nullif(H.decoded(F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))), F.lit(""))
+    inner = lambda text, tag: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")), F.lit(""))
     entry = lambda b: F.struct(*(inner(b, t).alias(t) for t in ("loc", "lastmod", "changefreq", "priority")))
     xml = body.rlike(r"(?is)<(sitemapindex|urlset)\b")
     index = body.rlike(r"(?is)<sitemapindex\b")
@@ -81,22 +82,60 @@ def _read(sitemaps: DataFrame) -> DataFrame:
 
 def entries(sitemaps: DataFrame, roots: DataFrame, most_depth: int = 3) -> DataFrame:
     """``root, sitemap, url, lastmod, changefreq, priority, norm``: entries below the roots (``url``), each
-    normalised url once per root: the one met first (by depth, sitemap, position)."""
+    normalised url once per root: the one met first (by depth, sitemap, position). Bodies are columns of ``sitemaps``."""
     read = _read(sitemaps.where(F.col("status") == 200))
-    level = roots.select(F.col("url").alias("root"), F.col("url").alias("sitemap"))
-    found = None
-    for depth in range(most_depth + 1):
-        opened = level.join(read.withColumnRenamed("url", "sitemap"), "sitemap")
-        own = opened.where(~F.col("is_index")).select("root", "sitemap", F.lit(depth).alias("depth"), F.posexplode("entries").alias("position", "e"))
-        found = own if found is None else found.unionByName(own)
-        level = opened.where("is_index").select("root", F.explode("entries").alias("e")).select("root", F.col("e.loc").alias("sitemap")).distinct()
-    rows = found.select("root", "sitemap", "depth", "position", F.col("e.loc").alias("url"), F.col("e.lastmod").alias("lastmod"), F.col("e.changefreq").alias("changefreq"), F.col("e.priority").alias("priority"), U.export_normal(F.col("e.loc")).alias("norm"))
-    order = Window.partitionBy("root", "norm").orderBy("depth", "sitemap", "position")
-    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") == 1).drop("n", "depth", "position")
+    # Outer: else the whole expression of the entries would be evaluated once more, to see whether there are any.
+    rows = read.select(F.col("url").alias("sitemap"), "is_index", F.posexplode_outer("entries").alias("position", "e")).where(F.col("e").isNotNull()).select("sitemap", "is_index", "position", "e.*")
+    return walk(rows.withColumn("loc", H.decoded(F.col("loc"))), roots, most_depth)
+
+
+def sitemap_rows(spark, path: str) -> DataFrame:
+    """``file, is_index, position, loc, lastmod, changefreq, priority`` of a folder of sitemap files, plain or gzipped (``.gz``).
+
+    Files are read row by row, so none is ever one string: ``url`` elements of lists and ``sitemap`` elements of indexes.
+    A file that has any of the latter is an index. ``file``: the file's address; ``position`` grows within it.
+    """
+    schema = "loc string, lastmod string, changefreq string, priority string"
+
+    def elements(tag: str) -> DataFrame:
+        found = spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", "true").schema(schema).load(path)
+        # Blocks of a large file are read apart: first where the block starts, then the order within it.
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        tidy = (F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("loc", "lastmod", "changefreq", "priority"))
+        return found.select(F.col("_metadata.file_path").alias("file"), F.lit(tag == "sitemap").alias("is_index"), place.alias("position"), *tidy)
+
+    return elements("url").unionByName(elements("sitemap")).where(F.col("loc").isNotNull())
+
+
+def entries_of_files(rows: DataFrame, names: DataFrame, roots: DataFrame, most_depth: int = 3) -> DataFrame:
+    """The same as ``entries`` from ``sitemap_rows``; ``names``: ``file, sitemap`` (the url under which a file was fetched)."""
+    return walk(cut(rows.join(names.select("file", "sitemap"), "file").drop("file")), roots, most_depth)  # parsed once
+
+
+def walk(rows: DataFrame, roots: DataFrame, most_depth: int = 3) -> DataFrame:
+    """Entries below the roots (``url``) from ``sitemap, is_index, position, loc, lastmod, changefreq, priority``.
+
+    Level by level from the roots; a sitemap that a root has opened isn't opened again, so indexes that name each other
+    end. Below ``most_depth`` nothing is opened. An index's own ``url`` elements don't count.
+    """
+    children = cut(rows.where("is_index").select("sitemap", F.col("loc").alias("child")).distinct())  # joined at every level
+    level = cut(roots.select(F.col("url").alias("root"), F.col("url").alias("sitemap")).distinct().withColumn("depth", F.lit(0)))
+    opened = level
+    for depth in range(1, most_depth + 1):
+        below = level.join(children, "sitemap").select("root", F.col("child").alias("sitemap")).distinct()
+        level = cut(below.join(opened, ["root", "sitemap"], "left_anti").withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
+            break
+        opened = opened.unionByName(level)
+    lists = rows.where(~F.col("is_index")).join(children.select("sitemap").distinct(), "sitemap", "left_anti")
+    met = opened.join(lists, "sitemap").withColumn("norm", U.export_normal(F.col("loc")))
+    entry = F.struct("depth", "sitemap", "position", F.col("loc").alias("url"), "lastmod", "changefreq", "priority")
+    first = met.groupBy("root", "norm").agg(F.min(entry).alias("e"))  # combines before the shuffle: a url in very many sitemaps is no hot group
+    return first.select("root", "e.sitemap", "e.url", "e.lastmod", "e.changefreq", "e.priority", "norm")
 
 
 def sitemap_facts(sitemaps: DataFrame, now: str) -> DataFrame:
-    """``url, m_status, m_is_xml, m_urls, m_stale, m_foreign, m_locs`` of each sitemap file itself.
+    """``url, m_status, m_is_xml, m_urls, m_stale, m_foreign, m_locs`` (as written) of each sitemap file itself.
 
     An entry is stale if its last change is more than 365 whole days before ``now``; dates without a time
     count from midnight.
@@ -105,7 +144,7 @@ def sitemap_facts(sitemaps: DataFrame, now: str) -> DataFrame:
     age = lambda e: F.floor((F.unix_timestamp(F.to_timestamp(F.lit(now))) - F.unix_timestamp(F.try_to_timestamp(e["lastmod"]))) / 86400)
     stale = F.size(F.filter("entries", lambda e: F.coalesce(age(e) > STALE_DAYS, F.lit(False))))
     foreign = F.size(F.filter("entries", lambda e: ~e["loc"].startswith(U.base_url(F.col("url")))))
-    return read.select("url", F.col("status").alias("m_status"), F.col("is_xml").alias("m_is_xml"), F.size("entries").alias("m_urls"), stale.alias("m_stale"), foreign.alias("m_foreign"), F.transform("entries", lambda e: F.regexp_replace(e["loc"], "/+$", "")).alias("m_locs"))
+    return read.select("url", F.col("status").alias("m_status"), F.col("is_xml").alias("m_is_xml"), F.size("entries").alias("m_urls"), stale.alias("m_stale"), foreign.alias("m_foreign"), F.transform("entries", lambda e: e["loc"]).alias("m_locs"))
 
 
 def with_sitemap(pages: DataFrame, sitemaps: DataFrame, now: str, place: str = "/sitemap.xml") -> DataFrame:
@@ -114,12 +153,28 @@ def with_sitemap(pages: DataFrame, sitemaps: DataFrame, now: str, place: str = "
     Whether a page is listed is a semi-join on (site, url), so a site's list is never held in one row.
     """
     facts = sitemap_facts(sitemaps, now)
-    listed = facts.select("url", F.explode("m_locs").alias("loc")).select(F.col("url").alias("m_file"), "loc").distinct().withColumn("m_listed", F.lit(True))
+    listed = facts.select("url", F.explode_outer("m_locs").alias("loc")).select(F.col("url").alias("m_file"), F.regexp_replace(H.decoded(F.col("loc")), "/+$", "").alias("loc")).where(F.col("loc").isNotNull()).distinct().withColumn("m_listed", F.lit(True))
     rows = pages.withColumn("m_file", F.concat(U.base_url(F.col("url")), F.lit(place))).withColumn("loc", F.regexp_replace("url", "/+$", ""))
     rows = rows.join(facts.drop("m_locs").withColumnRenamed("url", "m_file"), "m_file", "left").join(listed, ["m_file", "loc"], "left")
     return rows.withColumns({"m_known": F.col("m_is_xml").isNotNull(), "m_has_page": F.coalesce("m_listed", F.lit(False))}).drop("m_file", "loc", "m_listed")
 
 
+def banned(urls: DataFrame, rules: DataFrame, column: str = "disallowed") -> DataFrame:
+    """Adds whether a rule of the url's site bans its path, and ``banned_by``, the longest rule that does.
+
+    ``rules`` as of ``robots_rules``; a rule bans what starts with its path, stars at the end aside. Every path is cut to
+    the lengths that the site's rules have, and the cuts are looked up by equality: a site of 100,000 rules costs a path as many
+    rows as its rules have lengths, and no site's rules are ever held in one row.
+    """
+    prefixes = rules.where(F.col("kind") == "disallow").select("base_url", F.rtrim(F.col("path"), F.lit("*")).alias("prefix")).distinct()
+    lengths = prefixes.select("base_url", F.length("prefix").alias("size")).distinct()
+    keyed = urls.withColumns({"_site": U.base_url(F.col("url")), "_path": U.path(F.col("url"))})
+    paths = keyed.select(F.col("_site").alias("base_url"), F.col("_path").alias("path")).distinct()
+    cuts = paths.join(lengths, "base_url").where(F.length("path") >= F.col("size")).withColumn("prefix", F.expr("left(path, size)"))
+    hits = cuts.join(prefixes, ["base_url", "prefix"]).groupBy(F.col("base_url").alias("_site"), F.col("path").alias("_path")).agg(F.max_by("prefix", "size").alias("banned_by"))
+    return keyed.join(hits, ["_site", "_path"], "left").withColumn(column, F.col("banned_by").isNotNull()).drop("_site", "_path")
+
+
 def inventory(listed: DataFrame, pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One row per listed url with what its stored page says: the export's columns.
 
@@ -127,24 +182,26 @@ def inventory(listed: DataFrame, pages: DataFrame, rules: DataFrame | None = Non
     """
     from pagelumen.operators.facts import with_facts
 
-    facts = with_facts(pages)
+    # Several pages can share a normalised url: the one of least id speaks for it.
+    own = pages.withColumn("norm", U.export_normal(F.col("url")))
+    chosen = own.groupBy("norm").agg(F.min("page_id").alias("page_id"))
+    facts = with_facts(own.join(chosen, ["norm", "page_id"], "left_semi"))
     html = F.coalesce(F.col("content_type").contains("text/html"), F.lit(True))
     code = F.coalesce("status_code", F.lit(200))
     robots = F.array_join(F.transform(F.filter("f_metas", lambda m: F.coalesce(m["name"] == "robots", F.lit(False))), lambda m: F.lower(F.coalesce(m["content"], F.lit("")))), ",")
     h1 = F.filter("f_headings", lambda h: h["level"] == 1)
     words = F.when(F.col("f_document_text") == "", 0).otherwise(F.size(F.split("f_document_text", " ")))
     seen = facts.select(
-        U.export_normal(F.col("url")).alias("norm"), code.alias("status_code"), html.alias("is_html"),
+        "norm", code.alias("status_code"), html.alias("is_html"),
         F.substring("f_title", 1, 500).alias("title"), F.length("f_title").alias("title_length"), F.substring("f_description", 1, 500).alias("description"), F.length("f_description").alias("description_length"),
         F.get(F.transform(h1, lambda h: h["text"]), F.lit(0)).alias("h1"), F.size(h1).alias("h1_count"), F.col("f_canonical").alias("canonical"), robots.contains("noindex").alias("noindex"), words.alias("word_count"), F.col("f_og_count").alias("og_tags"),
+        F.coalesce("content_type", F.lit("")).alias("content_type"), F.get(F.transform(F.filter("f_metas", lambda m: F.coalesce(m["name"] == "robots", F.lit(False))), lambda m: m["content"]), F.lit(0)).alias("robots_meta"),
+        F.substring(_property("og:title"), 1, 500).alias("og_title"), F.substring(_property("og:description"), 1, 500).alias("og_description"),
         F.coalesce("elapsed_ms", F.lit(None).cast("long")).alias("response_ms"),
     )
-    seen = seen.dropDuplicates(["norm"])
     rows = listed.join(seen, "norm", "left")
     if rules is not None:
-        banned = rules.where(F.col("kind") == "disallow").groupBy("base_url").agg(F.collect_set(F.rtrim(F.col("path"), F.lit("*"))).alias("banned"))  # a site's rules
-        rows = rows.withColumn("base_url", U.base_url(F.col("url"))).join(banned, "base_url", "left").drop("base_url")
-        rows = rows.withColumn("disallowed", F.coalesce(F.exists("banned", lambda p: U.path(F.col("url")).startswith(p)), F.lit(False))).drop("banned")
+        rows = banned(rows, rules)
     else:
         rows = rows.withColumn("disallowed", F.lit(False))
     norm = U.export_normal(F.col("canonical"))
@@ -153,10 +210,16 @@ def inventory(listed: DataFrame, pages: DataFrame, rules: DataFrame | None = Non
             "canonical_status": F.when(F.coalesce(F.col("canonical"), F.lit("")) == "", "missing").when(norm == F.col("norm"), "match").otherwise("mismatch"),
             "indexable": F.when(F.coalesce(F.col("status_code"), F.lit(0)) != 200, "No").when(~F.col("is_html"), "Unknown").when(F.col("noindex") | F.col("disallowed"), "No").otherwise("Yes"),
             "error": F.when(F.col("status_code").isNull(), "not stored").when(F.col("status_code") >= 400, F.concat(F.lit("status "), F.col("status_code").cast("string"))),
+            "extraction_method": F.when(F.coalesce(F.col("status_code"), F.lit(0)) != 200, "failed").when(~F.col("is_html"), "non_html").otherwise("html_parse"),
         }
     )
 
 
+def _property(name: str) -> Column:
+    """Content of the first meta of a property."""
+    return F.get(F.transform(F.filter("f_metas", lambda m: F.coalesce(m["property"] == name, F.lit(False))), lambda m: m["content"]), F.lit(0))
+
+
 def inventory_summary(rows: DataFrame) -> DataFrame:
     """The export's summary: one row of counts; the mean of words is over pages with words, cut to whole."""
     code, n = F.col("status_code"), F.count_if
@@ -173,5 +236,9 @@ def inventory_summary(rows: DataFrame) -> DataFrame:
         n(F.col("canonical_status") == "mismatch").alias("canonical_mismatch"),
         n(F.coalesce(F.col("noindex"), F.lit(False))).alias("noindex"),
         n(F.col("indexable") == "Yes").alias("indexable"),
+        n(F.col("extraction_method") != "failed").alias("fetched_ok"),
+        n(F.col("extraction_method") == "failed").alias("failed"),
+        n((F.col("extraction_method") == "html_parse") & (F.col("canonical_status") == "missing")).alias("missing_canonical"),
+        n(F.col("indexable") == "No").alias("non_indexable"),
         F.coalesce(F.avg(F.nullif(F.col("word_count"), F.lit(0))).cast("int"), F.lit(0)).alias("avg_word_count"),
     )

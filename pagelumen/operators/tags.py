@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelumen.functions.reuse import once_a_session
 from pagelumen.functions.scalars import redact
 from pagelumen.operators.facts import with_facts
 
@@ -65,10 +66,14 @@ def detect(pages: DataFrame) -> DataFrame:
     One row per page and vendor: by a script's source, else inline script, else noscript markup. The tag's
     id is the first match of its pattern over sources, inline scripts and noscript markup.
     """
-    facts = with_facts(pages)
     noscript = F.array_join(F.regexp_extract_all(F.col("f_markup"), F.lit(r"(?is)<noscript\b[^>]*>(.*?)</noscript\s*>"), F.lit(1)), "\n")
     head = F.regexp_extract(F.col("f_markup"), r"(?is)^(.*?)</head\s*>", 1)
-    facts = facts.select("page_id", "url", "f_scripts", "f_inline", "f_sources", noscript.alias("noscript"), head.alias("head"))
+    facts = with_facts(pages).select("page_id", "url", "f_scripts", "f_inline", "f_sources", noscript.alias("noscript"), head.alias("head"))
+    return facts.select("page_id", "url", F.explode(_by_vendor()).alias("t")).select("page_id", "url", "t.*")
+
+
+@once_a_session
+def _by_vendor() -> Column:
     made = []
     for i, (vendor, short, kind, pattern, sources, inline, nos, load) in enumerate(VENDORS):
         by_source = _loading(sources)
@@ -87,7 +92,7 @@ def detect(pages: DataFrame) -> DataFrame:
                 ),
             )
         )
-    return facts.select("page_id", "url", F.explode(F.filter(F.array(*made), lambda t: t.isNotNull())).alias("t")).select("page_id", "url", "t.*")
+    return F.filter(F.array(*made), lambda t: t.isNotNull())
 
 
 def redacted(found: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Results are flat: scalars only, so that they can be compared with SQL (``oracles
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 from pagelumen.functions import html as H
 from pagelumen.functions import scalars as S
 from pagelumen.functions import urls as U
-from pagelumen.operators import audit, enrich, history, intel, linkgraph, schemaorg, sitemaps, tags
+from pagelumen.operators import audit, domains, enrich, history, intel, linkgraph, schemaorg, sitemaps, tags, workbooks
 from pagelumen.operators.facts import with_facts
+from pagelumen.operators.lineage import shared_folder
 from pagelumen.operators.rules import tracker_flags
-from pagelumen.sources.tables import fetched, table
+from pagelumen.sources import store
+from pagelumen.sources.tables import fetched, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +31,7 @@ def query(f: Query) -> Query:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"), "page_id")
 
 
 @query
@@ -238,7 +241,26 @@ def crawl_report(spark, sf_dir):
 def crawl_order(spark, sf_dir):
     """What a crawl from the first page of each host meets, three pages a host (the crawl's own limit)."""
     pages = _chained(spark, sf_dir)
-    return linkgraph.crawl(pages, linkgraph.link_edges(pages), _first_of_hosts(pages), most_pages=3)
+    return linkgraph.crawl(pages, linkgraph.link_edges(pages), _first_of_hosts(pages), most_pages=3).select("page_id", "url", "depth")
+
+
+def _branched(spark, sf_dir) -> DataFrame:
+    """The pages, numbered within their host by id, each with links to the pages of twice its number plus two and plus one (in this order), and back."""
+    pages = _pages(spark, sf_dir).where(F.col("url").rlike("^https?://[^/?#]"))
+    own = pages.groupBy(U.crawl_normal(F.col("url")).alias("node")).agg(F.min(F.struct("page_id", "url")).alias("p")).select("p.*")
+    site = F.lower(U.netloc(F.col("url"))).alias("site")
+    numbered = own.select("page_id", "url", site, (F.row_number().over(Window.partitionBy(site).orderBy("page_id")) - 1).alias("n"))
+    targets = numbered.select("page_id", "url", "site", "n", F.posexplode(F.array(F.col("n") * 2 + 2, F.col("n") * 2 + 1, F.floor((F.col("n") - 1) / 2))).alias("place", "m"))
+    met = targets.join(numbered.select("site", F.col("n").alias("m"), F.col("url").alias("to")), ["site", "m"], "left")
+    links = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("to").isNotNull(), F.struct("place", "to")))), lambda x: F.concat(F.lit('<a href="'), F.replace(x["to"], F.lit("&"), F.lit("&amp;")), F.lit('">to</a>'))), "")  # three a page
+    return met.groupBy("page_id", "url").agg(links.alias("html"))
+
+
+@query
+def crawl_queue(spark, sf_dir):
+    """The first seven pages of each host in the order of a crawler's queue (the crawl's own limit), on pages with several links."""
+    pages = _branched(spark, sf_dir)
+    return linkgraph.crawl(pages, linkgraph.ordered_links(pages), _first_of_hosts(pages), most_pages=7)
 
 
 def _supply_edges(spark, sf_dir) -> DataFrame:
@@ -566,6 +588,127 @@ def sitemap_summary(spark, sf_dir):
     return sitemaps.inventory_summary(_inventory(spark, sf_dir)).select("total_urls", "status_200", "errors", "missing_title", "missing_description", "missing_h1", "noindex", "indexable")
 
 
+def _map_files(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sitemap files of the sites, written line by line, read again, and their names and roots.
+
+    A root names an index and a list; the index names a gzipped list, a plain one, and the root.
+    """
+    pages = _pages(spark, sf_dir).where(F.col("url").rlike("^https?://[^/?#]"))
+    base = U.base_url(F.col("url"))
+    listed = F.element_at(F.array(F.lit("/maps/0.xml"), F.lit("/maps/1.xml.gz"), F.lit("/maps/2.xml")), (F.col("page_id") % 3 + 1).cast("int"))
+    entry = lambda tag, loc, more="": F.concat(F.lit(f"<{tag}><loc> "), F.replace(loc, F.lit("&"), F.lit("&amp;")), F.lit(f"</loc>{more}</{tag}>"))
+    urls = pages.select(base.alias("base"), listed.alias("place"), "page_id", entry("url", F.col("url"), "<lastmod>2020-01-01</lastmod>").alias("line"))
+    names = [("/sitemap.xml", "/maps/index.xml"), ("/sitemap.xml", "/maps/0.xml"), ("/maps/index.xml", "/maps/1.xml.gz"), ("/maps/index.xml", "/maps/2.xml"), ("/maps/index.xml", "/sitemap.xml")]
+    sites = pages.select(base.alias("base")).distinct()
+    indexes = sites.select("base", F.explode(F.array(*(F.struct(F.lit(a).alias("place"), F.lit(b).alias("to")) for a, b in names))).alias("x")).select("base", "x.place", F.lit(None).cast("long").alias("page_id"), entry("sitemap", F.concat("base", F.col("x.to"))).alias("line"))
+    lines = urls.withColumn("at", F.lit(1)).unionByName(indexes.withColumn("at", F.lit(1)))
+    kind = F.when(F.col("place").isin("/sitemap.xml", "/maps/index.xml"), "sitemapindex").otherwise("urlset")
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("at"), F.concat(F.lit("<"), kind, F.lit('>')).alias("line")), F.struct(F.lit(2).alias("at"), F.concat(F.lit("</"), kind, F.lit(">")).alias("line"))))
+    frames = lines.select("base", "place").distinct().select("base", "place", F.lit(None).cast("long").alias("page_id"), ends.alias("x")).select("base", "place", "page_id", "x.at", "x.line")
+    lines = lines.unionByName(frames).withColumn("sitemap", F.concat("base", "place")).withColumn("id", F.md5("sitemap"))
+    folder = f"{shared_folder(spark)}/sitemaps/{uuid.uuid4().hex}"
+    lines = lines.repartition("id").sortWithinPartitions("id", "at", "page_id")  # a file is one part
+    for zipped in (True, False):
+        chosen = lines.where(F.col("sitemap").endswith(".gz") == zipped).select("id", "line")
+        chosen.write.partitionBy("id").option("compression", "gzip" if zipped else "none").mode("append").text(folder)
+    rows = sitemaps.sitemap_rows(spark, folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file")).withColumn("id", F.regexp_extract("file", "/id=([0-9a-f]{32})/", 1))
+    named = files.join(lines.select("id", "sitemap").distinct(), "id").select("file", "sitemap")
+    return rows, named, sites.select(F.concat("base", F.lit("/sitemap.xml")).alias("url"))
+
+
+@query
+def sitemap_walk(spark, sf_dir):
+    """Entries below each site's root: an index of an index, a cycle, and gzipped files, read row by row."""
+    rows, names, roots = _map_files(spark, sf_dir)
+    return sitemaps.entries_of_files(rows, names, roots).select("root", "sitemap", "url", "lastmod", "norm")
+
+
+def _bans(spark, sf_dir) -> DataFrame:
+    """Rules of the sites: every fifth page bans a beginning of its path on its own site, some with a star."""
+    path = U.path(F.col("url"))
+    rows = _pages(spark, sf_dir).where(F.col("page_id") % 5 == 0)
+    cut = F.substring(path, F.lit(1), (F.col("page_id") % 7 + 3).cast("int"))
+    return rows.select(U.base_url(F.col("url")).alias("base_url"), F.lit("disallow").alias("kind"), F.concat(cut, F.when(F.col("page_id") % 2 == 0, F.lit("*")).otherwise(F.lit(""))).alias("path"))
+
+
+@query
+def robots_bans(spark, sf_dir):
+    """Which pages their site's rules ban, and the longest rule that does."""
+    return sitemaps.banned(_pages(spark, sf_dir).select("page_id", "url"), _bans(spark, sf_dir)).select("page_id", "disallowed", "banned_by")
+
+
+@query
+def sitemap_url_sheet(spark, sf_dir):
+    """The sheet of listed urls, 22 columns."""
+    return workbooks.url_sheet(_inventory(spark, sf_dir))
+
+
+@query
+def sitemap_summary_sheet(spark, sf_dir):
+    """The summary's 15 rows."""
+    return workbooks.summary_sheet(_inventory(spark, sf_dir), "all sites", "2024-01-01T00:00:00+00:00")
+
+
+@query
+def tag_sheet(spark, sf_dir):
+    pages = _marked(spark, sf_dir, MARKED_TAGS)
+    return workbooks.tag_sheet(pages, tags.redacted(tags.detect(pages)))
+
+
+@query
+def tag_advice_sheet(spark, sf_dir):
+    pages = _marked(spark, sf_dir, MARKED_TAGS)
+    return workbooks.advice_sheet(pages, tags.redacted(tags.detect(pages)))
+
+
+@query
+def tag_coverage_sheet(spark, sf_dir):
+    pages = _marked(spark, sf_dir, MARKED_TAGS)
+    return workbooks.coverage_sheet(pages, tags.detect(pages))
+
+
+@query
+def top_issues(spark, sf_dir):
+    return audit.top_issues(audit.issues(_pages(spark, sf_dir)))
+
+
+@query
+def ascii_domains(spark, sf_dir):
+    """Domains in ASCII form; the names are made of the documents' first words, umlauts and all."""
+    word = F.regexp_extract("text", r"(\p{L}{1,30})", 1)
+    typed = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("https://www."), word, F.lit(".example.org/x")).alias("typed"))
+    return domains.ascii_domains(typed, "typed").select("doc_id", "domain")
+
+
+@query
+def stored_overview(spark, sf_dir):
+    """The overview of brands, read from a store: all audits, then a batch that rescores a third of them, written twice."""
+    audits, folder = _audits(spark, sf_dir), f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}"
+    again = audits.where(F.col("audit_id") % 3 == 0).withColumn("overall_score", 100 - F.col("overall_score"))
+    store.upsert(audits, folder, "audit_id", "1")
+    for _ in range(2):
+        store.upsert(again, folder, "audit_id", "2")
+    return history.overview(store.current(spark, folder, "audit_id"))
+
+
+# Structured data of the types with the longest lists of properties.
+MARKED_KINDS = [
+    '<script type="application/ld+json">{"@context":"https://schema.org","@type":"CreativeWork","name":"n","description":"d","abstract":"a","genre":"g","isbn":"1"}</script>',
+    '<script type="application/ld+json">{"@context":"https://schema.org","@type":"JobPosting","title":"t","datePosted":"2024-01-01","salary":1}</script>',
+    '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Book","name":"b","isbn":"1","author":"a","pages":3,"color":"red"}</script>',
+    '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Course","name":"c","description":"d","provider":"p"}</script>',
+    '<script type="application/ld+json">{"@context":"https://schema.org","@type":"SoftwareApplication","name":"s","operatingSystem":"o"}</script>',
+    '<script type="application/ld+json">{"@context":"https://schema.org","@type":"MedicalCondition","name":"m","description":"d","cause":"c","cure":"none"}</script>',
+]
+
+
+@query
+def schema_kinds(spark, sf_dir):
+    found = schemaorg.validate(schemaorg.entities(with_facts(_marked(spark, sf_dir, MARKED_KINDS))))
+    evidence = F.array_join(F.transform("issues", lambda i: F.concat(i["rule_id"], F.lit("="), F.coalesce(i["evidence"], F.lit("")))), ";")
+    return found.select("page_id", "entity_type", "valid", evidence.alias("issues"))
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -595,5 +595,55 @@ UNION ALL SELECT o_orderkey, 'a', 'info', CASE WHEN save > 500 THEN 'medium' ELS
 }
 
 
+_BASE = f"{_SCHEME.format('url')} || '://' || {_NET.format('url')}"
+_AMP = "replace(url, '&', '&amp;')"
+ORACLES["crawl_queue"] = f"""WITH RECURSIVE own AS (SELECT arg_min(url, page_id) AS url, min(page_id) AS page_id FROM pages WHERE regexp_matches(url, '^https?://[^/?#]') GROUP BY {_crawl('url')}),
+numbered AS (SELECT *, lower({_NET.format('url')}) AS site, row_number() OVER (PARTITION BY lower({_NET.format('url')}) ORDER BY page_id) - 1 AS n FROM own),
+walk AS (SELECT site, n, 0 AS depth, []::INT[] AS path, [n] AS met FROM numbered WHERE n = 0
+  UNION ALL SELECT w.site, t.n, depth + 1, list_append(path, k.place), list_append(met, t.n)
+  FROM walk w, (VALUES (0), (1), (2)) k(place), numbered t WHERE t.site = w.site AND t.n = CASE k.place WHEN 0 THEN 2 * w.n + 2 WHEN 1 THEN 2 * w.n + 1 ELSE floor((w.n - 1) / 2)::BIGINT END AND NOT list_contains(met, t.n)),
+once AS (SELECT site, n, min(struct_pack(depth := depth, path := path)) AS w FROM walk GROUP BY site, n)
+SELECT page_id, url, w.depth AS depth, row_number() OVER (PARTITION BY site ORDER BY w) AS number FROM once JOIN numbered USING (site, n) QUALIFY number <= 7"""
+ORACLES["sitemap_walk"] = f"""WITH listed AS (SELECT {_BASE} AS base, url, page_id, ['/maps/0.xml', '/maps/1.xml.gz', '/maps/2.xml'][page_id % 3 + 1] AS place, {_export('url')} AS norm FROM pages WHERE regexp_matches(url, '^https?://[^/?#]'))
+SELECT base || '/sitemap.xml' AS root, base || m.place AS sitemap, m.url AS url, '2020-01-01' AS lastmod, norm
+FROM (SELECT base, norm, min(struct_pack(depth := CASE place WHEN '/maps/0.xml' THEN 1 ELSE 2 END, place := place, page_id := page_id, url := url)) AS m FROM listed GROUP BY base, norm)"""
+ORACLES["robots_bans"] = f"""WITH rules AS (SELECT DISTINCT {_BASE} AS base, left({_PATH.format('url')}, page_id % 7 + 3) AS prefix FROM pages WHERE page_id % 5 = 0)
+SELECT page_id, count(prefix) > 0 AS disallowed, arg_max(prefix, length(prefix)) AS banned_by FROM pages LEFT JOIN rules ON base = {_BASE} AND starts_with({_PATH.format('url')}, prefix) GROUP BY page_id"""
+_LISTED = f"u AS (SELECT {_export('url')} AS norm, arg_min(url, {_AMP}) AS listed, min(page_id) AS page_id FROM pages GROUP BY 1)"
+_SHEET = f"""sheet AS (SELECT listed, coalesce(substring(title, 1, 500), '') AS title, length(title) AS tl, {_visible("coalesce(list_filter(headings, lambda h: regexp_matches(h, '(?i)^<h1'))[1], '')")} AS h1, h1s, doc_words,
+  {_PATH.format('listed')} LIKE '/de/%' OR {_PATH.format('listed')} LIKE '/es/1%' AS banned FROM u JOIN facts f USING (page_id))"""
+ORACLES["sitemap_url_sheet"] = (
+    _with(_LISTED, _SHEET)
+    + """
+SELECT listed AS "URL", 200 AS "Status Code", '' AS "Content-Type", title AS "Page Title", tl AS "Title Length", '' AS "Meta Description", NULL::INT AS "Description Length", h1 AS "H1 Text", '' AS "Canonical URL", 'missing' AS "Canonical Match", '' AS "Robots Meta",
+  CASE WHEN banned THEN 'No' ELSE 'Yes' END AS "Is Indexable", CASE WHEN banned THEN 'Disallowed' ELSE 'Allowed' END AS "Robots.txt Status", '2020-01-01' AS "Lastmod", '' AS "Changefreq", '' AS "Priority", doc_words AS "Word Count", '' AS "OG Title", '' AS "OG Description",
+  'html_parse' AS "Extraction Method", concat_ws(', ', CASE WHEN title = '' THEN 'Missing title' END, 'Missing description', CASE WHEN h1s = 0 THEN 'Missing H1' END, 'Missing canonical') AS "Notes", '' AS "Error" FROM sheet"""
+)
+ORACLES["sitemap_summary_sheet"] = (
+    _with(_LISTED, _SHEET, "n AS (SELECT count(*) AS n, count(*) FILTER (title = '') AS t, count(*) FILTER (h1 = '') AS h, count(*) FILTER (banned) AS b, coalesce(floor(avg(doc_words) FILTER (doc_words > 0)), 0)::BIGINT AS w FROM sheet)")
+    + """
+SELECT unnest(range(15))::INT AS place, unnest(['Domain', 'Export Date', 'Total URLs', 'URLs Fetched Successfully', 'URLs Failed', 'HTTP 200', 'HTTP 301/302', 'HTTP 404', 'HTTP 5xx', 'Missing Title', 'Missing Description', 'Missing H1', 'Missing Canonical', 'Non-Indexable', 'Avg Word Count']) AS "Metric",
+  unnest(['all sites', '2024-01-01T00:00:00+00:00', n::VARCHAR, n::VARCHAR, '0', n::VARCHAR, '0', '0', '0', t::VARCHAR, n::VARCHAR, h::VARCHAR, n::VARCHAR, b::VARCHAR, w::VARCHAR]) AS "Value" FROM n"""
+)
+_KINDS = f"kinds AS (SELECT page_id, page_type FROM marked JOIN {_PATHS} USING (e) QUALIFY row_number() OVER (PARTITION BY site, page_type ORDER BY place, page_id) = 1)"
+_NAMED = "(VALUES ('GTM', 'Google Tag Manager'), ('FBP', 'Meta Pixel'), ('GA4', 'Google Analytics 4')) v(vendor_short, vendor)"
+_SCRIPT = "CASE t WHEN 0 THEN 'https://www.googletagmanager.com/gtm.js?id=GTM*******' WHEN 1 THEN 'https://connect.facebook.net/en_US/fbevents.js' ELSE '' END"
+ORACLES["tag_sheet"] = f"""WITH {_MARKED}, {_KINDS}, g AS (SELECT vendor_short, masked, min(category) AS category, count(DISTINCT page_id) AS n, string_agg(DISTINCT coalesce(page_type, 'other'), ', ' ORDER BY coalesce(page_type, 'other')) AS pages_on, arg_min(method, page_id) AS method, arg_min(t, page_id) AS t, arg_min(blocking, page_id) AS blocking, arg_min(load_impact, page_id) AS load_impact
+  FROM marked JOIN {_MARKED_TAGS} USING (t) LEFT JOIN kinds USING (page_id) GROUP BY vendor_short, masked)
+SELECT vendor AS "Vendor", vendor_short AS "Vendor Short", category AS "Category", masked AS "Tag ID", pages_on AS "Pages Found On", n AS "Page Count", method AS "Load Method", 'body' AS "DOM Location", {_SCRIPT} AS "Script URL", '[REDACTED]' AS "Code Snippet",
+  CASE WHEN blocking THEN 'blocking' WHEN method = 'src' THEN 'async or defer' ELSE 'N/A' END AS "Async/Defer", 'No' AS "Duplicate?", load_impact AS "Impact", CASE WHEN blocking THEN 'Blocks rendering' ELSE '' END AS "Impact Detail", '' AS "Notes" FROM g JOIN {_NAMED} USING (vendor_short)"""
+ORACLES["tag_advice_sheet"] = f"""SELECT site, severity AS "Priority", topic AS "Category", advice AS "Recommendation", detail AS "Affected Tags", gain AS "Expected Impact" FROM ({ORACLES['marked_tag_recommendations']})
+JOIN (VALUES ('tag_manager_missing', 'Tag management', 'Load tags through a tag manager.', 'Tags can be changed without releases'), ('analytics_missing', 'Analytics', 'Measure visits.', 'Decisions on data'), ('blocking_tags', 'Performance', 'Load these tags asynchronously.', 'Pages render sooner'),
+  ('direct_beside_manager', 'Tag management', 'Move these tags into the tag manager.', 'One place for all tags'), ('coverage_gap', 'Coverage', 'Put this tag on all pages.', 'Conversions are attributed')) a(rule_id, topic, advice, gain) USING (rule_id)"""
+ORACLES["tag_coverage_sheet"] = f"""WITH {_MARKED}, {_KINDS} SELECT page_type AS "Page Type", root || ['/collections/', '/', '/products/p', '/cart', '/blogs/news', '/pages/contact', '/collections/all', '/other'][e + 1] AS "URL", 'scanned' AS "Status", 1::BIGINT AS "Tags Found",
+  CASE WHEN t IN (0, 3) THEN 'Yes' ELSE 'No' END AS "GTM", CASE WHEN t = 2 THEN 'Yes' ELSE 'No' END AS "GA4", CASE WHEN t = 1 THEN 'Yes' ELSE 'No' END AS "Meta Pixel", '' AS "Other Tags" FROM marked JOIN kinds USING (page_id)"""
+ORACLES["top_issues"] = _with(_ISSUES) + "\nSELECT page_id, rank, category, rule_id, severity FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY severity, cpos, ipos) AS rank FROM issues WHERE severity IN ('error', 'warning')) WHERE rank <= 8"
+ORACLES["stored_overview"] = f"""WITH {_AUDITS}, scored AS (SELECT brand_id, created_at, audit_id, CASE WHEN audit_id % 3 = 0 THEN 100 - overall_score ELSE overall_score END AS score FROM audits),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY brand_id ORDER BY created_at DESC, audit_id DESC) AS n FROM scored), per AS (SELECT brand_id, count(*) AS audits, max(score) FILTER (n = 1) AS latest_score, max(score) FILTER (n = 2) AS previous_score FROM ranked GROUP BY brand_id)
+SELECT *, latest_score - previous_score AS delta, CASE sign(latest_score - previous_score) WHEN 1 THEN 'up' WHEN -1 THEN 'down' WHEN 0 THEN 'flat' END AS trend FROM per"""
+ORACLES["schema_kinds"] = f"""WITH {_MARKED} SELECT page_id, entity_type, true AS valid, issues FROM marked JOIN (VALUES (0, 'CreativeWork', 'property_unknown=isbn'), (1, 'JobPosting', 'property_unknown=salary;name_missing=;description_missing='),
+  (2, 'Book', 'property_unknown=color, pages;description_missing='), (3, 'Course', ''), (4, 'SoftwareApplication', 'description_missing='), (5, 'MedicalCondition', 'property_unknown=cure')) k(kind, entity_type, issues) ON kind = page_id % 6"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

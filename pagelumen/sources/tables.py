@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(stored: DataFrame, key: str) -> DataFrame:
+    """A stored table over all cores. Only one that is read in fewer tasks than there are cores is dealt out by its key; reading a page costs
+    far more than sending it. A large table has more splits than that, and is left as it is."""
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return stored.repartition(cores, key) if stored.rdd.getNumPartitions() < cores else stored
+
+
 def pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A page snapshot, without what ``fetched`` leaves out."""
     return fetched(spark.read.format(fmt).load(path))
