@@ -55,10 +55,27 @@ def scores(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def _score(facts: DataFrame, name: str) -> Column:
+    """A category's score; 0 where it can't be evaluated, null where its input is not at hand."""
     if name in SIDE and SIDE[name] not in facts.columns:
         return F.lit(None).cast("int")
+    return _guarded_score(name)
+
+
+@once_a_session
+def _guarded_score(name: str) -> Column:
     own = category(name)
-    return own.score() if own.available is None else F.when(own.available, own.score())
+    score = F.coalesce(contained(own.score().cast("string")).try_cast("int"), F.lit(0))
+    return score if own.available is None else F.when(own.available, score)
+
+
+def contained(text: Column) -> Column:
+    """A text, null where its evaluation fails: what a page breaks stays within that page and category.
+
+    The condition holds for every page. It is there because Spark evaluates what several expressions share ahead of them, outside of what
+    contains a failure, unless they stand in a branch.
+    """
+    always = F.coalesce(F.length("url"), F.lit(0)) >= 0
+    return F.decode(F.when(always, F.try_to_binary(text, F.lit("utf-8"))), "utf-8")
 
 
 def overall(wide: DataFrame) -> Column:
@@ -79,17 +96,62 @@ def overall_scores(pages: DataFrame) -> DataFrame:
     return wide.select("page_id", "url", overall(wide).alias("overall_score"))
 
 
-def categories_long(pages: DataFrame) -> DataFrame:
-    """``page_id, url, position, category, status, score, issues`` for every page and category."""
-    facts = parsed(pages)
+#: What a category's evaluation hands on: its score, and of its issues only which rule and what evidence.
+_OUTCOME = "v struct<score: int, issues: array<struct<rule_id: string, evidence: string>>>"
+UNREADABLE = "The category could not be evaluated on this page."
+
+
+@once_a_session
+def _outcomes(names: tuple[str, ...], with_issues: bool) -> Column:
+    """array<struct<position, category, outcome>> of the categories; an outcome is JSON, null where its evaluation failed."""
     made = []
-    for i, name in enumerate(ORDER):
+    for name in names:
         own = category(name)
-        if name in SIDE and SIDE[name] not in facts.columns:
-            continue
-        made.append(F.when(F.lit(True) if own.available is None else own.available, F.struct(F.lit(i).alias("position"), F.lit(name).alias("category"), own.score().alias("score"), own.issues().alias("issues"))))
-    rows = facts.select("page_id", "url", F.explode(F.filter(F.array(*made), lambda c: c.isNotNull())).alias("c"))
-    return rows.select("page_id", "url", "c.*").withColumn("status", F.lit("ok"))
+        value = F.struct(own.score().alias("score"), (own.found() if with_issues else F.array().cast("array<struct<rule_id:string,evidence:string>>")).alias("issues"))
+        value = value if own.available is None else F.when(own.available, value)
+        made.append(F.struct(F.lit(ORDER.index(name)).alias("position"), F.lit(name).alias("category"), contained(F.to_json(F.struct(value.alias("v")))).alias("outcome")))
+    return F.array(*made)
+
+
+@once_a_session
+def _wording() -> Column:
+    """Severity, impact, message and advice by rule; a few hundred fixed entries."""
+    entries = {rule: F.struct(F.lit(severity).alias("severity"), F.lit(impact).cast("string").alias("impact"), F.lit(message).alias("message"), F.lit(advice).cast("string").alias("recommendation")) for rule, (severity, impact, message, advice) in _told().items()}
+    return F.create_map(*(x for rule, words in entries.items() for x in (F.lit(rule), words)))
+
+
+@once_a_session
+def _told() -> dict[str, tuple[str, str | None, str, str | None]]:
+    return {rule.id: (rule.severity, rule.impact, *rule.wording()) for name in ORDER for rule in category(name).rules}
+
+
+def categories_long(pages: DataFrame, with_issues: bool = True) -> DataFrame:
+    """``page_id, url, position, category, score, issues, status, error_message`` for every page and category.
+
+    A category whose evaluation fails on a page has status ``error``, a message, score 0 and no issues there; the page's other categories
+    stand. Until the rows are exploded an issue is a rule's name and its evidence; severity and wording join it afterwards.
+    Without ``with_issues`` only scores are evaluated.
+    """
+    facts = parsed(pages)
+    names = tuple(n for n in ORDER if n not in SIDE or SIDE[n] in facts.columns)
+    rows = facts.select("page_id", "url", F.explode(_outcomes(names, with_issues)).alias("c")).select("page_id", "url", "c.*")
+    rows = rows.where(F.coalesce(F.col("outcome") != "{}", F.lit(True)))  # the input is not at hand
+    rows = rows.withColumn("v", F.from_json("outcome", _OUTCOME)["v"])
+    failed = F.col("outcome").isNull()
+    none = F.array().cast("array<struct<rule_id:string,evidence:string>>")
+    worded = rows.select(
+        "page_id", "url", "position", "category",
+        F.coalesce("v.score", F.lit(0)).alias("score"),
+        F.transform(F.coalesce("v.issues", none), _full_issue).alias("issues"),
+        F.when(failed, "error").otherwise("ok").alias("status"),
+        F.when(failed, UNREADABLE).alias("error_message"),
+    )
+    return worded
+
+
+def _full_issue(found: Column) -> Column:
+    told = F.element_at(_wording(), found["rule_id"])
+    return F.struct(found["rule_id"].alias("rule_id"), told["severity"].alias("severity"), told["impact"].alias("impact"), told["message"].alias("message"), told["recommendation"].alias("recommendation"), found["evidence"].alias("evidence"))
 
 
 def metrics(pages: DataFrame, name: str) -> DataFrame:
@@ -100,8 +162,9 @@ def metrics(pages: DataFrame, name: str) -> DataFrame:
 
 def issues(pages: DataFrame) -> DataFrame:
     """Every issue: ``page_id, url, category_pos, category, issue_pos, rule_id, severity, impact, ...``."""
-    rows = categories_long(pages).select("page_id", "url", F.col("position").alias("category_pos"), "category", "score", F.posexplode("issues").alias("issue_pos", "i"))
-    return rows.select("page_id", "url", "category_pos", "category", "score", "issue_pos", "i.*")
+    # Outer: else the issues would be looked up once more, to see whether there are any.
+    rows = categories_long(pages).select("page_id", "url", F.col("position").alias("category_pos"), "category", "score", F.posexplode_outer("issues").alias("issue_pos", "i"))
+    return rows.where(F.col("i").isNotNull()).select("page_id", "url", "category_pos", "category", "score", "issue_pos", "i.*")
 
 
 def _rank(column: Column, ranks: dict[str, int], default: int) -> Column:

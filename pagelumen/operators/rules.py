@@ -51,6 +51,10 @@ class Rule:
     penalty: Column | int = 0
     evidence: Column | None = None
 
+    def wording(self) -> tuple[str, str | None]:
+        """What the rule says, and what to do about it."""
+        return WORDING.get(self.id, (self.id.replace("_", " ").capitalize() + ".", None))
+
 
 @dataclass(frozen=True)
 class Category:
@@ -72,26 +76,15 @@ class Category:
     def score(self) -> Column:
         return self._score
 
-    def issues(self) -> Column:
-        return self._issues
-
     @functools.cached_property
-    def _issues(self) -> Column:
-        """array<struct<rule_id, severity, impact, message, recommendation, evidence>> in rule order."""
-        made = []
-        for rule in self.rules:
-            message, advice = WORDING.get(rule.id, (rule.id.replace("_", " ").capitalize() + ".", None))
-            issue = F.struct(
-                F.lit(rule.id).alias("rule_id"),
-                F.lit(rule.severity).alias("severity"),
-                F.lit(rule.impact).cast("string").alias("impact"),
-                F.lit(message).alias("message"),
-                F.lit(advice).cast("string").alias("recommendation"),
-                (F.lit(None) if rule.evidence is None else rule.evidence).cast("string").alias("evidence"),
-            )
-            made.append(F.when(rule.when, issue))
+    def _found(self) -> Column:
+        made = [F.when(rule.when, F.struct(F.lit(rule.id).alias("rule_id"), (F.lit(None) if rule.evidence is None else rule.evidence).cast("string").alias("evidence"))) for rule in self.rules]
         return F.filter(F.array(*made), lambda i: i.isNotNull())
 
+    def found(self) -> Column:
+        """array<struct<rule_id, evidence>> of the issues, in rule order."""
+        return self._found
+
 
 def _capped(most: int, each: int, n: Column) -> Column:
     return F.least(F.lit(most), n * each)

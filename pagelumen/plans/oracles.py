@@ -644,6 +644,18 @@ SELECT *, latest_score - previous_score AS delta, CASE sign(latest_score - previ
 ORACLES["schema_kinds"] = f"""WITH {_MARKED} SELECT page_id, entity_type, true AS valid, issues FROM marked JOIN (VALUES (0, 'CreativeWork', 'property_unknown=isbn'), (1, 'JobPosting', 'property_unknown=salary;name_missing=;description_missing='),
   (2, 'Book', 'property_unknown=color, pages;description_missing='), (3, 'Course', ''), (4, 'SoftwareApplication', 'description_missing='), (5, 'MedicalCondition', 'property_unknown=cure')) k(kind, entity_type, issues) ON kind = page_id % 6"""
 
+_TIMED = "timed AS (SELECT *, page_id % 4 = 0 AS broken, (page_id % 4000)::INT AS ms FROM facts)"
+_SLOW = "CASE WHEN ms > 3000 THEN 25 WHEN ms > 1500 THEN 15 WHEN ms > 800 THEN 5 ELSE 0 END"
+_WAIT = "CASE WHEN ms >= 3000 THEN 15 WHEN ms >= 1000 THEN 5 ELSE 0 END"
+_FAILED = "'The category could not be evaluated on this page.'"
+ORACLES["contained_failures"] = (
+    _with(_TIMED)
+    + f"""
+SELECT page_id, 'performance' AS category, CASE WHEN broken THEN 0 ELSE greatest(0, {_score('performance')} - ({_SLOW})) END::INT AS score, CASE WHEN broken THEN 'error' ELSE 'ok' END AS status, CASE WHEN broken THEN {_FAILED} END AS error_message FROM timed
+UNION ALL SELECT page_id, 'ads_quality', CASE WHEN broken THEN 0 ELSE greatest(0, {_score('ads_quality')} - ({_WAIT})) END::INT, CASE WHEN broken THEN 'error' ELSE 'ok' END, CASE WHEN broken THEN {_FAILED} END FROM timed
+UNION ALL SELECT page_id, 'links', {_score('links')}::INT, 'ok', NULL FROM timed"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
