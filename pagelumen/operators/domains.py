@@ -29,9 +29,10 @@ def ascii_domains(df: DataFrame, text: str, name: str = "domain") -> DataFrame:
     Only hosts with other characters go through Python, each once; a host that can't be encoded stays as typed, in lower case.
     Null if nothing is left of the text.
     """
-    keyed = df.withColumn("_host", U.domain(F.col(f"`{text}`")))
-    odd = keyed.select(F.col("_host").alias("host")).where(F.col("_host").rlike(r"[^\x00-\x7f]")).distinct()
-    known = odd.mapInArrow(_encoded, "host string, ascii string")
-    met = keyed.join(known, keyed["_host"] == known["host"], "left")
-    plain = F.regexp_replace(F.coalesce("ascii", "_host"), r"^www\.", "")
-    return met.withColumn("_domain", plain).drop("_host", "host", "ascii", name).withColumnRenamed("_domain", name)
+    kept = [c for c in df.columns if c.lower() != name.lower()]
+    # Columns go by place meanwhile: their names can clash with nothing.
+    keyed = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), U.domain(F.col(f"`{text}`")).alias("typed"))
+    odd = keyed.select(F.col("typed").alias("host")).where(F.col("host").rlike(r"[^\x00-\x7f]")).distinct()
+    met = keyed.join(odd.mapInArrow(_encoded, "host string, ascii string"), F.col("typed") == F.col("host"), "left")
+    plain = F.regexp_replace(F.coalesce("ascii", "typed"), r"^www\.", "")
+    return met.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), plain.alias(name))
