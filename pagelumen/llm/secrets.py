@@ -3,11 +3,12 @@ r"""Secret scanning: fixed patterns, and formats learned by grammar inference.
 The base patterns find assignments, access keys and long hexadecimal runs. Their finds in all documents,
 a bounded number of values drawn by hash, are labelled credentials: for each kind a prefix tree over character classes
 is built, and states whose outgoing counts are statistically compatible (Hoeffding bound on every
-symbol, all the way down) are merged, red states with blue ones, into a probabilistic automaton. A
+symbol, all the way down) are merged, position by position and then across positions, into a probabilistic automaton. A
 background automaton is inferred in the same way from the sample's ordinary tokens. Then every other token
 of every document, and what base finds leave of one, is a candidate, of any length and any characters of
 the class (lengths at which no string at all could pass are skipped): it is a find of kind ``learned`` if the best credential automaton
-gives it a likelihood that beats the background's by a margin set from a stated rate of false finds. The
+gives it a likelihood that beats the background's by a margin set from a stated rate of false finds, and that is one the
+format's own strings have. The
 unlabelled tokens may hold credentials the patterns miss, so the margin doesn't depend on them, and those
 that look like credentials beside a background of one state are left out of the background.
 
@@ -19,25 +20,28 @@ built; an empty table gives an empty result; input columns with an output's name
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelumen.llm.common import annotate, bound_batches, give_back
+from pagelumen.llm.common import annotate, bound_batches, give_back, scratch
 
 #: Bounds of the training sample: documents for ordinary tokens, labelled credentials per kind, ordinary tokens.
-SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_ORDINARY = 8192, 400, 4000
+SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_ORDINARY = 8192, 1000, 4000
 #: Characters of a value that are learned from; longer ones count as of this length. Scoring reads all.
 SAMPLE_CHARS = 128
 LEAST = 8
-#: Confidence parameter of the compatibility test.
-ALPHA = 0.01
+#: Confidence parameter of the compatibility test: the larger, the more states stay apart.
+ALPHA = 0.05
+#: Share of a format's own strings that may be left out as odd, and how far below the rest a find's mean log-likelihood may lie.
+ODD, FIT_SLACK = 0.02, 0.1
 #: Share of background tokens that may pass as finds: an odds ratio above 1/r has at most probability r.
 FALSE_RATE = 1e-6
 
@@ -111,7 +115,12 @@ _END = ord("$")
 
 
 class Automaton:
-    """A probabilistic automaton inferred from strings by merging compatible prefix-tree states."""
+    """A probabilistic automaton inferred from strings by merging compatible prefix-tree states.
+
+    States that equally long beginnings lead to are merged first, level by level: what the strings do at each position is then
+    known from many of them. Only then are states of different positions compared. Those of a fixed length or layout differ where the
+    end or a mark comes, now or later, and stay apart; those that repeat become loops. Ends are transitions like others.
+    """
 
     def __init__(self, strings: list[str]):
         self.next: list[dict[int, int]] = [{}]
@@ -126,18 +135,30 @@ class Automaton:
                     self.count.append(defaultdict(int))
                 state = self.next[state][symbol]
             self.count[state][_END] += 1
+        self._into = list(range(len(self.next)))
+        self._merge_levels()
         self._merge_states()
-        self._lengths, self._total = Counter(map(len, strings)), len(strings)
         self.logs: list[dict[int, float]] = []
         for counts in self.count:
-            total = sum(n for s, n in counts.items() if s != _END) + 0.5 * len(_ALPHABET)
-            self.logs.append({s: math.log((counts.get(s, 0) + 0.5) / total / _WIDTH.get(s, 1)) for s in _ALPHABET})
+            total = sum(counts.values()) + 0.5 * (len(_ALPHABET) + 1)
+            self.logs.append({s: math.log((counts.get(s, 0) + 0.5) / total / _WIDTH.get(s, 1)) for s in (*_ALPHABET, _END)})
+        self.floor = self._floor(strings)
+
+    def _find(self, state: int) -> int:
+        """The state that a merged one has become."""
+        while self._into[state] != state:
+            self._into[state] = self._into[self._into[state]]
+            state = self._into[state]
+        return state
 
     def _alike(self, a: int, b: int) -> bool:
         """Whether two states' behaviour could be the same: Hoeffding's bound at every pair of states below."""
-        todo = [(a, b)]
+        todo, met = [(a, b)], set()
         while todo:
-            a, b = todo.pop()
+            a, b = map(self._find, todo.pop())
+            if a == b or (a, b) in met:
+                continue
+            met.add((a, b))
             x, y = self.count[a], self.count[b]
             n, m = sum(x.values()), sum(y.values())
             if not n or not m:
@@ -148,57 +169,74 @@ class Automaton:
             todo += [(t, self.next[b][s]) for s, t in self.next[a].items() if s in self.next[b]]
         return True
 
-    def _fold(self, into: int, tree: int) -> None:
-        """Adds a prefix-tree branch to a state, and what follows to what follows."""
-        todo = [(into, tree)]
+    def _merge(self, a: int, b: int) -> None:
+        """Makes two states one, and what follows on either with what follows by the same symbol on the other."""
+        todo = [(a, b)]
         while todo:
-            into, tree = todo.pop()
-            for s, n in self.count[tree].items():
-                self.count[into][s] += n
-            for s, t in self.next[tree].items():
-                if s in self.next[into]:
-                    todo.append((self.next[into][s], t))
+            a, b = map(self._find, todo.pop())
+            if a == b:
+                continue
+            self._into[b] = a
+            for s, n in self.count[b].items():
+                self.count[a][s] += n
+            for s, t in self.next[b].items():
+                if s in self.next[a]:
+                    todo.append((self.next[a][s], t))
                 else:
-                    self.next[into][s] = t
-
-    def _merge_states(self) -> None:
-        red, at = [0], 0
-        is_red = {0}
-        while at < len(red):
-            state = red[at]
-            for symbol in sorted(self.next[state]):
-                blue = self.next[state][symbol]
-                if blue in is_red:
+                    self.next[a][s] = t
+
+    def _after(self, states: list[int]) -> list[int]:
+        """The successors of states, each once, in order of their symbols."""
+        return list(dict.fromkeys(self._find(self.next[r][s]) for r in states for s in sorted(self.next[r])))
+
+    def _merge_levels(self) -> None:
+        level = [0]
+        while level:
+            own: list[int] = []
+            for state in sorted(self._after(level), key=lambda k: (-sum(self.count[k].values()), k)):
+                state = self._find(state)
+                if state in own:
                     continue
-                twin = next((r for r in red if self._alike(r, blue)), None)
+                twin = next((r for r in own if self._alike(r, state)), None)
                 if twin is None:
-                    red.append(blue)
-                    is_red.add(blue)
+                    own.append(state)
                 else:
-                    self.next[state][symbol] = twin
-                    self._fold(twin, blue)
-            # Folding may have given an earlier red state a new successor.
-            behind = next((i for i, r in enumerate(red[: at + 1]) if any(t not in is_red for t in self.next[r].values())), None)
-            at = at + 1 if behind is None else behind
+                    self._merge(twin, state)
+            level = list(dict.fromkeys(map(self._find, own)))
+
+    def _merge_states(self) -> None:
+        red = [0]
+        while blue := [t for t in self._after(red) if t not in red]:
+            twin = next((r for r in red if self._alike(r, blue[0])), None)
+            if twin is None:
+                red.append(blue[0])
+            else:
+                self._merge(twin, blue[0])
+                red = list(dict.fromkeys(map(self._find, red)))
         number = {s: i for i, s in enumerate(red)}
-        self.next = [{s: number[t] for s, t in self.next[r].items()} for r in red]
+        self.next = [{s: number[self._find(t)] for s, t in self.next[r].items()} for r in red]
         self.count = [self.count[r] for r in red]
 
-    def length(self, n: int) -> float:
-        """Log-probability of the length: its share of the strings, smoothed by 1 / n(n + 1)."""
-        return math.log((self._lengths[n] + 1 / (n * (n + 1))) / (self._total + 1))
+    def _floor(self, strings: list[str]) -> float:
+        """The mean log-likelihood a symbol that a string of the format has, but for ``ODD`` of them."""
+        means = sorted(self.mean(_symbols(s)) for s in strings)
+        return means[int(ODD * len(means))] - FIT_SLACK if means else math.inf
+
+    def mean(self, symbols: bytes) -> float:
+        """Log-likelihood a symbol, the end included."""
+        return self.score_symbols(symbols) / (len(symbols) + 1)
 
     def score(self, token: str) -> float:
         """Log-likelihood of the token."""
         return self.score_symbols(_symbols(token))
 
     def score_symbols(self, symbols: bytes) -> float:
-        """Log-likelihood of the length and, given it, of the symbols. An unseen symbol stays put."""
-        state, total = 0, self.length(len(symbols))
+        """Log-likelihood of the symbols and the end after them. An unseen symbol stays put."""
+        state, total = 0, 0.0
         for symbol in symbols:
             total += self.logs[state][symbol]
             state = self.next[state].get(symbol, state)
-        return total
+        return total + self.logs[state][_END]
 
 
 class OneState(Automaton):
@@ -211,6 +249,9 @@ class OneState(Automaton):
 class Formats:
     """Credential automata against a background; ``margin`` is the log-odds a find must pass.
 
+    Odds alone would take whatever the background doesn't know. So a find must also fit the format: its mean log-likelihood a symbol
+    must be one that the format's own strings have.
+
     The background is learned twice. First with one state, which tells the unlabelled tokens that look like
     credentials; then from the others. Tokens without a letter (numbers, dates) always stay in.
     """
@@ -224,13 +265,14 @@ class Formats:
         self._known: dict[bytes, int] = {}
 
     def odds(self, token: str) -> float | None:
-        """Log-odds of a token, without a name in front; None where there is nothing to score."""
+        """Log-odds of a token, without a name in front; minus infinity if it fits no format, None where there is nothing to score."""
         return self._odds(_NAME.sub(b"", _symbols(token)))
 
     def _odds(self, symbols: bytes) -> float | None:
         if not symbols or not self.kinds:
             return None
-        return max(a.score_symbols(symbols) for a in self.kinds.values()) - self.background.score_symbols(symbols)
+        fitting = [total for a in self.kinds.values() if (total := a.score_symbols(symbols)) >= a.floor * (len(symbols) + 1)]
+        return max(fitting) - self.background.score_symbols(symbols) if fitting else -math.inf
 
     def _least(self, most: int = 12) -> int:
         """The least length at which some string passes, or ``most``: the highest odds over all strings of
@@ -247,7 +289,7 @@ class Formats:
                         if now > after.get(to, -math.inf):
                             after[to] = now
                 best = after
-                if max(best.values()) + a.length(n) - back.length(n) > self.margin - 1e-6:
+                if max(odds + a.logs[x][_END] - back.logs[y][_END] for (x, y), odds in best.items()) > self.margin - 1e-6:
                     least = n
                     break
         return least
@@ -306,12 +348,19 @@ def learn(df: DataFrame, text: str = "text", key: str = "doc_id") -> Formats:
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(values), pa.string()), *(pa.array([v[i] for v in values], pa.string()) for i in (0, 1))], ["kind", "value", "o"])
         give_back()
 
-    rows = texts.mapInArrow(gather, "kind string, value string, o string").distinct()
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("o"))
-    bound = F.when(F.col("kind") == "ordinary", SAMPLE_ORDINARY).otherwise(SAMPLE_EACH)
-    sample: dict[str, list[str]] = {k: [] for k in most}
-    for r in rows.withColumn("rank", rank).where(F.col("rank") <= bound).orderBy("kind", "rank").collect():
-        sample[r.kind].append(r.value)
+    with scratch() as keep:
+        rows = keep(texts.mapInArrow(gather, "kind string, value string, o string").distinct())
+        # How many values begin with which digits tells up to where the least hashes reach: no ranking, no kind in one task.
+        digits = F.substring("o", 1, 4)
+        cells: dict[str, dict[str, int]] = {k: {} for k in most}
+        for r in rows.groupBy("kind", digits.alias("d")).count().collect():  # 65,536 a kind at most
+            cells[r.kind][r.d] = r["count"]
+        last = F.lit("")
+        for kind, cell in cells.items():
+            sums = itertools.accumulate(cell[d] for d in sorted(cell))
+            last = F.when(F.col("kind") == kind, next((d for d, n in zip(sorted(cell), sums, strict=True) if n >= most[kind]), "g")).otherwise(last)
+        found = sorted((r.o, r.kind, r.value) for r in rows.where(digits <= last).collect())
+    sample = {k: [value for _, kind, value in found if kind == k][: most[k]] for k in most}
     return Formats({k: sample[k] for k in KINDS}, sample["ordinary"])
 
 

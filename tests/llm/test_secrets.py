@@ -122,3 +122,48 @@ def test_parts_lengths_and_letters_are_scored():
         # The least length leaves nothing out.
         short = ["".join(rng.choice(letters + "hl./-") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
         assert all(len(t) >= formats.least for t in short if formats.odds(t) > formats.margin)
+
+
+def test_grammars_have_states_and_keep_ordinary_formats_out():
+    import random
+    import uuid
+
+    rng = random.Random(12)
+    drawn = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    formats = {
+        "assign": lambda: "ghp_" + drawn(upper + upper.lower() + digits, 36),
+        "access": lambda: "AKIA" + drawn(upper + "234567", 16),
+        "hex": lambda: drawn("0123456789abcdef", 20),
+    }
+    parts = ["the", "and", "er", "on", "ti", "ing", "re", "th", "of", "en"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))
+    learned = secrets.Formats({k: [f() for _ in range(300)] for k, f in formats.items()}, [word() for _ in range(2000)])
+    assert all(4 < len(a.next) < 80 for a in learned.kinds.values())
+    found = lambda f, n=300: sum(bool(learned.spans(f"a note {f()} follows", [])) for _ in range(n)) / n
+    for kind, f in formats.items():
+        assert found(f) > 0.9, kind
+    assert found(lambda: "ASIA" + drawn(upper + "234567", 16)) > 0.9  # another beginning of the same classes
+    ordinary = {
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))),
+        "date": lambda: f"{rng.randrange(1990, 2030)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}",
+        "version": lambda: ".".join(str(rng.randrange(30)) for _ in range(3)),
+        "word": word,
+        "short hex": lambda: drawn("0123456789abcdef", 12),
+        "number": lambda: str(rng.randrange(10**12)),
+    }
+    for kind, f in ordinary.items():
+        assert found(f) < 0.01, kind
+
+
+def test_least_hashes_are_drawn_without_ranking(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(secrets, "SAMPLE_EACH", 12)
+    held = []
+    monkeypatch.setattr(secrets, "Formats", lambda credentials, ordinary: held.append((credentials, ordinary)))
+    made = keys(60, seed=4)
+    secrets.learn(docs(spark, [f"password={k}" for k in made] * 2 + ["plain words of a note"]))
+    digest = lambda v: hashlib.md5(v.encode()).hexdigest()
+    assert held[0][0]["assign"] == sorted(made, key=digest)[:12] and held[0][0]["access"] == []
+    assert held[0][1] == sorted(held[0][1], key=digest)
