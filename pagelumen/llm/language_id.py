@@ -6,9 +6,10 @@ over the bits, the logistic loss of each codeword's sign against the classifier'
 bit's accuracy in training, and chooses the codeword of least loss. A close second flags ambiguity.
 
 Training uses a sample of labelled rows: about ``SAMPLE_EACH`` rows of least hash of key and text for every
-language, and one at least; copies of one row count once.
-The driver holds the sample and a table of languages by buckets, so more than ``MOST_LANGUAGES`` labels are
-an error; none is ever left out. Prediction reads the whole of every text.
+language, and one at least; copies of one row count once. Of each the first ``SAMPLE_CHARS`` characters teach, or fewer where there are so many
+languages that all together would pass ``SAMPLE_ALL``; that bounds what the driver holds, besides a table of buckets by bits.
+Every label is learned. ``MOST_LANGUAGES``, several times the number of written languages, bounds the codewords; more different labels are
+no languages, and an error. Prediction reads the whole of every text.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; rows with a null language teach
 nothing; with no labelled row at all every text is ``und``; repeated rows and ties in hash are harmless
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 
 from pagelumen.llm.common import WORD_BYTES, annotate, grouped_by_size
 
-SAMPLE_EACH, MOST_LANGUAGES = 300, 1024
+SAMPLE_EACH, MOST_LANGUAGES = 300, 32_768
+SAMPLE_CHARS, SAMPLE_ALL = 10_000, 1 << 26
 BUCKETS, PART = 1 << 15, 1 << 16
 UND = "und"
 #: Posterior of the best language below which a text is ambiguous.
@@ -46,16 +48,26 @@ def codewords(n: int) -> np.ndarray:
         return np.array(splits, np.int8).T
     rng, bits = np.random.default_rng(7), int(np.ceil(8 * np.log2(n)))
     best, best_gap = None, -1
-    for _ in range(40):
+    for _ in range(max(1, 40 * 1024 // max(n, 1024))):
         table = rng.choice(np.array([-1, 1], np.int8), (n, bits))
         table[:, np.abs(table.sum(0)) == n] *= np.where(np.arange(n) == 0, -1, 1)[:, None].astype(np.int8)
-        signs = table.astype(np.float32)
-        apart = (bits - signs @ signs.T) / 2 + bits * np.eye(n)
-        if apart.min() > best_gap:
-            best, best_gap = table, apart.min()
+        gap = _least_distance(table)
+        if gap > best_gap:
+            best, best_gap = table, gap
     return best
 
 
+def _least_distance(table: np.ndarray) -> float:
+    """In how many bits the two nearest codewords differ; block by block, as all pairs of many words would not fit."""
+    signs, (n, bits) = table.astype(np.float32), table.shape
+    least = float(bits)
+    for at in range(0, n, 1024):
+        apart = (bits - signs[at : at + 1024] @ signs.T) / 2
+        apart[np.arange(len(apart)), at + np.arange(len(apart))] = bits
+        least = min(least, float(apart.min()))
+    return least
+
+
 def _ngrams(data: np.ndarray) -> np.ndarray:
     """Hashes of the 3-byte and (in the other half of the buckets) 4-byte strings at each position."""
     x = data.astype(np.uint32)
@@ -82,17 +94,25 @@ class Codes:
         self.languages = sorted({lang for lang, _ in rows})
         self.words = codewords(len(self.languages))
         number = {lang: i for i, lang in enumerate(self.languages)}
-        counts = np.zeros((len(self.languages), BUCKETS))
         texts = [(number[lang], np.frombuffer(_prepared(text), np.uint8)) for lang, text in rows if text]
+        by_language: list[list[np.ndarray]] = [[] for _ in self.languages]
         for i, data in texts:
-            for part in _parts(data):
-                counts[i] += np.bincount(part, minlength=BUCKETS)
-        rates = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+            by_language[i].append(data)
         bits = self.words.shape[1]
-        self.weights = np.zeros((BUCKETS, bits), np.float32)
-        for j in range(bits):
-            plus, minus = (rates[self.words[:, j] == s].mean(0) + 1e-6 for s in (1, -1))
-            self.weights[:, j] = np.log(plus / minus)
+        # A language's rates are added to either side of each bit and let go: a table of buckets by bits, whatever the number of languages.
+        plus, minus = np.zeros((BUCKETS, bits)), np.zeros((BUCKETS, bits))
+        for i, own in enumerate(by_language):
+            counts = np.zeros(BUCKETS)
+            for data in own:
+                for part in _parts(data):
+                    counts += np.bincount(part, minlength=BUCKETS)
+            seen = np.flatnonzero(counts)
+            rates = counts[seen] / max(counts.sum(), 1)
+            for side, sign in ((plus, 1), (minus, -1)):
+                side[np.ix_(seen, np.flatnonzero(self.words[i] == sign))] += rates[:, None]
+        plus /= np.maximum((self.words == 1).sum(0), 1)
+        minus /= np.maximum((self.words == -1).sum(0), 1)
+        self.weights = np.log((plus + 1e-6) / (minus + 1e-6)).astype(np.float32)
         self.middle, self.spread, self.trust = np.zeros(bits), np.ones(bits), np.ones(bits)
         if bits and texts:
             margins = np.array([self._margins(d) for _, d in texts])
@@ -111,9 +131,8 @@ class Codes:
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Loss-weighted decoding: number of the best language, and its posterior."""
         z = 3.0 * (margins - self.middle) / self.spread
-        loss = np.zeros((len(z), len(self.languages)))
-        for i, word in enumerate(self.words):
-            loss[:, i] = (np.logaddexp(0, -word * z) * self.trust).sum(1)
+        # The loss of a bit is one of two values, whichever sign the codeword has there.
+        loss = (np.logaddexp(0, -z) * self.trust) @ (self.words == 1).T + (np.logaddexp(0, z) * self.trust) @ (self.words == -1).T
         posterior = np.exp(loss.min(1, keepdims=True) - loss)
         posterior /= posterior.sum(1, keepdims=True)
         best = loss.argmin(1)
@@ -147,10 +166,13 @@ def learn(df: DataFrame, usable: Column | None = None, text: str = "text", lang:
     # Hashes are uniform, so a share of their range holds about that share of a language's rows: no ranking.
     edges = {r[0]: -(1 << 63) + min((1 << 64) * SAMPLE_EACH // r.n, (1 << 64) - 1) for r in counts}
     edges = {r[0]: max(edges[r[0]], r["first"]) for r in counts}  # at least one row of each
-    last = F.element_at(F.create_map(*(F.lit(x) for name, edge in sorted(edges.items()) for x in (name, edge))), F.col(lang))
-    # Copies of one row have one hash; a row of each is enough, and keeps the sample bounded.
-    rows = known.where(h <= last).groupBy(lang, h.alias("h")).agg(F.first(text).alias("text")).limit(2 * SAMPLE_EACH * len(edges)).collect()
-    return Codes([(r[0], r["text"]) for r in rows])
+    chars = max(1, min(SAMPLE_CHARS, SAMPLE_ALL // (SAMPLE_EACH * len(edges))))
+    last = df.sparkSession.createDataFrame(sorted(edges.items()), T.StructType([T.StructField("_lang", df.schema[lang].dataType), T.StructField("_last", T.LongType())]))
+    near = known.select(F.col(lang).alias("_own"), F.substring(F.col(text).cast("string"), 1, chars).alias("_text"), h.alias("_h")).join(F.broadcast(last), F.col("_own") == F.col("_lang")).where(F.col("_h") <= F.col("_last"))
+    # Copies of one row have one hash; a row of each is enough, and keeps the sample bounded. Twice what is to be expected is a bound that
+    # isn't met by chance; beyond it the rows of least hash would count.
+    rows = near.groupBy("_own", "_h").agg(F.min("_text").alias("_text")).orderBy("_h", "_own").limit(2 * SAMPLE_EACH * len(edges)).collect()
+    return Codes([(r[0], r["_text"]) for r in rows])
 
 
 _FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])

@@ -70,3 +70,48 @@ def test_long_texts_in_parts(monkeypatch):
     parts = codes.predict([rows[0][1] * 40])
     assert whole[0] == parts[0] and abs(whole[1][0] - parts[1][0]) < 1e-9
     assert abs(language_id.Codes(rows).weights - codes.weights).max() < 1e-6
+
+
+def test_decoding_against_a_plain_loop(spark):
+    import math
+
+    frame = table(spark, "/root/testdata/sf0.001", "documents")
+    codes = language_id.learn(frame)
+    texts = [t for (t,) in frame.select("text").collect() if t][:40] + ["a", "é", "x" * 70_000, "Ünd ß 12"]
+    langs, scores = codes.predict(texts)
+    size = language_id.BUCKETS
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        data = b" " + text.encode().translate(language_id.WORD_BYTES) + b"   "
+        sums, n = [0.0] * codes.words.shape[1], len(data) - 3
+        for at in range(n):
+            three = data[at] | data[at + 1] << 8 | data[at + 2] << 16
+            four = three | data[at + 3] << 24
+            shift = 33 - int(math.log2(size))
+            for bucket in ((three * 2654435761 % 2**32) >> shift, ((four * 2246822519 % 2**32) >> shift) + size // 2):
+                sums = [s + float(w) for s, w in zip(sums, codes.weights[bucket], strict=True)]
+        losses = []
+        for word in codes.words:
+            loss = 0.0
+            for j, sign in enumerate(word):
+                z = 3 * (sums[j] / (2 * n) - codes.middle[j]) / codes.spread[j]
+                loss += codes.trust[j] * math.log1p(math.exp(-float(sign) * z))
+            losses.append(loss)
+        best = min(range(len(losses)), key=lambda i: losses[i])
+        assert lang == codes.languages[best]
+        assert abs(score - 1 / sum(math.exp(losses[best] - x) for x in losses)) < 1e-6
+
+
+def test_two_thousand_labels_and_long_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    sounds = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(4000)]
+    own = {f"l{i:04}": rng.sample(sounds, 12) for i in range(2000)}
+    rows = [(f"{lang}-{k}", " ".join(rng.choices(words, k=25)), lang) for lang, words in own.items() for k in range(2)]
+    codes = language_id.learn(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+    assert codes.languages == sorted(own)
+    asked = rng.sample(sorted(own), 60)
+    assert sum(p == lang for p, lang in zip(codes.predict([" ".join(rng.choices(own[lang], k=40)) for lang in asked])[0], asked, strict=True)) >= 54
+    held = []
+    monkeypatch.setattr(language_id, "Codes", held.append)
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 50)
+    language_id.learn(spark.createDataFrame([(i, f"{i} " + "word " * 100_000, "en") for i in range(5)], "doc_id long, text string, lang string"))
+    assert sorted(len(t) for _, t in held[0]) == [50] * 5
