@@ -28,16 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelumen.llm.common import WORD_BYTES, annotate, free_name, grouped_by_size, packed_row, unpacked
+from pagelumen.llm.common import WORD_BYTES, annotate, free_name, grouped_by_size, packed_row, stored, unpacked
 
 WINDOW = 10
 #: Every so many words a suffix position is kept.
 SAMPLED = 8
 #: Words of a piece of the indexed text, and bytes of text in a shard.
 PIECE, SHARD_BYTES = 96, 8 << 20
-#: Bytes of benchmark text that one pass holds, about a hundred times as many in memory; larger benchmarks
-#: take several passes.
-PASS_BYTES = 2 << 20
+#: Bytes of benchmark text that one pass holds, some fifteen times as many in memory. Larger benchmarks take several passes, one after
+#: another: what a pass has found is written before the next one begins, so a task never holds the windows of two.
+PASS_BYTES = 16 << 20
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -45,28 +45,41 @@ def words_of(data: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of some benchmark items, as word numbers."""
+    """The distinct windows of some benchmark items, as sorted arrays of word numbers, and which items have each.
+
+    Arrays throughout: besides the vocabulary a window takes its words' numbers (four bytes each) and eight bytes an owner.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]]):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            words = words_of((text or "").encode())
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            for i in range(max(len(ids) - WINDOW + 1, 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + WINDOW]), set()).update(() if item is None else (item,))
-        order = sorted(owners, key=lambda w: (len(w), w))
-        self.owners = [sorted(owners[w]) for w in order]
+        number = self.vocabulary.setdefault
+        texts = [np.array([number(w, len(self.vocabulary) + 1) for w in words_of((text or "").encode())], np.int32) for _, text in items]
+        self.names = sorted({item for item, _ in items if item is not None})
+        place = {name: i for i, name in enumerate(self.names)}
+        owner = [place.get(item, -1) for item, _ in items]
         self.by_length: list[tuple[int, np.ndarray]] = []  # first window's number, windows of one length
-        at = 0
-        for length in sorted({len(w) for w in order}):
-            same = np.array([w for w in order if len(w) == length], np.int64)
-            self.by_length.append((at, same))
-            at += len(same)
-        self.shortest = min((len(w) for w in order), default=0)
+        pairs, owned, self.count = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], 0
         base = len(self.vocabulary) + 1
-        pairs = [same[:, i] * base + same[:, i + 1] for _, same in self.by_length for i in range(same.shape[1] - 1)]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        for length in sorted({min(len(t), WINDOW) for t in texts} - {0}):
+            whole = [i for i, t in enumerate(texts) if min(len(t), WINDOW) == length]
+            every = np.concatenate([np.lib.stride_tricks.sliding_window_view(texts[i], length) for i in whole])
+            own = np.repeat([owner[i] for i in whole], [len(texts[i]) - length + 1 for i in whole])
+            same, which = np.unique(every, axis=0, return_inverse=True)
+            del every
+            owned.append(np.unique(np.stack([which.reshape(-1) + self.count, own], 1)[own >= 0], axis=0))
+            pairs += [same[:, i].astype(np.int64) * base + same[:, i + 1] for i in range(length - 1)]
+            self.by_length.append((self.count, same))
+            self.count += len(same)
+        self.shortest = min((same.shape[1] for _, same in self.by_length), default=0)
+        self.pairs = np.unique(np.concatenate(pairs))
+        # Owners lie one after another, those of a window from owner_from[window] on.
+        by_window = np.concatenate(owned)
+        self.owner_of = by_window[:, 1].astype(np.int32)
+        self.owner_from = np.searchsorted(by_window[:, 0], np.arange(self.count + 1))
+
+    def owners(self, window: int) -> list[str]:
+        """The items that have a window, sorted; those with a null id aren't named."""
+        return [self.names[i] for i in self.owner_of[self.owner_from[window] : self.owner_from[window + 1]]]
 
 
 class WaveletMatrix:
@@ -177,7 +190,7 @@ def _find(texts: list[bytes], windows: Windows) -> tuple[list[int], np.ndarray,
     split = [words_of(t) for t in texts]
     counts = [len(w) for w in split]
     nothing = np.zeros(0, np.int64)
-    if not windows.owners:
+    if not windows.count:
         return counts, nothing, nothing, nothing
     bounds = np.concatenate([[0], np.cumsum(np.array(counts, np.int64) + 1)])
     ids = np.zeros(bounds[-1], np.int32)  # a 0 stays after each text
@@ -249,7 +262,7 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
         def batch(column: pa.Array, held=held) -> dict[str, pa.Array]:
             model, n_words, spans, items = held.value, [], [], []
-            firsts = np.array([same.shape[1] for _, same in model.by_length for _ in range(len(same))], np.int64)
+            firsts = np.repeat([same.shape[1] for _, same in model.by_length], [len(same) for _, same in model.by_length]).astype(np.int64)
             texts = ((v.as_py() or "").encode() for v in column)
             for shard in grouped_by_size(texts, SHARD_BYTES):
                 counts, doc, at, window = _find([t for _, t in shard], model)
@@ -258,7 +271,7 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
                 for d, s, w in zip(doc.tolist(), at.tolist(), window.tolist(), strict=True):
                     got = mine.setdefault(d, (set(), set()))
                     got[0].add((s, s + int(firsts[w])))
-                    got[1].update(model.owners[w])
+                    got[1].update(model.owners(w))
                 for d in range(len(shard)):
                     got = mine.get(d)
                     spans.append([{"first": s, "end": e} for s, e in _merged(list(got[0]))] if got else [])
@@ -268,6 +281,7 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
         if not passes:
             out = annotate(df, batch, _FIELDS, text, None if keep is None else [*keep, text])
         else:
+            out = stored(out)
             spans, items = free_name(out, "_spans"), free_name(out, "_items")
             out = annotate(out.withColumnsRenamed({"hit_spans": spans, "hit_items": items}), batch, _FIELDS, text)
             out = out.withColumn("hit_items", F.array_sort(F.array_distinct(F.concat(items, "hit_items"))))

@@ -117,3 +117,27 @@ def test_names_that_clash(spark, monkeypatch):
     assert (row["_pad"], row["_spans"], row["_items"], row.hit_spans, row["_row"], row["_text"]) == (5, "s", "i", "h", 4, 6)
     assert row.text == "start  end"
     assert d.remove_passages(frame, bench).columns == frame.columns
+
+
+def test_a_large_benchmark_fits_one_step():
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys, numpy as np
+from pagelumen.llm import decontaminate as d
+rng = np.random.default_rng(1)
+words = np.array([f"w{i:06}" for i in range(400_000)])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+items = [(str(i), " ".join(rng.choice(words, 2000))) for i in range(1049)]
+assert sum(len(t) for _, t in items) > d.PASS_BYTES
+windows = d.Windows(items)
+assert windows.count > 2_000_000 and windows.owners(5)
+found = d._find([items[3][1].encode(), b"w000001 w000002"], windows)
+assert set(found[1].tolist()) == {0} and sorted(found[2].tolist()) == list(range(1991))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    path = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": path}, check=True)
+    assert int(out.stdout) < 1500
