@@ -6,10 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def one_decimal(x: Column) -> Column:
+    """A number with one decimal, rounded by what the double exactly is, an exact tie to the even digit: 1.15 is ``1.1``, 0.25 is ``0.2``.
+
+    (``format_string`` rounds the shortest decimal that names the double, half up.) Beyond 2^30 it does.
+    """
+    # In these units a double is a whole number, but for ones under 1/256, which round to 0.0 anyway.
+    unit = F.lit(float(1 << 32))
+    for below, bits in ((1 << 20, 42), (1 << 10, 52), (1, 60)):
+        unit = F.when(F.abs(x) < below, F.lit(float(1 << bits))).otherwise(unit)
+    whole = (F.abs(x) * unit).cast("long").cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
+    per = unit.cast("long").cast("decimal(20,0)")
+    rest = whole % per
+    tenths = ((whole - rest) / per).cast("long")
+    up = (rest * 2 > per) | ((rest * 2 == per) & (tenths % 2 == 1))
+    rounded = tenths + up.cast("long")
+    exact = F.concat(F.when((x < 0) & (rounded > 0), "-").otherwise(""), F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+    return F.when(F.abs(x) < (1 << 30), exact).otherwise(F.format_string("%.1f", x.cast("double")))
+
+
 def compact_number(n: Column, billions: bool = True) -> Column:
     """``1.5M``, ``85.0K``; whole numbers below a thousand; null stays null."""
-    out = F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000.0)).when(n >= 1_000, F.format_string("%.1fK", n / 1_000.0)).otherwise(n.cast("long").cast("string"))
-    return F.when(n >= 1_000_000_000, F.format_string("%.1fB", n / 1_000_000_000.0)).otherwise(out) if billions else out
+    out = F.when(n >= 1_000_000, F.concat(one_decimal(n / 1_000_000.0), F.lit("M"))).when(n >= 1_000, F.concat(one_decimal(n / 1_000.0), F.lit("K"))).otherwise(n.cast("long").cast("string"))
+    return F.when(n >= 1_000_000_000, F.concat(one_decimal(n / 1_000_000_000.0), F.lit("B"))).otherwise(out) if billions else out
 
 
 def duration(seconds: Column) -> Column:
@@ -20,7 +39,7 @@ def duration(seconds: Column) -> Column:
 
 def percent(share: Column) -> Column:
     """A share of one as ``45.0%``."""
-    return F.format_string("%.1f%%", share * 100.0)
+    return F.concat(one_decimal(share * 100.0), F.lit("%"))
 
 
 def score_band(score: Column) -> Column:

@@ -155,3 +155,60 @@ def distinct_keywords(ideas: DataFrame) -> DataFrame:
     """One row per keyword: that of greatest volume."""
     order = Window.partitionBy(F.lower("keyword")).orderBy(F.desc_nulls_last("avg_monthly_searches"), "keyword")
     return ideas.withColumn("n", F.row_number().over(order)).where(F.col("n") == 1).drop("n")
+
+
+def _listed(raw: Column, paths: list[str], first: list[str], second: list[str], most: int = 10) -> Column:
+    """array<struct<name, share>> of the first list there is: of each entry the first name and the first share that isn't empty."""
+    entries = F.slice(F.coalesce(*(F.try_variant_get(raw, p, "array<variant>") for p in paths), F.array().cast("array<variant>")), 1, most)
+    entries = F.filter(entries, lambda e: F.schema_of_variant(e).startswith("OBJECT"))
+    name = lambda e: F.coalesce(*(F.nullif(F.try_variant_get(e, f"$.{k}", "string"), F.lit("")) for k in first), F.lit(""))
+    share = lambda e: F.coalesce(*(F.try_variant_get(e, f"$.{k}", "double") for k in second))
+    return F.transform(entries, lambda e: F.struct(name(e).alias("name"), share(e).alias("share")))
+
+
+def audience(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds ``countries, referring_sites, destination_sites, similar_sites`` of a traffic payload: arrays of (name, share), ten at most.
+
+    A country without a name is ``Unknown``, one without a share has 0; other entries keep what they lack.
+    """
+    raw = F.try_parse_json(F.col(payload))
+    countries = _listed(raw, ["$.geo.records", "$.geo.countries"], ["country", "country_name"], ["share", "traffic_share"])
+    countries = F.transform(countries, lambda c: F.struct(F.when(c["name"] == "", "Unknown").otherwise(c["name"]).alias("name"), F.coalesce(c["share"], F.lit(0.0)).alias("share")))
+    sites = lambda key: _listed(raw, [f"$.{key}.referrals", f"$.{key}.records"], ["site", "domain"], ["share"])
+    alike = _listed(raw, ["$.similar_sites.similar_sites", "$.similar_sites.records"], ["url", "domain"], ["affinity"])
+    return df.withColumns({"countries": countries, "referring_sites": sites("referrals"), "destination_sites": sites("outgoing"), "similar_sites": alike})
+
+
+def keyword_ideas(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """A row per idea of a planner's payload, with its ``place``; numbers may come as text, and what a payload lacks is null."""
+    ideas = F.try_variant_get(F.try_parse_json(F.col(payload)), "$.results", "array<variant>")
+    keep = [c for c in df.columns if c != payload]
+    rows = df.select(*keep, F.posexplode(ideas).alias("place", "i"))
+    whole = lambda key: F.try_variant_get("i", f"$.keywordIdeaMetrics.{key}", "string").try_cast("long")
+    return rows.select(
+        *keep, "place", F.coalesce(F.try_variant_get("i", "$.text", "string"), F.lit("")).alias("keyword"), whole("avgMonthlySearches").alias("avg_monthly_searches"), F.try_variant_get("i", "$.keywordIdeaMetrics.competition", "string").alias("competition"),
+        whole("competitionIndex").alias("competition_index"), whole("lowTopOfPageBidMicros").alias("low_cpc_micros"), whole("highTopOfPageBidMicros").alias("high_cpc_micros"),
+    )
+
+
+def _typed(rows: DataFrame, cells: dict[str, tuple[str, str]], most: int) -> DataFrame:
+    keep = [c for c in rows.columns if c not in ("row", "position")]
+    typed = [F.expr(f"try_cast(try_element_at(row, '{cell}') as {kind})").alias(name) for name, (cell, kind) in cells.items()]
+    return rows.where(F.col("position") < most).select(*keep, "position", *typed)
+
+
+def backlink_overview(rows: DataFrame) -> DataFrame:
+    """The first row of a backlinks report, typed; ``rows`` as of ``separated_rows``."""
+    return _typed(rows, {"total_backlinks": ("total", "long"), "referring_domains": ("domains_num", "long"), "follow_count": ("follows_num", "long"), "nofollow_count": ("nofollows_num", "long")}, 1)
+
+
+def organic_competitors(rows: DataFrame) -> DataFrame:
+    """The first ten rows of a competitors report: ``domain, affinity``."""
+    return _typed(rows, {"domain": ("Dn", "string"), "affinity": ("Cr", "double")}, 10)
+
+
+def organic_traffic(rows: DataFrame) -> DataFrame:
+    """The traffic estimate of a domain overview, with its display form; without one, the rank stands in."""
+    keep = [c for c in rows.columns if c not in ("row", "position")]
+    value = F.expr("try_cast(coalesce(nullif(try_element_at(row, 'Ot'), ''), try_element_at(row, 'Or')) as double)")
+    return rows.where(F.col("position") == 0).select(*keep, value.alias("organic_traffic"), compact_number(value).alias("organic_display"))

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pagelumen.functions import html as H
 from pagelumen.functions import scalars as S
 from pagelumen.functions import urls as U
-from pagelumen.operators import audit, domains, enrich, history, intel, linkgraph, schemaorg, sitemaps, tags, workbooks
+from pagelumen.operators import audit, domains, enrich, history, intel, linkgraph, report, schemaorg, sitemaps, tags, workbooks
 from pagelumen.operators.facts import with_facts
-from pagelumen.operators.lineage import shared_folder
+from pagelumen.operators.lineage import cut, shared_folder
 from pagelumen.operators.rules import tracker_flags
 from pagelumen.sources import store
-from pagelumen.sources.tables import fetched, spread, table
+from pagelumen.sources.tables import as_json, fetched, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -241,7 +241,7 @@ def _first_of_hosts(pages: DataFrame) -> DataFrame:
 @query
 def crawl_report(spark, sf_dir):
     pages = _chained(spark, sf_dir)
-    edges = linkgraph.link_edges(pages)
+    edges = cut(linkgraph.link_edges(pages))  # parsed once, read by four counts
     depth = linkgraph.crawl(pages, edges, _first_of_hosts(pages), most_pages=1_000_000)
     return linkgraph.crawl_report(pages, edges, _probe(edges), depth)
 
@@ -719,5 +719,118 @@ def schema_kinds(spark, sf_dir):
     return found.select("page_id", "entity_type", "valid", evidence.alias("issues"))
 
 
+def _audiences(spark, sf_dir) -> DataFrame:
+    """Traffic payloads with lists of countries and sites, made from the orders' prices; every seventh is no payload."""
+    n = F.col("n")
+    part = lambda k, m: F.concat(F.lit(f'"{k}":0.'), F.lpad((n % m).cast("string"), 2, "0"))
+    body = F.concat(
+        F.lit('{"geo":{"records":[{"country":"DE",'), part("share", 90), F.lit('},{"country_name":"FR",'), part("traffic_share", 80), F.lit('},{"share":0.01},7]},"referrals":{"referrals":[{"site":"a.test",'), part("share", 70),
+        F.lit('},{"domain":"b.test"}]},"outgoing":{"records":[{"site":"","domain":"c'), (n % 9).cast("string"), F.lit('.test","share":1}]},"similar_sites":{"similar_sites":[{"url":"d.test",'), part("affinity", 60), F.lit('}]}}'),
+    )
+    return _priced(spark, sf_dir).select("o_orderkey", F.when(n % 7 == 0, F.lit("nothing")).otherwise(body).alias("payload"))
+
+
+@query
+def audience_lists(spark, sf_dir):
+    found = intel.audience(_audiences(spark, sf_dir))
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit("="), F.coalesce(x["share"].cast("string"), F.lit("?")))), ",").alias(c)
+    return found.select("o_orderkey", *(flat(c) for c in ("countries", "referring_sites", "destination_sites", "similar_sites")))
+
+
+@query
+def planner_ideas(spark, sf_dir):
+    """Ideas from planner payloads made from the parts: numbers as text, a metric missing, an idea without any."""
+    key = F.col("p_partkey").cast("string")
+    body = F.concat(
+        F.lit('{"results":[{"text":"'), "p_name", F.lit('","keywordIdeaMetrics":{"avgMonthlySearches":"'), key, F.lit('0","competition":"LOW","competitionIndex":'), F.col("p_size").cast("string"), F.lit(',"lowTopOfPageBidMicros":"'), key,
+        F.lit('"}},{"text":"second","keywordIdeaMetrics":{"highTopOfPageBidMicros":7}},{}]}'),
+    )
+    return intel.keyword_ideas(table(spark, sf_dir, "part").select("p_partkey", body.alias("payload")))
+
+
+def _reports(spark, sf_dir, header: str, *lines: list[str]) -> DataFrame:
+    """Separated reports of the parts: a header and rows of cells, columns by name and other texts as they are."""
+    rows = [F.concat_ws(";", *(F.col(c).cast("string") if c.startswith("p_") else F.lit(c) for c in line)) for line in lines]
+    return intel.separated_rows(table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\n", F.lit(header), *rows).alias("payload")))
+
+
+@query
+def backlink_reports(spark, sf_dir):
+    return intel.backlink_overview(_reports(spark, sf_dir, "total;domains_num;urls_num;follows_num;nofollows_num", ["p_partkey", "p_size", "1", "x", "3"], ["9", "9", "9", "9", "9"]))
+
+
+@query
+def competitor_reports(spark, sf_dir):
+    return intel.organic_competitors(_reports(spark, sf_dir, "Dn;Cr", *(["p_name", "0.5"] if i % 2 else [f"c{i}.test", ""] for i in range(12))))
+
+
+@query
+def organic_estimates(spark, sf_dir):
+    return intel.organic_traffic(_reports(spark, sf_dir, "Dn;Or;Ot", ["d.test", "p_size", "p_partkey"]))
+
+
+@query
+def report_totals(spark, sf_dir):
+    return report.totals(audit.issues(_pages(spark, sf_dir)))
+
+
+@query
+def report_categories(spark, sf_dir):
+    return report.categories(audit.categories_long(_pages(spark, sf_dir), with_issues=False))
+
+
+@query
+def metric_verdicts(spark, sf_dir):
+    """Verdicts on the metrics of five categories."""
+    found = report.verdicts(_pages(spark, sf_dir), ["meta_tags", "headings", "images", "links", "semantic"])
+    return found.where(F.col("metric") != "aria_roles").select("page_id", "metric", "unit", "value", "verdict")
+
+
+MARKED_FORMS = [
+    '<form><label>a</label><input type="submit" value="Go"><button type=SUBMIT>x</button></form><meta name="robots" content="NoIndex, follow">',
+    '<form><input type="text"></form><form></form><label>b</label><meta name="Googlebot" content="x"><meta name="ROBOTS" content="max-snippet:0">',
+    "<label>c</label><button>none</button><meta name=robots>",
+]
+
+
+@query
+def form_facts(spark, sf_dir):
+    """Forms, labels, submit controls and robots directives of pages with such markup added."""
+    facts = with_facts(_marked(spark, sf_dir, MARKED_FORMS))
+    return facts.select("page_id", F.col("f_tag_counts.form").alias("forms"), F.col("f_tag_counts.label").alias("labels"), F.col("f_submits").alias("submits"), F.array_join("f_robots_metas", ";").alias("robots"))
+
+
+@query
+def searched_issues(spark, sf_dir):
+    """Warnings that speak of Open Graph tags, by message or evidence."""
+    return audit.select_issues(audit.issues(_pages(spark, sf_dir)), "warning", "OG:", with_evidence=True).select("page_id", "category", "rule_id", "evidence")
+
+
+@query
+def search_features(spark, sf_dir):
+    """Search features that the structured data of a page could bring."""
+    facts = schemaorg.with_structured(with_facts(_marked(spark, sf_dir, MARKED_DATA)))
+    return facts.select("page_id", F.array_join("s_features", ";").alias("features"), F.array_join("s_types", ";").alias("types"))
+
+
+MARKED_TRADES = [
+    '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Dentist"}</script>',
+    '<script type="application/ld+json">{"@context":"https://schema.org","@type":["Thing","https://schema.org/Hotel"]}</script>',
+    '<script type="application/ld+json">[{"@type":"Organization"},{"@type":"NGO"},{"@type":"Store"}]</script>',
+    '<script type="application/ld+json">{"@graph":[{"@type":"BankOrCreditUnion"}]}</script>',
+]
+
+
+@query
+def typed_industries(spark, sf_dir):
+    """The industry that a page's structured data tells, with the confidence in it."""
+    return enrich.from_homepage(_marked(spark, sf_dir, MARKED_TRADES)).select("page_id", "industry", "industry_confidence", "description_confidence")
+
+
+@query
+def json_documents(spark, sf_dir):
+    return as_json(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -656,6 +656,45 @@ UNION ALL SELECT page_id, 'ads_quality', CASE WHEN broken THEN 0 ELSE greatest(0
 UNION ALL SELECT page_id, 'links', {_score('links')}::INT, 'ok', NULL FROM timed"""
 )
 
+_SHARE = "(('0.' || lpad((n % {0})::VARCHAR, 2, '0'))::DOUBLE)::VARCHAR"
+ORACLES["audience_lists"] = f"""WITH {_PRICED} SELECT o_orderkey, CASE WHEN n % 7 <> 0 THEN 'DE=' || {_SHARE.format(90)} || ',FR=' || {_SHARE.format(80)} || ',Unknown=0.01' ELSE '' END AS countries,
+  CASE WHEN n % 7 <> 0 THEN 'a.test=' || {_SHARE.format(70)} || ',b.test=?' ELSE '' END AS referring_sites, CASE WHEN n % 7 <> 0 THEN 'c' || (n % 9) || '.test=1.0' ELSE '' END AS destination_sites, CASE WHEN n % 7 <> 0 THEN 'd.test=' || {_SHARE.format(60)} ELSE '' END AS similar_sites FROM priced"""
+ORACLES["planner_ideas"] = """SELECT p_partkey, 0 AS place, p_name AS keyword, p_partkey * 10 AS avg_monthly_searches, 'LOW' AS competition, p_size::BIGINT AS competition_index, p_partkey AS low_cpc_micros, NULL::BIGINT AS high_cpc_micros FROM part
+UNION ALL SELECT p_partkey, 1, 'second', NULL, NULL, NULL, NULL, 7 FROM part UNION ALL SELECT p_partkey, 2, '', NULL, NULL, NULL, NULL, NULL FROM part"""
+ORACLES["backlink_reports"] = "SELECT p_partkey, 0 AS position, p_partkey AS total_backlinks, p_size::BIGINT AS referring_domains, NULL::BIGINT AS follow_count, 3::BIGINT AS nofollow_count FROM part"
+ORACLES["competitor_reports"] = "SELECT p_partkey, i::INT AS position, CASE WHEN i % 2 = 1 THEN p_name ELSE 'c' || i || '.test' END AS domain, CASE WHEN i % 2 = 1 THEN 0.5::DOUBLE END AS affinity FROM part, range(10) t(i)"
+ORACLES["organic_estimates"] = "SELECT p_partkey, p_partkey::DOUBLE AS organic_traffic, CASE WHEN p_partkey >= 1000000 THEN printf('%.1fM', p_partkey / 1000000.0) WHEN p_partkey >= 1000 THEN printf('%.1fK', p_partkey / 1000.0) ELSE p_partkey::VARCHAR END AS organic_display FROM part"
+ORACLES["report_totals"] = _with(_ISSUES) + f"\nSELECT page_id, {_COUNTS}, count(*) AS n_findings FROM issues GROUP BY page_id"
+ORACLES["report_categories"] = (
+    _with(_WIDE, _LONG)
+    + "\nSELECT page_id, category, score, (CASE category "
+    + " ".join(f"WHEN '{c}' THEN {int(w * 100)}" for c, w in WEIGHTS.items())
+    + f" END)::INT AS weight_pct, {_band('score')} AS band, list_position(["
+    + ", ".join(f"'{c}'" for c in sorted(WEIGHTS, key=lambda c: -WEIGHTS[c]))
+    + "], category)::INT AS place FROM long"
+)
+_METRICS = [
+    ("title_length", "chars", "tl", "v BETWEEN 30 AND 60"), ("description_length", "chars", "dl", "v BETWEEN 70 AND 160"), ("has_canonical", "", "canonical::INT", "v = 1"), ("og_tags_count", "", "og_tags", "v >= 4"),
+    ("has_lang", "", "(trim(coalesce(lang, '')) <> '')::INT", "v = 1"), ("h1_count", "", "h1s", "v = 1"), ("total_headings", "", "len(headings)", "v > 0"), ("hierarchy_valid", "", f"({_GAPS} = 0)::INT", "v = 1"), ("total_images", "", "n_imgs", None),
+    ("missing_alt_count", "", "no_alt", "v = 0"), ("missing_dimensions_count", "", "no_size", "v = 0"), ("total_links", "", "n_links", None), ("internal_links", "", "int_links", "v > 0"), ("external_links", "", "ext_links", None), ("empty_invalid", "", "bad_links", "v = 0"),
+    ("nofollow_internal", "", "nofollow_links", "v = 0"), ("semantic_elements", "", "(n_header > 0)::INT + (n_nav > 0)::INT + (n_main > 0)::INT + (n_article > 0)::INT + (n_section > 0)::INT + (n_aside > 0)::INT + (n_footer > 0)::INT", "v >= 4"),
+    ("content_to_html_ratio", "%", "ratio", "v >= 25"), ("main_count", "", "n_main", "v = 1"),
+]
+
+
+def _metric(name: str, unit: str, value: str, good: str | None) -> str:
+    verdict = "NULL::VARCHAR" if good is None else f"CASE WHEN {good} THEN 'good' ELSE 'bad' END"
+    return f"SELECT page_id, '{name}' AS metric, '{unit}' AS unit, v::DOUBLE AS value, {verdict} AS verdict FROM (SELECT page_id, {value} AS v FROM facts)"
+
+
+ORACLES["metric_verdicts"] = _with() + "\n" + " UNION ALL ".join(_metric(*m) for m in _METRICS)
+ORACLES["form_facts"] = f"WITH {_MARKED} SELECT page_id, forms, labels, submits, robots FROM marked JOIN (VALUES (0, 1, 1, 2, 'noindex, follow'), (1, 2, 1, 0, 'max-snippet:0'), (2, 0, 1, 0, '')) k(form, forms, labels, submits, robots) ON form = page_id % 3"
+ORACLES["searched_issues"] = _with(_ISSUES) + "\nSELECT page_id, category, rule_id, 'og:title, og:description, og:image, og:url' AS evidence FROM issues WHERE rule_id = 'og_incomplete'"
+ORACLES["search_features"] = f"""WITH {_MARKED} SELECT page_id, features, types FROM marked JOIN (VALUES (0, 'Product Rich Snippet', 'Product'), (1, 'Recipe Rich Result;FAQ Rich Result', 'Recipe;Thing;FAQPage'), (2, '', ''), (3, 'Article / Top Stories', 'Gadget;Article'),
+  (4, '', ''), (5, '', ''), (6, '', ''), (7, 'Breadcrumbs', 'BreadcrumbList')) k(e, features, types) USING (e)"""
+ORACLES["typed_industries"] = f"WITH {_MARKED} SELECT page_id, industry, 0.7::DOUBLE AS industry_confidence, CASE WHEN coalesce(title, '') <> '' THEN 0.6::DOUBLE END AS description_confidence FROM marked JOIN (VALUES (0, 'Healthcare'), (1, 'Travel & Hospitality'), (2, 'Non-Profit'), (3, 'Finance')) k(t, industry) USING (t) JOIN ({_with()} SELECT page_id, title FROM facts) USING (page_id)"
+ORACLES["json_documents"] = "SELECT to_json({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus, 'o_orderpriority': o_orderpriority})::VARCHAR AS document FROM orders"
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

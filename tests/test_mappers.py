@@ -107,3 +107,56 @@ def test_character_references(spark):
     df = spark.createDataFrame([(t,) for t in [*pairs, None]], "t string")
     found = {r.t: r.d for r in df.select("t", H.decoded(F.col("t")).alias("d")).collect()}
     assert found == {**pairs, None: None}
+
+
+def test_one_decimal_as_printed_elsewhere(spark):
+    import random
+
+    rng = random.Random(11)
+    given = [i / 1000 for i in range(0, 20_000, 50)] + [rng.uniform(0, 1100) for _ in range(300)] + [0.25, 0.75, 1.25, 999.95, 1023.95, 1024.05, 5e6 + 0.05, -1.15, -0.01, -0.05, 0.05, 1e-9]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double")
+    got = {r.i: r.t for r in frame.select("i", S.one_decimal(F.col("x")).alias("t")).collect()}
+    for i, x in enumerate(given):
+        assert got[i] == f"{x:.1f}".replace("-0.0", "0.0"), x
+    counts = [*range(1000, 20_000, 50), 1_150_000, 1_250_000, 999_999, 999_950, 1_050_000_000, 7]
+    frame = spark.createDataFrame([(n,) for n in counts], "n long")
+    want = {n: f"{n / 1e9:.1f}B" if n >= 10**9 else f"{n / 1e6:.1f}M" if n >= 10**6 else f"{n / 1e3:.1f}K" if n >= 1000 else str(n) for n in counts}
+    assert {r.n: r.t for r in frame.select("n", S.compact_number(F.col("n")).alias("t")).collect()} == want
+
+
+def test_full_payloads(spark):
+    body = {
+        "geo": {"countries": [{"country_name": "X", "traffic_share": 0.5}, {}, "junk"] + [{"country": f"c{i}", "share": i} for i in range(12)]},
+        "referrals": {"records": [{"domain": "a.b", "share": 0.1}, {"site": "", "domain": "", "share": None}]},
+        "outgoing": {"referrals": "none"},
+        "similar_sites": {"records": [{"url": "u", "affinity": 0.9}]},
+    }
+    row, bare = intel.audience(payloads(spark, body, "nothing")).collect()
+    assert [tuple(c) for c in row.countries[:2]] == [("X", 0.5), ("Unknown", 0.0)] and len(row.countries) == 9
+    assert [tuple(c) for c in row.referring_sites] == [("a.b", 0.1), ("", None)]
+    assert row.destination_sites == [] and [tuple(c) for c in row.similar_sites] == [("u", 0.9)]
+    assert bare.countries == bare.referring_sites == bare.similar_sites == []
+    ideas = intel.keyword_ideas(payloads(spark, {"results": [{"text": "k", "keywordIdeaMetrics": {"avgMonthlySearches": "10", "competition": "HIGH", "competitionIndex": 3, "lowTopOfPageBidMicros": "x"}}, {}]}, "junk", {"results": []})).orderBy("place").collect()
+    assert [tuple(r) for r in ideas] == [(0, "k", 10, "HIGH", 3, None, None), (1, "", None, None, None, None, None)]
+    rows = intel.separated_rows(payloads(spark, "total;domains_num\n5;x\n6;7\n", "ERROR 1", "total\n"))
+    assert [(r.total_backlinks, r.referring_domains) for r in intel.backlink_overview(rows).collect()] == [(5, None)]
+    rows = intel.separated_rows(payloads(spark, "Dn;Cr\n" + "".join(f"d{i};0.{i}\n" for i in range(14)) + "e;\n"))
+    assert [(r.domain, r.affinity) for r in intel.organic_competitors(rows).orderBy("position").collect()] == [(f"d{i}", float(f"0.{i}")) for i in range(10)]
+    rows = intel.separated_rows(payloads(spark, "Dn;Or;Ot\nd;5;1150\n", "Dn;Or;Ot\nd;5;\n"))
+    assert sorted((r.organic_traffic, r.organic_display) for r in intel.organic_traffic(rows).collect()) == [(5.0, "5"), (1150.0, "1.1K")]
+
+
+def test_report_tables(spark):
+    from pagelumen.operators import audit, report
+
+    frame = spark.createDataFrame([(1, "https://a.b/", f"<title>{'t' * 40}</title><h1>x</h1><h3>y</h3><img src=a>"), (2, "https://a.b/c", None)], "page_id long, url string, html string")
+    got = {(r.page_id, r.metric): (r.value, r.verdict) for r in report.verdicts(frame).collect()}
+    assert got[1, "title_length"] == (40.0, "good") and got[2, "title_length"] == (0.0, "bad")
+    assert got[1, "hierarchy_valid"] == (0.0, "bad") and got[1, "missing_alt_count"] == (1.0, "bad") and got[1, "total_images"] == (1.0, None)
+    assert (1, "response_time_ms") not in got and got[1, "is_https"] == (1.0, "good") and got[1, "zoom_disabled"] == (0.0, "good")
+    found = audit.issues(frame)
+    sums = {r.page_id: r for r in report.totals(found).collect()}
+    assert sums[1].n_findings == sums[1].n_error + sums[1].n_warning + sums[1].n_info + sums[1].n_pass == found.where("page_id = 1").count()
+    rows = report.categories(audit.categories_long(frame, with_issues=False)).where("page_id = 1").orderBy("place").collect()
+    assert [(r.category, r.weight_pct) for r in rows[:3]] == [("meta_tags", 10), ("performance", 9), ("ads_quality", 8)]
+    assert [r.rule_id for r in audit.top_issues(found).where("page_id = 2").orderBy("rank").collect()][:2] == ["title_missing", "description_missing"]
