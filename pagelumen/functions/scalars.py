@@ -2,33 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def one_decimal(x: Column) -> Column:
     """A number with one decimal, rounded by what the double exactly is, an exact tie to the even digit: 1.15 is ``1.1``, 0.25 is ``0.2``.
 
     (``format_string`` rounds the shortest decimal that names the double, half up.) Beyond 2^30 it does.
     """
-    # In these units a double is a whole number, but for ones under 1/256, which round to 0.0 anyway.
-    unit = F.lit(float(1 << 32))
-    for below, bits in ((1 << 20, 42), (1 << 10, 52), (1, 60)):
-        unit = F.when(F.abs(x) < below, F.lit(float(1 << bits))).otherwise(unit)
-    whole = (F.abs(x) * unit).cast("long").cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
-    per = unit.cast("long").cast("decimal(20,0)")
-    rest = whole % per
-    tenths = ((whole - rest) / per).cast("long")
-    up = (rest * 2 > per) | ((rest * 2 == per) & (tenths % 2 == 1))
-    rounded = tenths + up.cast("long")
-    exact = F.concat(F.when((x < 0) & (rounded > 0), "-").otherwise(""), F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
-    return F.when(F.abs(x) < (1 << 30), exact).otherwise(F.format_string("%.1f", x.cast("double")))
+
+    def scaled(size: Column) -> Column:
+        # In these units a double is a whole number, but for ones under 1/256, which round to 0.0 anyway.
+        unit = F.when(size < 1, F.lit(float(1 << 60))).when(size < (1 << 10), F.lit(float(1 << 52))).when(size < (1 << 20), F.lit(float(1 << 42))).otherwise(F.lit(float(1 << 32)))
+        return F.struct(size.alias("size"), unit.alias("unit"))
+
+    def parts(s: Column) -> Column:
+        whole = (s["size"] * s["unit"]).cast("long").cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
+        return F.struct(whole.alias("whole"), s["unit"].cast("long").cast("decimal(20,0)").alias("per"))
+
+    def rounded(p: Column) -> Column:
+        rest = p["whole"] % p["per"]
+        tenths = ((p["whole"] - rest) / p["per"]).cast("long")
+        return tenths + ((rest * 2 > p["per"]) | ((rest * 2 == p["per"]) & (tenths % 2 == 1))).cast("long")
+
+    def shown(tenths: Column) -> Column:
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+    def text(x: Column) -> Column:
+        exact = _let(_let(_let(_let(F.abs(x), scaled), parts), rounded), shown)
+        signed = _let(exact, lambda t: F.when((x < 0) & (t != "0.0"), F.concat(F.lit("-"), t)).otherwise(t))
+        return F.when(F.abs(x) < (1 << 30), signed).otherwise(F.format_string("%.1f", x))
+
+    return _let(x.cast("double"), text)
 
 
 def compact_number(n: Column, billions: bool = True) -> Column:
     """``1.5M``, ``85.0K``; whole numbers below a thousand; null stays null."""
-    out = F.when(n >= 1_000_000, F.concat(one_decimal(n / 1_000_000.0), F.lit("M"))).when(n >= 1_000, F.concat(one_decimal(n / 1_000.0), F.lit("K"))).otherwise(n.cast("long").cast("string"))
-    return F.when(n >= 1_000_000_000, F.concat(one_decimal(n / 1_000_000_000.0), F.lit("B"))).otherwise(out) if billions else out
+    steps = [(1_000_000_000, "B")] * billions + [(1_000_000, "M"), (1_000, "K")]
+
+    def text(n: Column) -> Column:
+        size = suffix = F.lit(None)
+        for least, name in reversed(steps):
+            size, suffix = F.when(n >= least, n / float(least)).otherwise(size), F.when(n >= least, name).otherwise(suffix)
+        return F.when(n >= 1_000, F.concat(one_decimal(size), suffix)).otherwise(n.cast("long").cast("string"))
+
+    return _let(n, text)
 
 
 def duration(seconds: Column) -> Column:
