@@ -124,20 +124,25 @@ def headings() -> Category:
     h1 = F.filter("f_headings", lambda h: h["level"] == 1)
     n, text = F.size(h1), F.get(F.transform(h1, lambda h: h["text"]), F.lit(0))
     levels = F.array_sort(F.array_distinct(F.transform("f_headings", lambda h: h["level"])))
-    gaps = F.size(F.filter(F.zip_with(levels, F.slice(levels, 2, F.greatest(F.size(levels), F.lit(1))), lambda a, b: b - a), lambda g: g > 1))
+    steps = F.zip_with(levels, F.slice(levels, 2, F.greatest(F.size(levels), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    skips = F.transform(F.filter(steps, lambda s: s["b"] - s["a"] > 1), lambda s: F.concat(F.lit("H"), s["a"].cast("string"), F.lit(" > H"), s["b"].cast("string")))
+    counts = F.transform(levels, lambda v: F.concat(F.lit("H"), v.cast("string"), F.lit(": "), F.size(F.filter("f_headings", lambda h: h["level"] == v)).cast("string")))
     return Category(
         "headings",
         [
             Rule("h1_missing", n == 0, "error", "high", 30),
-            Rule("h1_several", n > 1, "warning", "medium", 15, n),
+            Rule("h1_several", n > 1, "warning", "medium", 15, F.array_join(F.transform(h1, lambda h: F.substring(h["text"], 1, 50)), "; ")),
             Rule("h1_empty", (n == 1) & (text == ""), "error", "high", 20),
             Rule("h1_long", (n == 1) & (F.length(text) > H1_LENGTH), "warning", "low", 10, text),
             Rule("h1_ok", (n == 1) & F.length(text).between(1, H1_LENGTH), "pass", evidence=text),
-            Rule("level_skipped", gaps > 0, "warning", "medium", gaps * 10, F.array_join(F.transform(levels, lambda v: v.cast("string")), " > ")),
-            Rule("hierarchy_ok", (gaps == 0) & (F.size(levels) > 1), "pass"),
+            # Each skip is an issue; six levels have room for two.
+            Rule("level_skipped", F.size(skips) > 0, "warning", "medium", 10, F.get(skips, F.lit(0))),
+            Rule("level_skipped_again", F.size(skips) > 1, "warning", "medium", 10, F.get(skips, F.lit(1))),
+            Rule("hierarchy_ok", (F.size(skips) == 0) & (F.size(levels) > 1), "pass"),
             Rule("headings_missing", F.size("f_headings") == 0, "error", "high", 20),
+            Rule("headings_counted", F.size("f_headings") > 0, "info", evidence=F.array_join(counts, ", ")),
         ],
-        {"h1_count": n, "h1_text": F.substring(F.coalesce(text, F.lit("")), 1, 80), "total_headings": F.size("f_headings"), "hierarchy_valid": gaps == 0},
+        {"h1_count": n, "h1_text": F.substring(F.coalesce(text, F.lit("")), 1, 80), "total_headings": F.size("f_headings"), "hierarchy_valid": F.size(skips) == 0},
     )
 
 
@@ -480,7 +485,9 @@ WORDING: dict[str, tuple[str, str | None]] = {
     "h1_empty": ("The main heading is empty.", "Write a heading."),
     "h1_long": ("The main heading is long.", "Keep it within 70 characters."),
     "level_skipped": ("A heading level is skipped.", "Go down one level at a time."),
+    "level_skipped_again": ("A second heading level is skipped.", "Go down one level at a time."),
     "headings_missing": ("The page has no headings at all.", "Structure the page by headings."),
+    "headings_counted": ("Headings of each level.", None),
     "alt_missing": ("Images lack alternative text.", "Describe each image, or mark it decorative by an empty alt."),
     "size_missing": ("Images lack their dimensions.", "State width and height to avoid layout shifts."),
     "lazy_missing": ("Many images load eagerly.", "Load images below the fold lazily."),

@@ -135,6 +135,13 @@ def issue_rules(spark, sf_dir):
     return audit.issues(_pages(spark, sf_dir)).groupBy("category", "rule_id", "severity").agg(F.count("*").alias("n"))
 
 
+@query
+def heading_evidence(spark, sf_dir):
+    """What the heading rules say of each page: counts of the levels, and each skip."""
+    found = audit.issues(_pages(spark, sf_dir)).where(F.col("rule_id").isin("headings_counted", "level_skipped", "level_skipped_again"))
+    return found.select("page_id", "rule_id", "evidence")
+
+
 @query
 def severity_shares(spark, sf_dir):
     return audit.severity_shares(audit.issues(_pages(spark, sf_dir)), "page_id").select("page_id", F.floor("pct_error").cast("int").alias("pct_error"), F.floor("pct_warning").cast("int").alias("pct_warning"))

@@ -125,6 +125,7 @@ UNADVISED = ['ads_content_ok',
  'gtm_ok',
  'h1_ok',
  'header_missing',
+ 'headings_counted',
  'hierarchy_ok',
  'image_pack_ok',
  'images_none',
@@ -301,9 +302,11 @@ RULES = [
     ("headings", "h1_empty", "error", "high", "h1s = 1 AND h1l = 0", "20"),
     ("headings", "h1_long", "warning", "low", "h1s = 1 AND h1l > 70", "10"),
     ("headings", "h1_ok", "pass", None, "h1s = 1 AND h1l BETWEEN 1 AND 70", "0"),
-    ("headings", "level_skipped", "warning", "medium", f"{_GAPS} > 0", f"10 * {_GAPS}"),
+    ("headings", "level_skipped", "warning", "medium", f"{_GAPS} > 0", "10"),
+    ("headings", "level_skipped_again", "warning", "medium", f"{_GAPS} > 1", "10"),
     ("headings", "hierarchy_ok", "pass", None, f"{_GAPS} = 0 AND len(levels) > 1", "0"),
     ("headings", "headings_missing", "error", "high", "len(headings) = 0", "20"),
+    ("headings", "headings_counted", "info", None, "len(headings) > 0", "0"),
     ("images", "images_none", "info", None, "n_imgs = 0", "0"),
     ("images", "alt_missing", "error", "high", "no_alt > 0", "least(40, 5 * no_alt)"),
     ("images", "alt_empty", "info", "low", "empty_alt > 0", "0"),
@@ -689,6 +692,13 @@ def _metric(name: str, unit: str, value: str, good: str | None) -> str:
 
 ORACLES["metric_verdicts"] = _with() + "\n" + " UNION ALL ".join(_metric(*m) for m in _METRICS)
 ORACLES["form_facts"] = f"WITH {_MARKED} SELECT page_id, forms, labels, submits, robots FROM marked JOIN (VALUES (0, 1, 1, 2, 'noindex, follow'), (1, 2, 1, 0, 'max-snippet:0'), (2, 0, 1, 0, '')) k(form, forms, labels, submits, robots) ON form = page_id % 3"
+_SKIPS = "list_transform(list_filter(list_zip(levels, levels[2:]), lambda p: p[2] - p[1] > 1), lambda p: 'H' || p[1] || ' > H' || p[2])"
+_LEVEL_COUNTS = ", ".join(f"CASE WHEN h{i}s > 0 THEN 'H{i}: ' || h{i}s END" for i in range(1, 7))
+ORACLES["heading_evidence"] = (
+    _with()
+    + f"\nSELECT page_id, 'headings_counted' AS rule_id, concat_ws(', ', {_LEVEL_COUNTS}) AS evidence FROM facts WHERE len(headings) > 0"
+    + "".join(f"\nUNION ALL SELECT page_id, '{rule}', {_SKIPS}[{n}] FROM facts WHERE {_GAPS} >= {n}" for n, rule in ((1, "level_skipped"), (2, "level_skipped_again")))
+)
 ORACLES["searched_issues"] = _with(_ISSUES) + "\nSELECT page_id, category, rule_id, 'og:title, og:description, og:image, og:url' AS evidence FROM issues WHERE rule_id = 'og_incomplete'"
 ORACLES["search_features"] = f"""WITH {_MARKED} SELECT page_id, features, types FROM marked JOIN (VALUES (0, 'Product Rich Snippet', 'Product'), (1, 'Recipe Rich Result;FAQ Rich Result', 'Recipe;Thing;FAQPage'), (2, '', ''), (3, 'Article / Top Stories', 'Gadget;Article'),
   (4, '', ''), (5, '', ''), (6, '', ''), (7, 'Breadcrumbs', 'BreadcrumbList')) k(e, features, types) USING (e)"""

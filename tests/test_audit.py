@@ -40,7 +40,16 @@ def test_full_meta_scores_100(spark):
 def test_headings(spark):
     out = rules(spark, "headings", "<h1>A</h1><h2>b</h2><h3>c</h3>", "<h1>A</h1><h3>c</h3><h6>d</h6>", "<p>none", "<h1>a</h1><h1>b</h1>", "<h1> </h1>", f"<h1>{'x' * 71}</h1>", "<script>'<h1>no</h1>'</script>")
     assert [out[i][0] for i in range(7)] == [100, 80, 50, 85, 80, 90, 50]
-    assert "hierarchy_ok" in out[0][1]
+    assert "hierarchy_ok" in out[0][1] and "headings_counted" not in out[2][1]
+    assert {"level_skipped", "level_skipped_again"} <= out[1][1]
+
+
+def test_heading_evidence(spark):
+    found = audit.issues(pages(spark, "<h3>c</h3><h1>A</h1><h3>d</h3><h6>e</h6>", f"<h1>{'x' * 60}</h1><h1>b</h1>")).where(F.col("category") == "headings")
+    told = {(r.page_id, r.rule_id): (r.severity, r.impact, r.recommendation, r.evidence) for r in found.collect()}
+    assert told[0, "headings_counted"] == ("info", None, None, "H1: 1, H3: 2, H6: 1")
+    assert (told[0, "level_skipped"][3], told[0, "level_skipped_again"][3]) == ("H1 > H3", "H3 > H6")
+    assert told[1, "h1_several"][3] == "x" * 50 + "; b" and (1, "level_skipped") not in told
 
 
 def test_images_and_links(spark):
