@@ -3,7 +3,8 @@
 Rows are shuffled within their source by a seeded hash and ranked there; the fractional rank (rank plus a
 half, over the size of the source) spreads every source evenly over 0 to 1. All rows are sorted by it and
 the order is cut into runs, so that each shard has the mixture of the whole table. Law ``rows``: counts
-are at most one apart.
+are at most one apart. This law knows no groups: equal texts are dealt like other rows, and can lie in
+several shards.
 
 Both ranks come from range-partitioned sorts: a row's number within its partition plus the rows before
 that partition. So no window holds a whole source, however large it is. Only ids and numbers are sorted,

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from pagelumen.llm import licenses
 from tests.llm.fixtures import docs
 
@@ -26,6 +28,14 @@ def test_canonical_forms_meet(spark):
     assert licenses.scan(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_other_columns_play_no_part(spark):
+    texts = [licenses.KNOWN["MIT"], None, "other"]
+    plain = docs(spark, texts)
+    clashing = plain.withColumns({"digest": F.lit("x"), "license_id": F.lit("y"), "Digest2": F.lit(1)})
+    wanted, found = ({tuple(r) for r in licenses.scan(d).collect()} for d in (plain, clashing))
+    assert found == wanted and len(found) == 3
+
+
 def test_known_texts_are_distinct():
     digests = [d for _, d in licenses.known_digests()]
     assert len(set(digests)) == len(licenses.KNOWN)
