@@ -1,9 +1,12 @@
 """What only larger tables hold."""
 
+import random
+
 import duckdb
 import pytest
 
 from pagelumen.functions import html as H
+from pagelumen.operators import linkgraph
 from pagelumen.plans.catalog import QUERIES
 from pagelumen.plans.oracles import ORACLES
 
@@ -41,3 +44,40 @@ def test_closed_references_end_in_a_semicolon(spark):
     assert [r.d for r in rows] == ["a &© b&amp", "A&#66 ∉&not &lt;", "a ©", "a ©"]
     settled = H.with_settled(frame, "t", "m").select(H.restored("m").alias("d")).collect()
     assert [r.d for r in settled] == [r.d for r in rows]
+
+
+def breadth_first(links, starts):
+    found, level = {s: 0 for s in starts}, list(starts)
+    while level:
+        level = [b for a in level for b in links.get(a, ()) if b not in found and found.setdefault(b, found[a] + 1)]
+    return found
+
+
+def test_depths_along_chains(spark):
+    """Chains with short cuts, ways back, forks and circles, against a plain loop."""
+    rng = random.Random(3)
+    pairs = [(f"a{i}", f"a{i + 1}") for i in range(300)] + [(f"b{i}", f"b{i + 1}") for i in range(90)] + [(f"c{i}", f"c{(i + 1) % 17}") for i in range(17)]
+    pairs += [(f"{s}{rng.randrange(90)}", f"{t}{rng.randrange(90)}") for s, t in ("aa", "ab", "ba", "bb", "aa", "bb", "ab")] + [("a7", "a7"), ("d0", "d1"), ("d1", "d0")]
+    links = {}
+    for a, b in pairs:
+        links.setdefault(a, []).append(b)
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    for starts in (["a0"], ["b3", "a150"], ["c5", "c5"], ["d1", "alone"]):
+        found = linkgraph.longest_depths(edges, spark.createDataFrame([(s,) for s in starts], "node string")).collect()
+        assert len(found) == len({r.node for r in found})
+        assert {r.node: r.depth for r in found} == breadth_first(links, starts)
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    written, whole = [], linkgraph.cut
+    monkeypatch.setattr(linkgraph, "cut", lambda df: written.append(df.columns) or whole(df))
+    edges = spark.createDataFrame([(f"{i}", f"{i + 1}") for i in range(2000)], "src string, dst string")
+    assert linkgraph.longest_depths(edges, spark.createDataFrame([("0",)], "node string")).agg({"depth": "max"}).first()[0] == 2000
+    assert len(written) < 30
+
+
+def test_report_of_a_long_chain_as_in_sql(spark, tmp_path):
+    rows = [(i, f"https://s.test/{i}", "<title>t</title>") for i in range(450)]
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    got, want = against_sql(spark, tmp_path, "crawl_report")
+    assert got == want and got[0][5] == 400
