@@ -4,11 +4,13 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from pagelumen.functions import html as H
-from pagelumen.operators import linkgraph
+from pagelumen.operators import audit, linkgraph
 from pagelumen.plans.catalog import QUERIES
 from pagelumen.plans.oracles import ORACLES
+from pagelumen.sources.tables import PAGES_A_TASK, spread
 
 PAGES = "page_id long, url string, html string"
 LISTED = ["advised_issues", "category_scores_long", "category_severities", "issue_rules", "meta_tags_score", "metric_verdicts", "narrative_variant", "overall_score", "page_title_facts", "quick_wins_top3", "recommendations_by_impact", "report_categories", "report_totals", "severity_shares"]
@@ -81,3 +83,28 @@ def test_report_of_a_long_chain_as_in_sql(spark, tmp_path):
     spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
     got, want = against_sql(spark, tmp_path, "crawl_report")
     assert got == want and got[0][5] == 400
+
+
+def test_tasks_do_not_grow_with_the_table(spark, tmp_path):
+    """One file of one row group: a split each, but all rows in one of them."""
+    spark.range(20_500).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 50) AS html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    dealt = spread(spark.read.parquet(f"{tmp_path}/pages.parquet"), "page_id")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert dealt.rdd.getNumPartitions() == 21 and sum(sizes) == 20_500 and max(sizes) < 2 * PAGES_A_TASK
+
+
+def test_only_what_is_asked_for_is_evaluated(spark, sf_dir):
+    plan = lambda name: QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan("worst_severity")
+
+
+def test_parts_of_the_audit_are_those_of_the_whole(spark):
+    rows = [(i, "https://s.test/", f"<title>{'t' * 40 * i}</title><h1>a</h1><h3>b</h3><h6>c</h6>", t) for i, t in enumerate(("900", "slow", "3500", None))]
+    pages = spark.createDataFrame(rows, f"{PAGES}, elapsed_ms string")
+    whole = audit.issues(pages).drop("evidence").collect()
+    assert sorted(audit.issues(pages, with_evidence=False).drop("evidence").collect()) == sorted(whole)
+    assert sorted(audit.issues(pages, ["headings"]).drop("evidence").collect()) == sorted(r for r in whole if r.category == "headings")
+    long = audit.categories_long(pages, with_issues=False).drop("issues").collect()
+    assert sorted(audit.categories_long(pages, names=["links", "performance"], with_evidence=False).drop("issues").collect(), key=repr) == sorted((r for r in long if r.category in ("links", "performance")), key=repr)
+    assert {r.status for r in long} == {"ok", "error"}
+    assert sorted(audit.listed(pages).collect()) == sorted((r.page_id, r.url, r.position, r.category) for r in long)
