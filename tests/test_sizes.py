@@ -48,6 +48,18 @@ def test_closed_references_end_in_a_semicolon(spark):
     assert [r.d for r in settled] == [r.d for r in rows]
 
 
+def test_ties_of_the_content_ratio_as_in_sql(spark, tmp_path):
+    """Pages of 2,000 characters: the ratios lie halfway between two tenths, but their doubles beside it."""
+    tie = lambda n: "<body>" + "x" * n + "</body>" + "<!--" + " " * (2000 - 13 - 7 - n) + "-->"
+    lengths = (1279, 1267, 1241, 1233, 1201, 1199)
+    rows = [(i, f"https://s.test/{i}", tie(n)) for i, n in enumerate(lengths)]
+    assert {len(html) for _, _, html in rows} == {2000}
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    got, want = against_sql(spark, tmp_path, "metric_verdicts")
+    assert got == want
+    assert [r[3] for r in got if r[1] == "content_to_html_ratio"] == [64.0, 63.4, 62.0, 61.6, 60.0, 60.0]
+
+
 def breadth_first(links, starts):
     found, level = {s: 0 for s in starts}, list(starts)
     while level:
