@@ -97,6 +97,15 @@ def test_report_of_a_long_chain_as_in_sql(spark, tmp_path):
     assert got == want and got[0][5] == 400
 
 
+def test_report_counts_every_level_as_in_sql(spark, tmp_path):
+    """A chain of 450 pages with ways back, which close circles, and one of 20 with a short cut."""
+    back = {449: "<a href='/0'>first</a>", 300: "<a href='/299'>before</a><a href='/7'>seventh</a>", 500: "<a href='/510'>on</a>"}
+    rows = [(i, f"https://s{i // 500}.test/{i}", f"<title>t</title>{back.get(i, '')}") for i in [*range(450), *range(500, 520)]]
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    got, want = against_sql(spark, tmp_path, "crawl_report")
+    assert got == want and got[0][5] == 449
+
+
 def test_tasks_do_not_grow_with_the_table(spark, tmp_path):
     """One file of one row group: a split each, but all rows in one of them."""
     spark.range(20_500).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 50) AS html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
